@@ -218,6 +218,15 @@ LOAD = {
 QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
                            ORDER BY weather_condition NULLS FIRST, holiday_promotion) = 1""",
     ),
+    "star_tables": _with(
+        LINES,
+        DAYS,
+        DIMS,
+        select="\nUNION ALL\n".join(
+            f"SELECT '{table}' AS table_name, {_big('count(*)')} AS rows FROM {source}"
+            for table, source in _SOURCES.items()
+        ),
+    ),
     "dq_duplicate_keys": _duplicate_keys(),
     "dq_orphans": _orphans(),
     "dq_domain": _domain(),

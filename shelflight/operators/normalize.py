@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.schemas import PRIMARY_KEYS, TABLES
+from shelflight.star import Star
 
 
 def first_wins(
@@ -33,44 +34,58 @@ def _keyed(staging: DataFrame, table: str) -> DataFrame:
     return staging
 
 
-def _declared(rows: DataFrame, table: str) -> DataFrame:
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table]])
+def declared(rows: DataFrame, table: str) -> DataFrame:
+    """The columns of a table in declared order and type."""
+    return rows.to(TABLES[table])
 
 
-def _first_seen(staging: DataFrame, table: str, values: list[str], order: list[str]) -> DataFrame:
-    """Dimension rows by first date, then by ``order``.
+def stores(staging: DataFrame) -> DataFrame:
+    seen = (
+        _keyed(staging, "stores")
+        .groupBy("store_region_id", "store_id", "region")
+        .agg(F.min("record_date").alias("record_date"))
+    )
+    values = ["store_id", "region"]
+    return declared(first_wins(seen, PRIMARY_KEYS["stores"], values, ["record_date"]), "stores")
+
 
-    The earliest date per combination of texts combines map-side, so a few rows
-    per key are left to rank whatever the number of records.
+def sightings(staging: DataFrame) -> DataFrame:
+    """First date of every mix of product, category, season and store-region.
+
+    The minimum of a date combines map-side, so a few rows per product are left
+    to rank. Both product dimensions start here; a report that joins both reads
+    one shuffle.
     """
-    keys = PRIMARY_KEYS[table]
-    texts = list(dict.fromkeys([*keys, *order, *values]))
-    seen = _keyed(staging, table).groupBy(*texts).agg(F.min("record_date").alias("record_date"))
-    return _declared(first_wins(seen, keys, values, ["record_date", *order]), table)
+    return (
+        _keyed(staging, "products")
+        .groupBy("product_id", "category", "seasonality", "store_region_id")
+        .agg(F.min("record_date").alias("record_date"))
+    )
 
 
-def stores(staging: DataFrame) -> DataFrame:
-    return _first_seen(staging, "stores", ["store_id", "region"], [])
+def _product_dimension(staging: DataFrame, table: str, value: str) -> DataFrame:
+    order = ["record_date", "store_region_id"]
+    return declared(first_wins(sightings(staging), ["product_id"], [value], order), table)
 
 
 def products(staging: DataFrame) -> DataFrame:
-    return _first_seen(staging, "products", ["category"], ["store_region_id"])
+    return _product_dimension(staging, "products", "category")
 
 
 def seasonality(staging: DataFrame) -> DataFrame:
-    return _first_seen(staging, "seasonality", ["seasonality"], ["store_region_id"])
+    return _product_dimension(staging, "seasonality", "seasonality")
 
 
 def inventory(staging: DataFrame) -> DataFrame:
     """A plain projection: a repeated key is an error, found by the quality jobs."""
-    return _declared(_keyed(staging, "inventory"), "inventory")
+    return declared(_keyed(staging, "inventory"), "inventory")
 
 
 def pricing(staging: DataFrame) -> DataFrame:
     """Keys are close to unique here, so there is nothing to collapse beforehand."""
     values = ["price", "discount", "competitor_pricing"]
     rows = _keyed(staging, "pricing")
-    return _declared(first_wins(rows, PRIMARY_KEYS["pricing"], values), "pricing")
+    return declared(first_wins(rows, PRIMARY_KEYS["pricing"], values), "pricing")
 
 
 def store_events(staging: DataFrame) -> DataFrame:
@@ -82,4 +97,16 @@ def store_events(staging: DataFrame) -> DataFrame:
         .agg(F.min("holiday_promotion").alias("holiday_promotion"))
     )
     values = ["weather_condition", "holiday_promotion"]
-    return _declared(first_wins(seen, keys, values), "store_events")
+    return declared(first_wins(seen, keys, values), "store_events")
+
+
+def star(staging: DataFrame) -> Star:
+    """All six tables of a staging table."""
+    return Star(
+        stores=stores(staging),
+        products=products(staging),
+        seasonality=seasonality(staging),
+        inventory=inventory(staging),
+        pricing=pricing(staging),
+        store_events=store_events(staging),
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelflight.plans import demand, replenishment, rollups, stock_health
 from shelflight.star import Star
+from shelflight.storage import write_report
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Report:
     plan: Callable[..., DataFrame]
     order: tuple[str, ...]  # a leading "-" sorts descending
     hidden: tuple[str, ...] = ()  # sorted by, not shown
+    fact_reads: int = 1  # how often the plan reads the daily facts
 
     def rows(self, star: Star, **options) -> DataFrame:
         """The report without its order."""
@@ -35,7 +37,7 @@ class Report:
 REPORTS: dict[str, Report] = {
     "sales_profile": Report(stock_health.sales_profile, ("store_region_id", "product_id")),
     "stock_level": Report(
-        stock_health.stock_level, ("store_region_id", "product_id", "record_date")
+        stock_health.stock_level, ("store_region_id", "product_id", "record_date"), fact_reads=2
     ),
     "movement": Report(
         stock_health.movement, ("-understock_percentage", "store_region_id", "product_id")
@@ -49,17 +51,23 @@ REPORTS: dict[str, Report] = {
         demand.forecast_accuracy, ("-avg_forecast_error", "store_region_id", "product_id")
     ),
     "competitor_pricing": Report(
-        demand.competitor_pricing, ("-avg_competitor_price", "product_id")
+        demand.competitor_pricing, ("-avg_competitor_price", "product_id"), fact_reads=2
     ),
     "stockout_by_store": Report(
         stock_health.stockout_by_store, ("-stockout_rate_percentage", "store_region_id")
     ),
-    "discount_effect": Report(demand.discount_effect, ("-avg_discount", "product_id")),
+    "discount_effect": Report(
+        demand.discount_effect, ("-avg_discount", "product_id"), fact_reads=2
+    ),
     "reorder_point": Report(replenishment.reorder_points, ("store_region_id", "product_id")),
     "low_inventory": Report(
-        replenishment.low_inventory, ("record_date", "store_region_id", "product_id")
+        replenishment.low_inventory,
+        ("record_date", "store_region_id", "product_id"),
+        fact_reads=2,
+    ),
+    "turnover": Report(
+        demand.turnover, ("-inventory_turnover_ratio", "product_id"), fact_reads=2
     ),
-    "turnover": Report(demand.turnover, ("-inventory_turnover_ratio", "product_id")),
     "regional_summary": Report(demand.regional_summary, ("region",)),
     "kpi_summary": Report(demand.kpi_summary, ("store_region_id", "product_id")),
     "seasonal_demand": Report(
@@ -71,11 +79,23 @@ REPORTS: dict[str, Report] = {
     "stock_recommendations": Report(
         replenishment.stock_recommendations,
         ("-priority_score", "-holding_cost", "store_region_id", "product_id"),
+        fact_reads=2,
+    ),
+    "low_inventory_rollup": Report(
+        rollups.low_inventory_rollup, ("dimension", "member"), fact_reads=2
     ),
-    "low_inventory_rollup": Report(rollups.low_inventory_rollup, ("dimension", "member")),
     "reorder_vs_sales_rollup": Report(rollups.reorder_vs_sales_rollup, ("dimension", "member")),
     "monthly_trend": Report(rollups.monthly_trend, ("month_start",)),
     "turnover_by_category": Report(
-        rollups.turnover_by_category, ("-inventory_turnover_ratio", "category")
+        rollups.turnover_by_category, ("-inventory_turnover_ratio", "category"), fact_reads=2
     ),
 }
+
+
+def refresh_reports(star: Star, folder: str, names: list[str] | None = None) -> None:
+    """Write reports below ``folder`` as files that a reader can slice.
+
+    Rows are written unordered; a reader orders the few it shows.
+    """
+    for name in names or REPORTS:
+        write_report(REPORTS[name].rows(star), f"{folder}/{name}", mode="overwrite")

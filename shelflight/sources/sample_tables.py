@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelflight.operators import normalize
 from shelflight.schemas import STAGING
 from shelflight.star import Star
+from shelflight.storage import settle
 
 # The columns read, with their types in the files; naming them spares a pass
 # over the footers to infer the schema.
@@ -28,9 +29,30 @@ _COLUMNS = {
     "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
 }
 
-# Season by order key, and the price of one size step.
-_SEASONS = ["Winter", "Spring", "Summer", "Autumn"]
-_SIZE_PRICE = "0.75"
+# Staging columns over the joined tables. Rates are taken in whole percent, so
+# amounts are products of whole numbers and one exact factor.
+_DISCOUNT = "cast(rint(l_discount * 100) as int)"
+_TAX = "cast(rint(l_tax * 100) as int)"
+_SOLD = "cast(l_quantity as int)"
+_VALUES = {
+    "record_date": "cast(l_shipdate as date)",
+    "store_id": "store_id",
+    "product_id": "p_brand",
+    "category": "p_type",
+    "region": "region",
+    "store_region_id": "store_region_id",
+    "inventory_level": f"{_SOLD} + p_size",
+    "units_sold": _SOLD,
+    "units_ordered": "l_linenumber",
+    "demand_forecast": f"greatest({_SOLD} + 2 * (p_size - 25), 0)",
+    "price": "p_size * 0.75",
+    "discount": _DISCOUNT,
+    "weather_condition": "o_orderpriority",
+    "holiday_promotion": f"{_DISCOUNT} >= 5",
+    "competitor_pricing": f"p_size * (75 + {_TAX} - {_DISCOUNT}) * 0.01",
+    "seasonality": "element_at(array('Winter', 'Spring', 'Summer', 'Autumn'), "
+    "cast(l_orderkey % 4 as int) + 1)",
+}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,15 +60,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with their part and place, joined one table at a time so that
-    each join is planned from the size of a file, not from a guess at a join's."""
+    """Line items with their part and place.
+
+    Nations and regions do not grow with the data and are joined to each other
+    first. Parts and suppliers do; each joins on its own, so that every join is
+    planned from the size of a file: broadcast while small, else shuffled.
+    """
     table = partial(_table, spark, folder)
+    places = (
+        table("nation")
+        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            "n_nationkey",
+            F.col("n_name").alias("store_id"),
+            F.col("r_name").alias("region"),
+            F.concat("n_name", F.lit("_"), "r_name").alias("store_region_id"),
+        )
+    )
     return (
         table("lineitem")
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     )
 
 
@@ -58,38 +93,13 @@ def staging(spark: SparkSession, folder: str, weather: bool = True) -> DataFrame
     without its order keeps a NULL weather as well.
     """
     lines = _lines(spark, folder)
-    condition = F.lit(None).cast("string")
+    values = dict(_VALUES)
     if weather:
         orders = _table(spark, folder, "orders")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        condition = F.col("o_orderpriority")
-    sold = F.col("l_quantity").cast("int")
-    size = F.col("p_size")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
-    step = F.lit(_SIZE_PRICE).cast("decimal(3,2)")
-    season = F.element_at(
-        F.array(*[F.lit(name) for name in _SEASONS]), (F.col("l_orderkey") % 4 + 1).cast("int")
-    )
-    values = {
-        "record_date": F.col("l_shipdate"),
-        "store_id": F.col("n_name"),
-        "product_id": F.col("p_brand"),
-        "category": F.col("p_type"),
-        "region": F.col("r_name"),
-        "store_region_id": F.concat("n_name", F.lit("_"), "r_name"),
-        "inventory_level": sold + size,
-        "units_sold": sold,
-        "units_ordered": F.col("l_linenumber"),
-        "demand_forecast": F.greatest(sold + 2 * (size - 25), F.lit(0)),
-        "price": size * step,
-        "discount": discount * 100,
-        "weather_condition": condition,
-        "holiday_promotion": discount >= F.lit("0.05").cast("decimal(4,2)"),
-        "competitor_pricing": size * (step + tax - discount),
-        "seasonality": season,
-    }
-    return lines.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in STAGING])
+    else:
+        values["weather_condition"] = "cast(null as string)"
+    return lines.selectExpr(*[f"{text} as {name}" for name, text in values.items()]).to(STAGING)
 
 
 def daily_records(rows: DataFrame) -> DataFrame:
@@ -103,15 +113,22 @@ def daily_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def star(spark: SparkSession, folder: str) -> Star:
-    """The normalised tables of the sample, each planned when first read."""
+def star(spark: SparkSession, folder: str, settled: bool = False) -> Star:
+    """The normalised tables of the sample, each planned when first read.
+
+    ``settled`` writes the daily records to the shared folder first, for reports
+    that read the facts more than once: the line items are then joined and summed
+    in one pass, and both facts are projections of the table written.
+    """
     rows = staging(spark, folder, weather=False)
     daily = daily_records(rows)
+    if settled:
+        daily = settle(daily, "daily-records")
     return Star(
         stores=lambda: normalize.stores(rows),
         products=lambda: normalize.products(rows),
         seasonality=lambda: normalize.seasonality(rows),
         inventory=lambda: normalize.inventory(daily),
-        pricing=lambda: normalize.pricing(daily),
+        pricing=lambda: normalize.declared(daily, "pricing"),
         store_events=lambda: normalize.store_events(staging(spark, folder)),
     )
