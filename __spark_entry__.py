@@ -13,6 +13,7 @@ from oracles.sql import ORACLES
 from shelflight.operators import normalize, quality
 from shelflight.plans.reports import REPORTS, Report
 from shelflight.schemas import TABLES
+from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
 from shelflight.storage import fresh_path, read_star, write_star
 
@@ -74,11 +75,17 @@ def _star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicate_keys(sample_tables.staging(spark, sf_dir))
+    """Only the events need the weather, and with it the join to the orders."""
+    plain = sample_tables.staging(spark, sf_dir, weather=False)
+    others = [name for name in TABLES if name != "store_events"]
+    events = sample_tables.staging(spark, sf_dir)
+    return quality.duplicate_keys(plain, others).unionByName(
+        quality.duplicate_keys(events, ["store_events"])
+    )
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.orphans(sample_tables.star(spark, sf_dir))
+    return quality.orphans(sample_tables.star(spark, sf_dir, settled=True))
 
 
 def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +94,11 @@ def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Stock recommendations over the smallest sample."""
-    return _report(REPORTS["stock_recommendations"], spark, FLAGSHIP_DIR)
+    return queries()["stock_recommendations"](spark, FLAGSHIP_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    plans = {
         "load_staging": _load_staging,
         **{query: partial(_table, table) for query, table in _TABLE_QUERIES.items()},
         "fact_pricing": _pricing,
@@ -101,6 +108,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_domain": _domain,
         **{name: partial(_report, report) for name, report in REPORTS.items()},
     }
+    return {name: partial(_run, plan) for name, plan in plans.items()}
+
+
+def _run(plan: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(prepare(spark), sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:

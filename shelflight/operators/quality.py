@@ -46,9 +46,9 @@ def offered_rows(staging: DataFrame, table: str) -> DataFrame:
     return rows if table == "inventory" else rows.distinct()
 
 
-def duplicate_keys(staging: DataFrame) -> DataFrame:
-    """Key report of what the load offers to each of the six tables."""
-    reports = [key_report(offered_rows(staging, table), table) for table in TABLES]
+def duplicate_keys(staging: DataFrame, tables: list[str] | None = None) -> DataFrame:
+    """Key report of what the load offers to each table (all six unless named)."""
+    reports = [key_report(offered_rows(staging, name), name) for name in tables or TABLES]
     return reduce(DataFrame.unionByName, reports)
 
 
@@ -63,16 +63,14 @@ def require_unique(rows: DataFrame, table: str) -> DataFrame:
     return rows
 
 
-def _orphans(star: Star, child: str, parent: str, key: str) -> DataFrame:
-    """References without a parent. The child is counted per reference first, so
-    the anti-join sees each value once and no frequent value weighs on it."""
-    references = (
-        star.table(child).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+def _missing(references: DataFrame, parents: DataFrame, link: tuple[str, str, str]) -> DataFrame:
+    child, parent, key = link
+    used = (
+        references.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("rows").alias("rows"))
     )
-    parents = star.table(parent).select(key, F.lit(True).alias("known"))
     missing = F.col("known").isNull()
     return (
-        references.join(parents, key, "left")
+        used.join(parents.select(key, F.lit(True).alias("known")), key, "left")
         .agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_checked"),
             F.count_if(missing).alias("orphan_keys"),
@@ -88,8 +86,20 @@ def _orphans(star: Star, child: str, parent: str, key: str) -> DataFrame:
 
 
 def orphans(star: Star) -> DataFrame:
-    """One row per foreign key: references checked and references without a parent."""
-    return reduce(DataFrame.unionByName, [_orphans(star, *link) for link in FOREIGN_KEYS])
+    """One row per foreign key: references checked and references without a parent.
+
+    A child is counted once by all its references together. Each check starts
+    from those counts, so a large child is read once and a frequent reference
+    joins as a single row.
+    """
+    references = {
+        child: star.table(child)
+        .groupBy(*[key for name, _, key in FOREIGN_KEYS if name == child])
+        .agg(F.count("*").alias("rows"))
+        for child in dict.fromkeys(child for child, _, _ in FOREIGN_KEYS)
+    }
+    checks = [_missing(references[link[0]], star.table(link[1]), link) for link in FOREIGN_KEYS]
+    return reduce(DataFrame.unionByName, checks)
 
 
 def _whole_digits(amount: str) -> Column:

@@ -15,17 +15,16 @@ def load_star(
 ) -> Star:
     """Load raw records, normalise them, write the six tables below ``folder``.
 
-    The text is parsed once into a settled staging table that all tables derive
-    from. A line that does not fit the schema fails the load; a tolerant load
+    The text is parsed once, into a settled table that all others derive from. A line that does not fit the schema fails the load; a tolerant load
     sets it aside below ``folder``/rejected. A repeated inventory key fails
     either load.
     """
     if tolerant:
         accepted, rejected = csv_records.read_tolerant(spark, csv_path)
         rejected.write.parquet(f"{folder}/rejected")
+        staging = accepted
     else:
-        accepted = csv_records.read_strict(spark, csv_path)
-    staging = settle(accepted, "staging")
+        staging = settle(csv_records.read_strict(spark, csv_path), "staging")
     quality.require_unique(staging, "inventory")
     write_star(normalize.star(staging), folder)
     return read_star(spark, folder)

@@ -1,22 +1,30 @@
-"""A local session with the settings the reports are run with."""
+"""Session settings, and a local session for tests and the benchmark."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# On a cluster: adaptive execution sizes and splits shuffle partitions from their
-# measured size. Forcing the skew split also covers a join whose result is
-# grouped by the join key, at the price of one more shuffle where it applies.
-CLUSTER_SETTINGS = {
+# Adaptive execution sizes and splits shuffle partitions by what they measure.
+# Forcing the skew split also covers a join whose result is grouped by the join
+# key, at the price of one more shuffle where it applies.
+RUN_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
-    # Call sites of every column expression are not needed outside debugging.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Fixed when a session starts. Recording the call site of every column expression
+# slows planning down.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a running session the settings the reports are run with."""
+    for name, value in RUN_SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", **settings: str) -> SparkSession:
     builder = (
@@ -25,8 +33,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", **settings: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
     )
-    for name, value in {**CLUSTER_SETTINGS, **settings}.items():
+    for name, value in {**RUN_SETTINGS, **START_SETTINGS, **settings}.items():
         builder = builder.config(name, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelflight.schemas import CSV_RECORD, STAGING
+from shelflight.storage import settle
 
 REJECTED = "rejected_line"
 
@@ -20,38 +21,42 @@ _FORMAT = {
 }
 
 
-def _staged(records: DataFrame, *kept: str) -> DataFrame:
+def _staged(records: DataFrame) -> DataFrame:
     """Add the store-region key and bring the fields into staging order and types."""
-    keyed = records.withColumn("store_region_id", F.concat("store_id", F.lit("_"), "region"))
-    return keyed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STAGING], *kept)
+    return records.withColumns(
+        {
+            "store_region_id": F.concat("store_id", F.lit("_"), "region"),
+            "holiday_promotion": F.col("holiday_promotion").cast("boolean"),
+        }
+    ).to(STAGING)
 
 
 def read_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Staging rows; the first line that does not fit the schema fails the job.
+    """Staging rows; a line whose fields do not fit the schema fails the job.
 
-    Column pruning is off, so a bad field fails the job whichever columns are read.
+    Spark parses the fields a job reads. Write all of them, as the load does, to
+    have all of them checked.
     """
-    reader = spark.read.schema(CSV_RECORD).options(**_FORMAT, mode="FAILFAST", columnPruning="false")
+    reader = spark.read.schema(CSV_RECORD).options(**_FORMAT, mode="FAILFAST")
     return _staged(reader.csv(path))
 
 
 def read_tolerant(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Staging rows that fit the schema, and the text of the lines that do not."""
+    """Staging rows that fit the schema, and the text of the lines that do not.
+
+    The parsed lines are settled first: which lines are refused must not depend
+    on the columns a later job happens to read.
+    """
     schema = T.StructType([*CSV_RECORD.fields, T.StructField(REJECTED, T.StringType(), True)])
     reader = spark.read.schema(schema).options(
-        **_FORMAT, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, columnPruning="false"
-    )
-    staged = _staged(reader.csv(path), REJECTED)
-    accepted = staged.where(F.col(REJECTED).isNull()).drop(REJECTED)
-    rejected = staged.where(F.col(REJECTED).isNotNull()).select(
-        REJECTED, "record_date", "store_id", "product_id"
+        **_FORMAT, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED
     )
-    return accepted, rejected
+    parsed = settle(reader.csv(path), "parsed-records")
+    accepted = _staged(parsed.where(F.col(REJECTED).isNull()))
+    return accepted, parsed.where(F.col(REJECTED).isNotNull()).select(REJECTED)
 
 
 def write_records(staging: DataFrame, path: str) -> None:
     """Write staging rows in the raw file's format."""
-    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CSV_RECORD]
-    staging.select(*fields).write.options(
-        **{**_FORMAT, "dateFormat": "yyyy-MM-dd"}
-    ).csv(path)
+    records = staging.withColumn("holiday_promotion", F.col("holiday_promotion").cast("int"))
+    records.to(CSV_RECORD).write.options(**_FORMAT).csv(path)

@@ -1,0 +1,113 @@
+"""Dimensions and facts: first row wins, whatever order rows arrive in."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from shelflight.operators import normalize
+from shelflight.schemas import TABLES
+from tests.conftest import DAY
+
+LATER = DAY + dt.timedelta(days=1)
+
+
+def contents(frame):
+    return sorted(tuple(str(v) for v in row) for row in frame.collect())
+
+
+def test_first_by_date_then_store_then_value(staging_of):
+    rows = staging_of(
+        [
+            {"product_id": "A", "record_date": LATER, "category": "Early name", "store_id": "S0"},
+            {"product_id": "A", "record_date": DAY, "category": "Toys", "store_id": "S2"},
+            {"product_id": "A", "record_date": DAY, "category": "Zoo", "store_id": "S1"},
+            {"product_id": "A", "record_date": DAY, "category": "Yarn", "store_id": "S1"},
+            {"product_id": "B", "record_date": LATER, "category": "Food"},
+        ]
+    )
+    assert contents(normalize.products(rows)) == [("A", "Yarn"), ("B", "Food")]
+
+
+def test_seasonality_and_stores(staging_of):
+    rows = staging_of(
+        [
+            {"seasonality": "Winter", "record_date": LATER},
+            {"seasonality": "Summer", "record_date": DAY},
+            {"seasonality": "Spring", "region": "South", "record_date": LATER},
+        ]
+    )
+    assert contents(normalize.seasonality(rows)) == [("P1", "Summer")]
+    assert contents(normalize.stores(rows)) == [
+        ("S1_North", "S1", "North"),
+        ("S1_South", "S1", "South"),
+    ]
+
+
+def test_pricing_keeps_one_whole_row_per_key(staging_of):
+    rows = staging_of(
+        [
+            {"price": "9", "discount": "1", "competitor_pricing": "30"},
+            {"price": "8", "discount": "7", "competitor_pricing": "20"},
+            {"price": "8", "discount": "7", "competitor_pricing": "20"},
+            {"price": "8", "discount": "9", "competitor_pricing": "10"},
+        ]
+    )
+    assert contents(normalize.pricing(rows)) == [
+        ("S1_North", "P1", str(DAY), "8.00", "7.00", "20.00")
+    ]
+
+
+def test_store_events_keep_one_row_per_store_and_day(staging_of):
+    rows = staging_of(
+        [
+            {"weather_condition": "Sunny", "holiday_promotion": False, "product_id": "A"},
+            {"weather_condition": "Rainy", "holiday_promotion": True, "product_id": "B"},
+            {"weather_condition": "Rainy", "holiday_promotion": True, "product_id": "C"},
+            {"weather_condition": "Snowy", "record_date": LATER},
+        ]
+    )
+    assert contents(normalize.store_events(rows)) == [
+        ("S1_North", str(DAY), "Rainy", "True"),
+        ("S1_North", str(LATER), "Snowy", "False"),
+    ]
+
+
+def test_inventory_is_a_projection_and_keeps_repeated_keys(staging_of):
+    assert normalize.inventory(staging_of([{}, {}])).count() == 2
+
+
+def test_rows_without_a_key_stay_out(staging_of):
+    rows = staging_of([{"product_id": None}, {"record_date": None}, {"region": None}, {}])
+    star = normalize.star(rows)
+    assert star.inventory.count() == star.pricing.count() == star.store_events.where(
+        "record_date is not null"
+    ).dropDuplicates().count() == 1
+    assert star.products.count() == 1
+    assert contents(star.stores) == [("S1_North", "S1", "North")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_row_order_does_not_matter(staging_of, seed):
+    draw = random.Random(0)
+    rows = [
+        {
+            "record_date": DAY + dt.timedelta(days=draw.randrange(3)),
+            "store_id": f"S{draw.randrange(3)}",
+            "product_id": f"P{draw.randrange(4)}",
+            "category": draw.choice(["Toys", "Food", "Tools"]),
+            "seasonality": draw.choice(["Winter", "Summer"]),
+            "weather_condition": draw.choice(["Sunny", "Rainy"]),
+            "holiday_promotion": draw.random() < 0.5,
+            "price": str(draw.randrange(1, 9)),
+        }
+        for _ in range(200)
+    ]
+    straight = normalize.star(staging_of(rows))
+    random.Random(seed).shuffle(rows)
+    mixed = normalize.star(staging_of(rows).repartition(7))
+    for name in TABLES:
+        assert contents(straight.table(name)) == contents(mixed.table(name)), name
+        assert straight.table(name).schema == TABLES[name], name

@@ -1,0 +1,177 @@
+"""Each label, on both sides of each boundary and on it."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelflight.functions import rules
+from shelflight.functions.numeric import amount_ratio, larger, mean_gap, ratio, whole_text
+
+
+@pytest.fixture(scope="module")
+def value(spark):
+    one = spark.range(1)
+    return lambda column: one.select(column.alias("v")).first().v
+
+
+def lit(x, kind=None):
+    column = F.lit(x)
+    return column.cast(kind) if kind else column
+
+
+def amount(x):
+    return F.lit(x).cast("decimal(20,2)")
+
+
+@pytest.mark.parametrize(
+    ("part", "rows", "percent", "label"),
+    [(10, 100, 10, "Slow-moving"), (11, 100, 10, "Fast-selling"), (1, 20, 5, "Slow-moving"),
+     (2, 20, 5, "Fast-selling"), (None, 20, 5, "Slow-moving")],
+)
+def test_movement(value, part, rows, percent, label):
+    assert value(rules.movement(lit(part, "bigint"), lit(rows), percent)) == label
+
+
+def test_movement_takes_other_labels(value):
+    assert value(rules.movement(lit(2), lit(10), 10, fast=rules.FAST_MOVING)) == "Fast-moving"
+
+
+def test_status_labels(value):
+    assert value(rules.stock_status(lit(True))) == "Understock"
+    assert value(rules.stock_status(lit(False))) == "Normal"
+    assert value(rules.inventory_status(lit(5), lit(5.0))) == "Low Inventory"
+    assert value(rules.inventory_status(lit(6), lit(5.5))) == "Sufficient"
+    assert value(rules.inventory_status(lit(6), lit(None, "double"))) == "Sufficient"
+    assert value(rules.store_performance(lit(1.0), lit(2.0))) == "Good Performance"
+    same = rules.store_performance(lit(2.0), lit(2.0))
+    assert value(same) == "Poor Performance - High Stockouts"
+
+
+def test_reorder_point(value):
+    assert value(rules.reorder_point(lit(True), lit(8.0), lit(4.0))) == 8.0
+    assert value(rules.reorder_point(lit(False), lit(8.0), lit(4.0))) == 6.0
+
+
+def test_safety_stock_takes_the_larger_and_keeps_null(value):
+    assert value(rules.safety_stock(lit(10.0), lit(1.0))) == 30.0
+    assert value(rules.safety_stock(lit(1.0), lit(10.0))) == pytest.approx(1.65 * 10 * 7**0.5)
+    assert value(rules.safety_stock(lit(1.0), lit(None, "double"))) is None
+
+
+def test_optimal_stock(value):
+    assert value(rules.optimal_stock(lit(True), lit(10.0), lit(4.0))) == 16.0
+    assert value(rules.optimal_stock(lit(False), lit(10.0), lit(4.0))) == 12.0
+
+
+# is_fast, mean stock, optimal, cost, urgent -> text start, priority, impact at price 10
+CASES = [
+    (False, 100.0, 90.0, 1000.01, False, "REDUCE: High holding cost slow-mover. Reduce by 30 units to optimize costs", 5, 75.0),
+    (False, 100.0, 20.0, 1000.01, False, "REDUCE: High holding cost slow-mover. Reduce by 80 units to optimize costs", 5, 200.0),
+    (False, 100.0, 90.0, 1000.0, False, "MAINTAIN: Low-cost slow-mover. Current level acceptable, monitor sales trends", 2, 0.0),
+    (False, 100.0, 90.0, 500.01, False, "MAINTAIN: Low-cost slow-mover. Current level acceptable, monitor sales trends", 2, 0.0),
+    (False, 100.0, 90.0, 500.0, False, "MAINTAIN: Low-cost slow-mover. Current level acceptable, monitor sales trends", 1, 0.0),
+    (True, 10.0, 30.5, 1.0, False, "INCREASE: Fast-seller understocked. Increase by 21 units to prevent stockouts", 3, 20.5),
+    (True, 10.0, 30.0, 1.0, True, "INCREASE: Fast-seller understocked. Increase by 20 units to prevent stockouts", 4, 20.0),
+    (True, 30.0, 30.0, 1.0, False, "OPTIMIZE: Fast-seller well-stocked. Fine-tune to 30 units for efficiency", 1, 0.0),
+    (True, 40.0, 30.0, 1.0, True, "OPTIMIZE: Fast-seller well-stocked. Fine-tune to 30 units for efficiency", 4, 0.0),
+    (False, 100.0, 90.0, None, False, "REVIEW: Analyze sales pattern and adjust accordingly", 1, 0.0),
+    (True, 100.0, None, 1.0, False, "REVIEW: Analyze sales pattern and adjust accordingly", 1, 0.0),
+]
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_actions(value, case):
+    fast, stock, optimal, cost, urgent, text, priority, impact = case
+    args = lit(fast), lit(stock), lit(optimal, "double"), lit(cost, "double")
+    assert value(rules.recommendation(*args)) == text
+    assert value(rules.priority(args[0], lit(urgent), *args[1:])) == priority
+    assert value(rules.cost_impact(*args, lit(10.0))) == impact
+
+
+def test_holding_cost_rounds_an_exact_half_up(value):
+    cost = rules.holding_cost(lit(618), lit(10), amount("1023.00"), lit(40))
+    assert value(F.round(cost, 2)) == 1580.54
+
+
+def test_turnover_and_age(value):
+    assert value(rules.turnover_ratio(lit(10.0), lit(4.0))) == 2.5
+    assert value(rules.turnover_ratio(lit(10.0), lit(0.0))) is None
+    assert value(rules.inventory_age(lit(0.0), lit(None, "double"))) is None
+    assert value(rules.inventory_age(lit(2.0), lit(1.005))) == 1.01
+
+
+def test_forecast_quality(value):
+    assert value(rules.forecast_quality(lit(9.99))) == "Good Forecast"
+    assert value(rules.forecast_quality(lit(10.0))) == "Poor Forecast"
+    assert value(rules.forecast_quality(lit(None, "double"))) == "Poor Forecast"
+
+
+@pytest.mark.parametrize(
+    ("x", "label"), [(9, "PEAK MONTH"), (1, "TROUGH MONTH"), (6, "Above Average"), (4, "Below Average")]
+)
+def test_sales_position(value, x, label):
+    assert value(rules.sales_position(lit(x), lit(9), lit(1), lit(x > 5))) == label
+
+
+def test_peak_is_tested_before_trough(value):
+    assert value(rules.sales_position(lit(3), lit(3), lit(3), lit(False))) == "PEAK MONTH"
+    assert value(rules.forecast_position(lit(3), lit(3), lit(3), lit(False))) == "PEAK FORECAST"
+
+
+@pytest.mark.parametrize(
+    ("x", "label"),
+    [(9, "PEAK FORECAST"), (1, "TROUGH FORECAST"), (6, "Above Avg Forecast"), (4, "Below Avg Forecast")],
+)
+def test_forecast_position(value, x, label):
+    assert value(rules.forecast_position(lit(x), lit(9), lit(1), lit(x > 5))) == label
+
+
+@pytest.mark.parametrize(
+    ("forecast", "label"),
+    [("104.99", "Excellent"), ("95", "Good"), ("105", "Good"), ("109.99", "Good"), ("110", "Fair"),
+     ("119.99", "Fair"), ("120", "Poor"), ("129.99", "Poor"), ("130", "Very Poor")],
+)
+def test_accuracy_rating(value, forecast, label):
+    assert value(rules.accuracy_rating(lit(100), amount(forecast))) == f"{label} Forecast"
+
+
+def test_no_sales_rate_last_and_have_no_percentage(value):
+    assert value(rules.accuracy_rating(lit(0), amount("0"))) == "Very Poor Forecast"
+    assert value(rules.percentage_error(lit(0), amount("5"))) is None
+    assert value(rules.percentage_error(lit(8), amount("9"))) == 12.5
+
+
+@pytest.mark.parametrize(
+    ("forecast", "label"),
+    [("110.01", "Over-Forecasted"), ("110", "Well-Calibrated"), ("90", "Well-Calibrated"),
+     ("89.99", "Under-Forecasted"), (None, "Well-Calibrated")],
+)
+def test_forecast_bias(value, forecast, label):
+    assert value(rules.forecast_bias(lit(100), amount(forecast))) == label
+
+
+@pytest.mark.parametrize(
+    ("sales", "label"),
+    [(121, "High"), (120, "Good"), (101, "Good"), (100, "Average"), (81, "Average"), (80, "Low")],
+)
+def test_region_rating(value, sales, label):
+    rating = rules.region_rating(lit(sales), lit(1200), lit(12))
+    assert value(rating) == f"{label} Performing Region"
+
+
+def test_variance_and_projection(value):
+    assert value(rules.variance_from_mean(lit(150), lit(1200), lit(12))) == 50.0
+    assert value(rules.variance_from_mean(lit(150), lit(0), lit(12))) is None
+    assert value(rules.trend_projection(lit(10), lit(4))) == 13.0
+    assert value(rules.trend_projection(lit(10), lit(None, "bigint"))) is None
+
+
+def test_quotients(value):
+    assert value(ratio(lit(1), lit(0))) is None
+    # 252.95 / 10 ends on a half that its double quotient misses.
+    assert value(F.round(amount_ratio(amount("252.95"), lit(10)), 2)) == 25.3
+    assert value(mean_gap(lit(513), lit(10), lit(253), lit(10))) == 26.0
+    assert value(larger(lit(1.0), lit(None, "double"))) is None
+    assert value(whole_text(lit(12.5))) == "13"
+    assert value(whole_text(lit(-12.5))) == "-13"
