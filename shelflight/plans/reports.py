@@ -23,7 +23,7 @@ class Report:
     plan: Callable[..., DataFrame]
     order: tuple[str, ...]  # a leading "-" sorts descending
     hidden: tuple[str, ...] = ()  # sorted by, not shown
-    fact_reads: int = 1  # how often the plan reads the daily facts
+    reread: tuple[str, ...] = ()  # measures of the facts that the plan reads twice
 
     def rows(self, star: Star, **options) -> DataFrame:
         """The report without its order."""
@@ -34,10 +34,16 @@ class Report:
         return self.plan(star, **options).orderBy(*keys).drop(*self.hidden)
 
 
+# Measures of the facts, as the reports that read them twice name them.
+_STOCK = ("inventory_level", "units_sold")
+_PRICED_STOCK = (*_STOCK, "price")
+
 REPORTS: dict[str, Report] = {
     "sales_profile": Report(stock_health.sales_profile, ("store_region_id", "product_id")),
     "stock_level": Report(
-        stock_health.stock_level, ("store_region_id", "product_id", "record_date"), fact_reads=2
+        stock_health.stock_level,
+        ("store_region_id", "product_id", "record_date"),
+        reread=_STOCK,
     ),
     "movement": Report(
         stock_health.movement, ("-understock_percentage", "store_region_id", "product_id")
@@ -51,22 +57,24 @@ REPORTS: dict[str, Report] = {
         demand.forecast_accuracy, ("-avg_forecast_error", "store_region_id", "product_id")
     ),
     "competitor_pricing": Report(
-        demand.competitor_pricing, ("-avg_competitor_price", "product_id"), fact_reads=2
+        demand.competitor_pricing,
+        ("-avg_competitor_price", "product_id"),
+        reread=("units_sold", "price", "competitor_pricing"),
     ),
     "stockout_by_store": Report(
         stock_health.stockout_by_store, ("-stockout_rate_percentage", "store_region_id")
     ),
     "discount_effect": Report(
-        demand.discount_effect, ("-avg_discount", "product_id"), fact_reads=2
+        demand.discount_effect, ("-avg_discount", "product_id"), reread=("units_sold", "discount")
     ),
     "reorder_point": Report(replenishment.reorder_points, ("store_region_id", "product_id")),
     "low_inventory": Report(
         replenishment.low_inventory,
         ("record_date", "store_region_id", "product_id"),
-        fact_reads=2,
+        reread=_STOCK,
     ),
     "turnover": Report(
-        demand.turnover, ("-inventory_turnover_ratio", "product_id"), fact_reads=2
+        demand.turnover, ("-inventory_turnover_ratio", "product_id"), reread=_PRICED_STOCK
     ),
     "regional_summary": Report(demand.regional_summary, ("region",)),
     "kpi_summary": Report(demand.kpi_summary, ("store_region_id", "product_id")),
@@ -79,15 +87,17 @@ REPORTS: dict[str, Report] = {
     "stock_recommendations": Report(
         replenishment.stock_recommendations,
         ("-priority_score", "-holding_cost", "store_region_id", "product_id"),
-        fact_reads=2,
+        reread=_PRICED_STOCK,
     ),
     "low_inventory_rollup": Report(
-        rollups.low_inventory_rollup, ("dimension", "member"), fact_reads=2
+        rollups.low_inventory_rollup, ("dimension", "member"), reread=_STOCK
     ),
     "reorder_vs_sales_rollup": Report(rollups.reorder_vs_sales_rollup, ("dimension", "member")),
     "monthly_trend": Report(rollups.monthly_trend, ("month_start",)),
     "turnover_by_category": Report(
-        rollups.turnover_by_category, ("-inventory_turnover_ratio", "category"), fact_reads=2
+        rollups.turnover_by_category,
+        ("-inventory_turnover_ratio", "category"),
+        reread=_PRICED_STOCK,
     ),
 }
 

@@ -11,9 +11,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelflight.operators import normalize
-from shelflight.schemas import STAGING
+from shelflight.schemas import STAGING, TABLES
 from shelflight.star import Star
 from shelflight.storage import settle
 
@@ -102,33 +103,43 @@ def staging(spark: SparkSession, folder: str, weather: bool = True) -> DataFrame
     return lines.selectExpr(*[f"{text} as {name}" for name, text in values.items()]).to(STAGING)
 
 
+_DAY = ["record_date", "store_region_id", "product_id"]
+_ADDED = ["inventory_level", "units_sold", "units_ordered", "demand_forecast"]
+_HIGHEST = ["price", "discount", "competitor_pricing"]
+MEASURES = (*_ADDED, *_HIGHEST)
+
+
 def daily_records(rows: DataFrame) -> DataFrame:
     """Lines of a store-region, product and day as one record: amounts add up,
     the highest price, discount and competitor price stand."""
-    added = ["inventory_level", "units_sold", "units_ordered", "demand_forecast"]
-    highest = ["price", "discount", "competitor_pricing"]
-    return rows.groupBy("record_date", "store_region_id", "product_id").agg(
-        *[F.sum(name).alias(name) for name in added],
-        *[F.max(name).alias(name) for name in highest],
+    return rows.groupBy(*_DAY).agg(
+        *[F.sum(name).alias(name) for name in _ADDED],
+        *[F.max(name).alias(name) for name in _HIGHEST],
     )
 
 
-def star(spark: SparkSession, folder: str, settled: bool = False) -> Star:
+def star(spark: SparkSession, folder: str, settled: tuple[str, ...] = ()) -> Star:
     """The normalised tables of the sample, each planned when first read.
 
-    ``settled`` writes the daily records to the shared folder first, for reports
-    that read the facts more than once: the line items are then joined and summed
-    in one pass, and both facts are projections of the table written.
+    ``settled`` names the measures of a report that reads the daily records more
+    than once. They are written to the shared folder first, so the line items are
+    joined and summed in one pass, and both facts are read from the table
+    written. The facts then hold these measures only.
     """
     rows = staging(spark, folder, weather=False)
     daily = daily_records(rows)
     if settled:
-        daily = settle(daily, "daily-records")
+        daily = settle(daily.select(*_DAY, *settled), "daily-records")
+
+    def fact(name: str) -> DataFrame:
+        declared = [f for f in TABLES[name].fields if f.name in daily.columns]
+        return daily.to(T.StructType(declared))
+
     return Star(
         stores=lambda: normalize.stores(rows),
         products=lambda: normalize.products(rows),
         seasonality=lambda: normalize.seasonality(rows),
-        inventory=lambda: normalize.inventory(daily),
-        pricing=lambda: normalize.declared(daily, "pricing"),
+        inventory=lambda: fact("inventory"),
+        pricing=lambda: fact("pricing"),
         store_events=lambda: normalize.store_events(staging(spark, folder)),
     )
