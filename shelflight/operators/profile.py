@@ -1,22 +1,39 @@
 """Stock thresholds, understock flags and their rates per group.
 
 ``net`` is the stock left after the day's sales. A group's threshold is
-mean(net) - sigma * population deviation(net); a row is understocked when its
+mean(net) - sigma * population deviation(net); a record is understocked when its
 net lies strictly below it.
 
-The rates need the threshold before they can count, which read naively means
-two passes over the fact. Here the fact is counted once per (group, net), and
-the threshold, the flags and every mean follow from those counts. The count
-combines map-side, so a group that holds a large part of all rows reaches the
-shuffle as one row per distinct stock level.
+Groups are described by sums, which combine map-side however many records a
+group holds, and which merge into the sums of coarser groups. The records then
+meet their group's threshold in a join to a table of known size: no record is
+shuffled while that table can be broadcast, and no group is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions.numeric import ratio, scaled_spread, whole
+from shelflight.schemas import STORE_PRODUCT
+from shelflight.star import Star
+from shelflight.storage import settle
+
+# What the flag of a record needs to know of its group.
+LIMITS = ["net_rows", "net_sum", "net_spread"]
+
+SUMS = [
+    "total_days",
+    "net_rows",
+    "net_sum",
+    "net_squares",
+    "stock_rows",
+    "stock_sum",
+    "sold_rows",
+    "sold_sum",
+    "sold_squares",
+]
 
 
 def net_stock() -> Column:
@@ -24,127 +41,98 @@ def net_stock() -> Column:
 
 
 def sum_of_squares(value: Column) -> Column:
-    """Exact sum of squares of an integer column."""
-    return F.sum((value.cast("bigint") * value).cast("decimal(28,0)"))
+    """Exact sum of squares of an integer column.
 
+    The squares are summed in two parts, each a plain 64-bit sum, which are put
+    together once per group: a decimal sum per record doubles the aggregate's time.
+    """
+    square = value.cast("bigint") * value
+    high = F.sum(F.shiftright(square, 20))
+    low = F.sum(square.bitwiseAND(F.lit((1 << 20) - 1)))
+    return whole(high) * (1 << 20) + low
 
-# ---- thresholds and flags ----------------------------------------------------
 
+# ---- groups --------------------------------------------------------------------
 
-def group_threshold(inventory: DataFrame, keys: list[str], sigma: float) -> DataFrame:
-    """One row per group: threshold, mean and deviation of net.
 
-    One partial aggregate: only the groups leave each task.
-    """
-    net = F.col("net")
-    moments = (
-        inventory.select(*keys, net_stock().alias("net"))
+def group_moments(inventory: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Counts and sums per group; those a report does not read are pruned."""
+    net, sold = F.col("net"), F.col("units_sold")
+    return (
+        inventory.withColumn("net", net_stock())
         .groupBy(*keys)
         .agg(
+            F.count("*").alias("total_days"),
             F.count(net).alias("net_rows"),
             F.sum(net).alias("net_sum"),
             sum_of_squares(net).alias("net_squares"),
+            F.count("inventory_level").alias("stock_rows"),
+            F.sum("inventory_level").alias("stock_sum"),
+            F.count(sold).alias("sold_rows"),
+            F.sum(sold).alias("sold_sum"),
+            sum_of_squares(sold).alias("sold_squares"),
+            *sums,
         )
     )
-    return _with_threshold(moments, sigma)
 
 
-def _with_threshold(moments: DataFrame, sigma: float) -> DataFrame:
+def merge_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and sums of coarser groups from those of finer ones."""
+    return moments.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in SUMS])
+
+
+def with_threshold(moments: DataFrame, sigma: float) -> DataFrame:
+    """Moments with the threshold of each group and the spread behind it."""
     rows, total = F.col("net_rows"), F.col("net_sum")
     spread = scaled_spread(rows, total, F.col("net_squares"))
-    return (
-        moments.withColumn("net_spread", spread)
-        .drop("net_squares")
-        .withColumn("threshold", ratio(total, rows) - sigma * ratio(F.col("net_spread"), rows))
+    return moments.withColumn("net_spread", spread).withColumn(
+        "threshold", ratio(total, rows) - sigma * ratio(F.col("net_spread"), rows)
     )
 
 
-def flag_below(stock: DataFrame, sigma: float) -> DataFrame:
-    """Mark the rows whose ``net`` lies below the threshold of their group.
-
-    The test is total - rows * net > sigma * (rows * deviation), the threshold
-    multiplied out. Its left side is a whole number, so rounding noise cannot
-    flag a net that lies exactly on the threshold. NULL is not flagged.
-    """
-    gap = (whole(F.col("net_sum")) - whole(F.col("net_rows")) * F.col("net")).cast("double")
-    return stock.withColumn("below", F.coalesce(gap > F.col("net_spread") * sigma, F.lit(False)))
+# ---- records -------------------------------------------------------------------
 
 
-def flag_rate(flagged: DataFrame, keys: list[str], rows: Column, *sums: Column) -> DataFrame:
-    """Rows, flagged rows and flagged percent per group, with further sums if given.
+def flag_below(records: DataFrame, sigma: float) -> DataFrame:
+    """Mark the records whose ``net`` lies below the threshold of their group.
 
-    ``rows`` says how many fact rows an input row stands for.
+    The records carry the ``LIMITS`` of their group. The test is
+    total - rows * net > sigma * (rows * deviation), the threshold multiplied out.
+    Its left side is a whole number, so rounding noise cannot flag a net that lies
+    exactly on the threshold. NULL is not flagged.
     """
-    counted = flagged.groupBy(*keys).agg(
-        F.sum(rows).alias("total_days"),
-        F.sum(F.when(F.col("below"), rows).otherwise(0)).alias("understock_days"),
-        *sums,
-    )
-    return counted.withColumn("understock_percentage", flagged_percent())
-
-
-def flagged_percent() -> Column:
-    return ratio(F.col("understock_days") * 100, F.col("total_days"))
+    gap = (F.col("net_sum") - F.col("net_rows") * F.col("net")).cast("double")
+    return records.withColumn("below", F.coalesce(gap > F.col("net_spread") * sigma, F.lit(False)))
 
 
-# ---- one pass over the fact --------------------------------------------------
+def flag_rate(inventory: DataFrame, limits: DataFrame, keys: list[str], sigma: float) -> DataFrame:
+    """``limits`` with the flagged days of each group and their percentage.
 
-
-def net_counts(inventory: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
-    """Fact rows per (group, net), with the stock and sales sums that means need.
-
-    Sums that a report does not read are pruned from the plan.
+    ``limits`` has one row per group, with its ``LIMITS`` and ``total_days``. Only
+    flagged records are counted, map-side first.
     """
-    sold = F.col("units_sold")
-    return (
-        inventory.withColumn("net", net_stock())
-        .groupBy(*keys, "net")
-        .agg(
-            F.count("*").alias("rows"),
-            F.count("inventory_level").alias("stock_rows"),
-            F.sum("inventory_level").alias("stock_sum"),
-            F.count(sold).alias("sold_rows"),
-            F.sum(sold).alias("sold_sum"),
-            sum_of_squares(sold).alias("sold_squares"),
-            *sums,
-        )
+    records = inventory.select(*keys, net_stock().alias("net"))
+    flagged = flag_below(records.join(limits.select(*keys, *LIMITS), keys), sigma)
+    short = flagged.where("below").groupBy(*keys).agg(F.count("*").alias("understock_days"))
+    days = F.coalesce("understock_days", F.lit(0))
+    return limits.join(short, keys, "left").withColumns(
+        {
+            "understock_days": days,
+            "understock_percentage": ratio(days * 100, F.col("total_days")),
+        }
     )
 
 
-SUMS = ["rows", "stock_rows", "stock_sum", "sold_rows", "sold_sum", "sold_squares"]
-
-
-def merge_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per (group, net) of a coarser group, from counts of a finer one."""
-    return counts.groupBy(*keys, "net").agg(*[F.sum(name).alias(name) for name in SUMS])
+def settled_moments(inventory: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """``group_moments`` written to the shared folder, so that joins know its size."""
+    return settle(group_moments(inventory, keys, *sums), "moments")
 
 
 def understock_profile(
-    counts: DataFrame, keys: list[str], sigma: float, *sums: Column
+    inventory: DataFrame, moments: DataFrame, keys: list[str], sigma: float
 ) -> DataFrame:
-    """One row per group from ``net_counts``: threshold, flagged days, means, deviations.
-
-    The window runs over the counts, not the fact: a group has one row there per
-    distinct stock level, however many records it has.
-    """
-    group = Window.partitionBy(*keys)
-    net, rows = F.col("net"), F.col("rows")
-    moments = counts.withColumns(
-        {
-            "net_rows": F.sum(F.when(net.isNotNull(), rows)).over(group),
-            "net_sum": F.sum(net * rows).over(group),
-            "net_squares": F.sum(whole(net * rows) * whole(net)).over(group),
-        }
-    )
-    flagged = flag_below(_with_threshold(moments, sigma), sigma)
-    profile = flag_rate(
-        flagged,
-        keys,
-        rows,
-        *[F.max(name).alias(name) for name in ("net_rows", "net_sum", "net_spread", "threshold")],
-        *[F.sum(name).alias(name) for name in SUMS[1:]],
-        *sums,
-    )
+    """One row per group of settled moments: threshold, flagged days, means, deviations."""
+    profile = flag_rate(inventory, with_threshold(moments, sigma), keys, sigma)
     sold_rows = F.col("sold_rows")
     sold_spread = scaled_spread(sold_rows, F.col("sold_sum"), F.col("sold_squares"))
     return profile.withColumns(
@@ -155,3 +143,15 @@ def understock_profile(
             "spread_sales": ratio(sold_spread, sold_rows),
         }
     )
+
+
+# ---- store-products of a star ----------------------------------------------------
+
+
+def store_product_moments(star: Star) -> DataFrame:
+    """Settled moments per store-product, shared by the reports on one star."""
+    return star.derived("moments", lambda: settled_moments(star.inventory, STORE_PRODUCT))
+
+
+def store_product_profile(star: Star, sigma: float) -> DataFrame:
+    return understock_profile(star.inventory, store_product_moments(star), STORE_PRODUCT, sigma)

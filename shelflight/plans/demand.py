@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.functions.numeric import amount_ratio, mean_gap, mean_ratio, ratio, whole
-from shelflight.operators.profile import merge_counts, net_counts, understock_profile
+from shelflight.operators.profile import (
+    LIMITS,
+    flag_rate,
+    merge_moments,
+    store_product_moments,
+    store_product_profile,
+    with_threshold,
+)
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
+from shelflight.storage import settle
 
 
 def category_summary(star: Star) -> DataFrame:
@@ -133,15 +141,23 @@ def turnover(star: Star) -> DataFrame:
 def regional_summary(star: Star, sigma: float = 1.0) -> DataFrame:
     """Stock, sales and stockouts per region, thresholds per region and product.
 
-    The fact is counted per store-product before the region joins, and a region's
-    distinct products are the rows of its profile. The ``avg_..._per_product``
-    columns are means over records.
+    Sums per store-product merge into those per region and product, whose rows
+    are a region's distinct products. Each store-product then takes the threshold
+    of its region, so the records still join on their own key. The
+    ``avg_..._per_product`` columns are means over records.
     """
-    keys = ["region", "product_id"]
-    counts = net_counts(star.inventory, STORE_PRODUCT).join(star.stores, "store_region_id")
-    profile = understock_profile(merge_counts(counts, keys), keys, sigma)
-    stockouts, records = F.sum("understock_days"), F.sum("total_days")
-    return profile.groupBy("region").agg(
+    placed = store_product_moments(star).join(star.stores, "store_region_id")
+    cells = merge_moments(placed, ["region", "product_id"])
+    limits = with_threshold(cells, sigma).select("region", "product_id", *LIMITS)
+    pairs = placed.select(*STORE_PRODUCT, "region", "total_days").join(
+        limits, ["region", "product_id"]
+    )
+    flagged = flag_rate(star.inventory, settle(pairs, "region-limits"), STORE_PRODUCT, sigma)
+    stockouts = flagged.groupBy("region").agg(
+        F.sum("understock_days").alias("total_stockout_days"),
+        F.sum("total_days").alias("total_records"),
+    )
+    totals = cells.groupBy("region").agg(
         F.count("product_id").alias("distinct_products"),
         F.sum("stock_sum").alias("total_inventory"),
         F.sum("sold_sum").alias("total_units_sold"),
@@ -149,15 +165,16 @@ def regional_summary(star: Star, sigma: float = 1.0) -> DataFrame:
             "avg_inventory_per_product"
         ),
         F.round(ratio(F.sum("sold_sum"), F.sum("sold_rows")), 2).alias("avg_sales_per_product"),
-        stockouts.alias("total_stockout_days"),
-        records.alias("total_records"),
-        F.round(ratio(stockouts * 100, records), 2).alias("stockout_rate_percentage"),
+    )
+    rate = ratio(F.col("total_stockout_days") * 100, F.col("total_records"))
+    return totals.join(stockouts, "region").withColumn(
+        "stockout_rate_percentage", F.round(rate, 2)
     )
 
 
 def kpi_summary(star: Star, sigma: float = 1.0) -> DataFrame:
     """Stockout rate, means and days of stock on hand per store-product."""
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     age = mean_ratio(
         F.col("stock_sum"), F.col("stock_rows"), F.col("sold_sum"), F.col("sold_rows")
     )

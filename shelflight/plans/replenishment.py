@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.functions.numeric import amount_ratio, mean_gap
-from shelflight.operators.profile import net_counts, understock_profile
+from shelflight.operators.profile import (
+    settled_moments,
+    store_product_profile,
+    understock_profile,
+)
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
 from shelflight.storage import settle
@@ -29,7 +33,7 @@ def reorder_points(
 ) -> DataFrame:
     """Reorder point per store-product. The label and the formula have their own
     limits, so a row labelled slow may carry the fast formula."""
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     points = _with_reorder_point(profile, formula_percent).join(star.products, "product_id")
     label = rules.movement(
         F.col("understock_days"), F.col("total_days"), label_percent, fast=rules.FAST_MOVING
@@ -50,7 +54,7 @@ def reorder_points(
 
 def low_inventory(star: Star, sigma: float = 1.0, fast_percent: int = 5) -> DataFrame:
     """Every record's stock against the reorder point of its store-product."""
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     points = (
         _with_reorder_point(profile, fast_percent)
         .join(star.products, "product_id")
@@ -84,7 +88,7 @@ def _stock_targets(profile: DataFrame, fast_percent: int) -> DataFrame:
 
 def safety_stock(star: Star, sigma: float = 1.3, fast_percent: int = 10) -> DataFrame:
     """Safety stock for a seven-day lead time beside the optimal level."""
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     return _stock_targets(profile, fast_percent).select(
         *STORE_PRODUCT,
         "product_movement",
@@ -97,15 +101,15 @@ def stock_recommendations(star: Star, sigma: float = 1.3, fast_percent: int = 10
     """Movement, holding cost, target level, action, priority and cost per store-product.
 
     Thresholds and sales come from all records, holding costs from the records
-    that have a price. One left join on the full key serves both, and one count
-    per (store-product, net) carries the sums of either kind.
+    that have a price. One left join of the two facts on their full key serves
+    both kinds of sums.
     """
     prices = star.pricing.select(
         "record_date", *STORE_PRODUCT, "price", F.lit(1).alias("priced")
     )
     records = star.inventory.join(prices, ["record_date", *STORE_PRODUCT], "left")
     priced_stock = F.when(F.col("priced") == 1, F.col("inventory_level"))
-    counts = net_counts(
+    moments = settled_moments(
         records,
         STORE_PRODUCT,
         F.count("priced").alias("priced_rows"),
@@ -114,10 +118,7 @@ def stock_recommendations(star: Star, sigma: float = 1.3, fast_percent: int = 10
         F.sum("price").alias("price_sum"),
         F.count("price").alias("price_rows"),
     )
-    carried = ["priced_rows", "priced_stock_sum", "priced_stock_rows", "price_sum", "price_rows"]
-    profile = understock_profile(
-        counts, STORE_PRODUCT, sigma, *[F.sum(name).alias(name) for name in carried]
-    )
+    profile = understock_profile(star.inventory, moments, STORE_PRODUCT, sigma)
     priced_stock_total = F.col("priced_stock_sum"), F.col("priced_stock_rows")
     price_total = F.col("price_sum"), F.col("price_rows")
     targets = (

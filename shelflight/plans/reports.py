@@ -46,7 +46,9 @@ REPORTS: dict[str, Report] = {
         reread=_STOCK,
     ),
     "movement": Report(
-        stock_health.movement, ("-understock_percentage", "store_region_id", "product_id")
+        stock_health.movement,
+        ("-understock_percentage", "store_region_id", "product_id"),
+        reread=_STOCK,
     ),
     "overstock": Report(
         stock_health.overstock,
@@ -62,12 +64,16 @@ REPORTS: dict[str, Report] = {
         reread=("units_sold", "price", "competitor_pricing"),
     ),
     "stockout_by_store": Report(
-        stock_health.stockout_by_store, ("-stockout_rate_percentage", "store_region_id")
+        stock_health.stockout_by_store,
+        ("-stockout_rate_percentage", "store_region_id"),
+        reread=_STOCK,
     ),
     "discount_effect": Report(
         demand.discount_effect, ("-avg_discount", "product_id"), reread=("units_sold", "discount")
     ),
-    "reorder_point": Report(replenishment.reorder_points, ("store_region_id", "product_id")),
+    "reorder_point": Report(
+        replenishment.reorder_points, ("store_region_id", "product_id"), reread=_STOCK
+    ),
     "low_inventory": Report(
         replenishment.low_inventory,
         ("record_date", "store_region_id", "product_id"),
@@ -76,14 +82,18 @@ REPORTS: dict[str, Report] = {
     "turnover": Report(
         demand.turnover, ("-inventory_turnover_ratio", "product_id"), reread=_PRICED_STOCK
     ),
-    "regional_summary": Report(demand.regional_summary, ("region",)),
-    "kpi_summary": Report(demand.kpi_summary, ("store_region_id", "product_id")),
+    "regional_summary": Report(demand.regional_summary, ("region",), reread=_STOCK),
+    "kpi_summary": Report(
+        demand.kpi_summary, ("store_region_id", "product_id"), reread=_STOCK
+    ),
     "seasonal_demand": Report(
         demand.seasonal_demand,
         ("store_region_id", "seasonality", "category", "month_num"),
         hidden=("month_num",),
     ),
-    "safety_stock": Report(replenishment.safety_stock, ("store_region_id", "product_id")),
+    "safety_stock": Report(
+        replenishment.safety_stock, ("store_region_id", "product_id"), reread=_STOCK
+    ),
     "stock_recommendations": Report(
         replenishment.stock_recommendations,
         ("-priority_score", "-holding_cost", "store_region_id", "product_id"),
@@ -92,7 +102,9 @@ REPORTS: dict[str, Report] = {
     "low_inventory_rollup": Report(
         rollups.low_inventory_rollup, ("dimension", "member"), reread=_STOCK
     ),
-    "reorder_vs_sales_rollup": Report(rollups.reorder_vs_sales_rollup, ("dimension", "member")),
+    "reorder_vs_sales_rollup": Report(
+        rollups.reorder_vs_sales_rollup, ("dimension", "member"), reread=_STOCK
+    ),
     "monthly_trend": Report(rollups.monthly_trend, ("month_start",)),
     "turnover_by_category": Report(
         rollups.turnover_by_category,

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from shelflight.functions import rules
 from shelflight.functions.numeric import ratio, scaled_spread
 from shelflight.operators.profile import (
+    LIMITS,
     flag_below,
-    group_threshold,
-    net_counts,
     net_stock,
-    understock_profile,
+    store_product_moments,
+    store_product_profile,
+    with_threshold,
 )
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
@@ -48,7 +49,11 @@ def stock_level(star: Star, sigma: float = 1.0) -> DataFrame:
     The category joins the thresholds, of which there is one per store-product,
     so the fact takes part in one join only.
     """
-    limits = group_threshold(star.inventory, STORE_PRODUCT, sigma).join(star.products, "product_id")
+    limits = (
+        with_threshold(store_product_moments(star), sigma)
+        .join(star.products, "product_id")
+        .select(*STORE_PRODUCT, *LIMITS, "threshold", "category")
+    )
     records = star.inventory.select("record_date", *STORE_PRODUCT, net_stock().alias("net"))
     flagged = flag_below(records.join(settle(limits, "thresholds"), STORE_PRODUCT), sigma)
     return flagged.select(
@@ -63,7 +68,7 @@ def stock_level(star: Star, sigma: float = 1.0) -> DataFrame:
 
 def movement(star: Star, sigma: float = 1.3, percent: int = 10) -> DataFrame:
     """Fast or slow, by the share of understocked days."""
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     return profile.select(
         *STORE_PRODUCT,
         "understock_days",
@@ -92,7 +97,7 @@ def stockout_by_store(star: Star, sigma: float = 1.0) -> DataFrame:
     ``total_days`` counts records, so a day counts once per product. Rates are
     decimals: their mean does not depend on the order in which they arrive.
     """
-    profile = understock_profile(net_counts(star.inventory, STORE_PRODUCT), STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma)
     hundredfold = (F.sum("understock_days") * 100).cast("decimal(20,0)")
     stores = profile.groupBy("store_region_id").agg(
         F.sum("understock_days").alias("stockout_days"),

@@ -22,6 +22,7 @@ class Star:
         if unknown:
             raise ValueError(f"not a table of the model: {sorted(unknown)}")
         self._tables = dict(tables)
+        self._derived: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -32,6 +33,12 @@ class Star:
             self._tables[name] = given
         return given
 
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table computed from this star, built once for all reports that ask for it."""
+        if name not in self._derived:
+            self._derived[name] = build()
+        return self._derived[name]
+
     @property
     def stores(self) -> DataFrame:
         return self.table("stores")

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from shelflight.operators.profile import (
     flag_below,
-    group_threshold,
-    net_counts,
+    group_moments,
+    merge_moments,
     net_stock,
+    settled_moments,
     understock_profile,
+    with_threshold,
 )
 from shelflight.plans import stock_health
 from tests.conftest import days, flat
@@ -29,6 +31,10 @@ def frame(spark, rows):
     )
 
 
+def profile_of(facts, sigma):
+    return understock_profile(facts, settled_moments(facts, KEYS), KEYS, sigma)
+
+
 def below_by_hand(nets, sigma):
     """net < mean - sigma * deviation, decided without floating point."""
     nets = [n for n in nets if n is not None]
@@ -48,8 +54,7 @@ def test_profile_matches_brute_force_with_a_hot_group(spark, sigma):
     groups = defaultdict(list)
     for store, product, stock, sold in rows:
         groups[store, product].append((stock, sold))
-    counts = net_counts(frame(spark, rows), KEYS)
-    result = understock_profile(counts, KEYS, sigma).collect()
+    result = profile_of(frame(spark, rows), sigma).collect()
     assert len(result) == len(groups)
     for row in result:
         pairs = groups[row.store_region_id, row.product_id]
@@ -71,9 +76,28 @@ def test_profile_matches_brute_force_with_a_hot_group(spark, sigma):
         )
 
 
-def test_hot_group_is_shuffled_as_one_row_per_stock_level(spark):
-    rows = [("S", "P", i % 20, 0) for i in range(5000)]
-    assert net_counts(frame(spark, rows), KEYS).count() == 20
+def test_moments_merge(spark):
+    draw = random.Random(5)
+    rows = [
+        (f"S{draw.randrange(4)}", f"P{draw.randrange(3)}", draw.randrange(99), 7)
+        for _ in range(500)
+    ]
+    facts = frame(spark, rows)
+    merged = merge_moments(group_moments(facts, KEYS), ["product_id"])
+    direct = group_moments(facts, ["product_id"]).select(merged.columns)
+    assert sorted(merged.collect()) == sorted(direct.collect())
+
+
+def test_records_are_not_shuffled_for_the_threshold_join(spark, tmp_path):
+    rows = [("S", f"P{i % 5}", i % 20, 0) for i in range(500)]
+    frame(spark, rows).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.schema(frame(spark, []).schema).parquet(str(tmp_path / "facts"))
+    limits = with_threshold(settled_moments(facts, KEYS), 1.0)
+    flagged = flag_below(facts.withColumn("net", net_stock()).join(limits, KEYS), 1.0)
+    flagged.collect()
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "hashpartitioning" not in plan
 
 
 def test_a_net_exactly_on_the_threshold_is_not_flagged(spark):
@@ -81,19 +105,19 @@ def test_a_net_exactly_on_the_threshold_is_not_flagged(spark):
     # on cover means without an exact double.
     tied = [("S", "P", n, 0) for n in (1, 1, 3, 3)]
     thirds = [("S", "Q", n, 0) for n in (1, 1, 3)]
-    profile = understock_profile(net_counts(frame(spark, tied + thirds), KEYS), KEYS, 1.0)
+    profile = profile_of(frame(spark, tied + thirds), 1.0)
     found = {r.product_id: r.understock_days for r in profile.collect()}
     assert found == {"P": 0, "Q": below_by_hand([1, 1, 3], 1.0)}
 
 
 def test_single_row_group_has_zero_deviation(spark):
-    row = understock_profile(net_counts(frame(spark, [("S", "P", 9, 4)]), KEYS), KEYS, 1.3).first()
+    row = profile_of(frame(spark, [("S", "P", 9, 4)]), 1.3).first()
     assert (row.threshold, row.spread_net, row.understock_days, row.total_days) == (5.0, 0.0, 0, 1)
 
 
 def test_group_without_any_net_is_not_flagged(spark):
     rows = [("S", "P", None, 4), ("S", "P", 3, None)]
-    row = understock_profile(net_counts(frame(spark, rows), KEYS), KEYS, 1.0).first()
+    row = profile_of(frame(spark, rows), 1.0).first()
     assert (row.threshold, row.understock_days, row.total_days) == (None, 0, 2)
 
 
@@ -104,21 +128,20 @@ def test_threshold_join_and_counts_flag_the_same_rows(spark):
         for _ in range(800)
     ]
     facts = frame(spark, rows)
-    joined = flag_below(
-        facts.withColumn("net", net_stock()).join(group_threshold(facts, KEYS, 1.0), KEYS), 1.0
-    )
+    limits = with_threshold(group_moments(facts, KEYS), 1.0)
+    joined = flag_below(facts.withColumn("net", net_stock()).join(limits, KEYS), 1.0)
     by_rows = {
         (r[0], r[1]): r.n
         for r in joined.groupBy(*KEYS).agg(F.count_if("below").alias("n")).collect()
     }
-    profile = understock_profile(net_counts(facts, KEYS), KEYS, 1.0).collect()
+    profile = profile_of(facts, 1.0).collect()
     assert by_rows == {(r[0], r[1]): r.understock_days for r in profile}
 
 
 def test_large_levels_keep_their_deviation(spark):
     base = 2_000_000_000
     rows = [("S", "P", base + d, 0) for d in (0, 0, 2, 2)]
-    row = understock_profile(net_counts(frame(spark, rows), KEYS), KEYS, 1.0).first()
+    row = profile_of(frame(spark, rows), 1.0).first()
     assert row.spread_net == 1.0
 
 
