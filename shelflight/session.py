@@ -12,6 +12,9 @@ RUN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Where every shuffled partition stays below this size, a hash join spares the
+    # sort of both sides; one larger partition keeps the sort-merge join.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 # Fixed when a session starts. Recording the call site of every column expression
