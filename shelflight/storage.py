@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +20,14 @@ _SORT = {
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    A local session without one gets a folder of its own; a cluster must name it.
+    spark.checkpoint.dir if set, else the context's checkpoint folder, else a
+    folder in the warehouse, which every session names.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    named = context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="shelflight-"))
-    return context.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/settled"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
