@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -17,6 +18,12 @@ from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
 from shelflight.storage import fresh_path, read_star, write_star
 
+# The operators on documents come and go with their folder.
+if importlib.util.find_spec("shelflight.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from shelflight.llm import queries as documents
+else:
+    documents = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 _TABLE_QUERIES = {
@@ -108,7 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_domain": _domain,
         **{name: partial(_report, report) for name, report in REPORTS.items()},
     }
-    return {name: partial(_run, plan) for name, plan in plans.items()}
+    registered = {name: partial(_run, plan) for name, plan in plans.items()}
+    if documents:
+        registered |= documents.QUERIES
+    return registered
 
 
 def _run(plan: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +126,4 @@ def _run(plan: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> Da
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **(documents.ORACLES if documents else {})}
