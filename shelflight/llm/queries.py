@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelflight.llm import exact_dedup, mixing, packing, quality, simhash, token_files
+from shelflight.llm import (
+    exact_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    token_count,
+    token_files,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +24,14 @@ def op1_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op4_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +55,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_distribution_quality": op1_distribution_quality,
+    "op2_heap_token_counts": op2_heap_token_counts,
+    "op4_url_model_ratio": op4_url_model_ratio,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_huffman_token_files": op7_huffman_token_files,

@@ -38,6 +38,12 @@ _RARE_LEADS = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81",
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 
 
+def plain_block(name: bytes) -> tuple[str, str] | None:
+    """The word and the stop of a block that is a space, Latin letters and perhaps a stop."""
+    found = _PLAIN(name.decode())
+    return found.groups() if found else None
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -99,7 +105,7 @@ def block_bytes(name: bytes) -> bytes:
     return name if name[:1] == b"\n" else b" " + name
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
@@ -113,7 +119,7 @@ class Encoder:
         self.path = path
         self.special = special_strings(path)
         self.model = library(path).model
-        self.characters = _byte_characters()
+        self.characters = byte_characters()
         self.stops = {stop: self.model.token_to_id(stop) for stop in ".,"}
         self._start_anew()
 
@@ -148,14 +154,14 @@ class Encoder:
         merges. All others go through the library's whole chain.
         """
         tokenize, space, characters = self.model.tokenize, self.characters[32], self.characters
-        plain = [_PLAIN(name.decode()) for name in names]
+        plain = [plain_block(name) for name in names]
         others = [name for name, found in zip(names, plain, strict=True) if not found]
         whole = iter(self._library([block_bytes(name) for name in others]))
         ids: list[int] = []
         counts: list[int] = []
         for found in plain:
             if found:
-                word, stop = found.groups()
+                word, stop = found
                 piece = space + word
                 if not word.isascii():
                     piece = (b" " + word.encode()).decode("latin-1").translate(characters)
