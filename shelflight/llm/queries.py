@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelflight.llm import (
+    chunk_dedup,
     exact_dedup,
     mixing,
     packing,
@@ -28,6 +29,10 @@ def op2_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_distribution_quality": op1_distribution_quality,
     "op2_heap_token_counts": op2_heap_token_counts,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_url_model_ratio": op4_url_model_ratio,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
