@@ -128,13 +128,8 @@ def chunks(documents: DataFrame) -> DataFrame:
     return read.mapInArrow(_chunks, f"doc_id {kind}, start bigint, end bigint, digest binary")
 
 
-def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per repeated passage of a document.
-
-    doc_id, start, end (bytes), n_chunks, first_doc_id: the smallest doc_id that a
-    chunk of it occurs in, repeated_bytes: how much of it occurs in a smaller doc_id,
-    and kept: whether that is none, so it is the first occurrence.
-    """
+def repeats(documents: DataFrame) -> DataFrame:
+    """The chunks whose digest occurs in several documents, with the smallest of them."""
     cut = chunks(documents)
     shared = settle(
         cut.groupBy("digest")
@@ -143,29 +138,44 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
         .drop("__last"),
         "shared-chunks",
     )
-    repeats = cut.join(shared, "digest").drop("digest")
+    return cut.join(shared, "digest").drop("digest")
+
+
+def _runs(found: DataFrame, least: int) -> DataFrame:
+    """Neighbouring chunks of a document as one row, from ``least`` bytes on."""
     place = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
-    marked = repeats.withColumn(
-        "opens", F.when(before >= F.col("start"), 0).otherwise(1)
-    ).withColumn("again", F.coalesce(F.lag("start").over(place) == F.col("start"), F.lit(False)))
-    numbered = marked.withColumn("run", F.sum("opens").over(place))
-    size = F.col("end") - F.col("start")
-    later = (F.col("first_doc_id") < F.col("doc_id")) & ~F.col("again")
-    runs = numbered.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum((~F.col("again")).cast("long")).alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"),
-        F.sum(F.when(later, size).otherwise(0)).alias("repeated_bytes"),
+    opens = F.when(before >= F.col("start"), 0).otherwise(1)
+    # A row given twice has each chunk twice.
+    again = F.coalesce(F.lag("start").over(place) == F.col("start"), F.lit(False))
+    numbered = found.withColumns({"opens": opens, "again": again}).withColumn(
+        "run", F.sum("opens").over(place)
     )
+    later = (F.col("first_doc_id") < F.col("doc_id")) & ~F.col("again")
     return (
-        runs.where(F.col("end") - F.col("start") >= least)
-        .withColumn("kept", F.col("repeated_bytes") == 0)
+        numbered.groupBy("doc_id", "run")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum((~F.col("again")).cast("long")).alias("n_chunks"),
+            F.min("first_doc_id").alias("first_doc_id"),
+            F.sum(F.when(later, F.col("end") - F.col("start")).otherwise(0)).alias("repeated_bytes"),
+        )
+        .where(F.col("end") - F.col("start") >= least)
         .drop("run")
     )
 
 
+def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per repeated passage of a document.
+
+    doc_id, start, end (bytes), n_chunks, first_doc_id: the smallest doc_id that a
+    chunk of it occurs in, repeated_bytes: how much of it occurs in a smaller doc_id,
+    and kept: whether that is too little to be a passage, so this one came first.
+    """
+    return _runs(repeats(documents), least).withColumn("kept", F.col("repeated_bytes") < least)
+
+
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, cut in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True):
@@ -180,10 +190,10 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def drop_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents without the passages that repeat a smaller doc_id's."""
+    """The documents without the passages that repeat smaller doc_ids' chunks."""
+    later = repeats(documents).where("first_doc_id < doc_id")
     spans = (
-        passages(documents, least)
-        .where("not kept")
+        _runs(later, least)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     )  # bounded by the passages of one document

@@ -32,7 +32,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 7
 # Rows of one source that one task sorts, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def size_in_words(text: Column | str = "text") -> Column:
@@ -116,12 +116,13 @@ def cuts(
         .select(*source, "source_size", "target", "epochs", "rest")
     )
     # Only the range in which the rest ends has to be looked into row by row.
-    last_range = (
+    last_range = settle(
         starts.join(planned, source)
         .where(F.col("start") < F.col("rest"))
         .groupBy(*source)
         .agg(F.max(F.struct("range", "start", "rest")).alias("r"))
-        .select(*source, "r.range", "r.start", "r.rest")
+        .select(*source, "r.range", "r.start", "r.rest"),
+        "mixing-ranges",
     )
     inside = Window.partitionBy(*source, "range").orderBy("place", "doc_id", "text_key")
     spots = ["place", "doc_id", "text_key"]

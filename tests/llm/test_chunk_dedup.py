@@ -66,7 +66,7 @@ def plain_passages(docs, least):
             if run[-1][1] - run[0][0] >= least:
                 first = min(x[2] for x in run)
                 again = sum(b - a for a, b, f in run if f < doc_id)
-                found.add((doc_id, run[0][0], run[-1][1], len(run), first, again, again == 0))
+                found.add((doc_id, run[0][0], run[-1][1], len(run), first, again, again < least))
     return found
 
 
