@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelflight.llm import (
+    attention_lm,
     chunk_dedup,
     exact_dedup,
     mixing,
@@ -54,6 +55,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_huffman_token_files": op7_huffman_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_attention_scores": op9_attention_scores,
     "op10_source_mixing": op10_source_mixing,
 }
 
