@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
-Every language gets a reference from all of its documents: how often each class of
-characters occurs, and how often each of its common words does, all other words
-together being one more entry. A document is held against the reference of its
+Every language gets a reference from all of its documents that pass the base rules:
+how often each class of characters occurs, and how often each of its common words
+does, all other words together being one more entry. A document is held against the reference of its
 language by the Jensen-Shannon distance (0 to 1) of either histogram and rejected
 where one exceeds its limit. Short documents have ragged histograms by chance:
 below a minimum length a histogram is not judged. Labels may be wrong, so a
@@ -94,6 +94,14 @@ def _byte_counts(texts: list[bytes]) -> np.ndarray:
     ).reshape(-1, 256)
 
 
+def base_rules(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words, of words in repeated windows, and whether a base rule rejects."""
+    split = [text.split() for text in texts]
+    n_words = np.array([len(words) for words in split], np.int64)
+    repeats = repeated_words(split)
+    return n_words, repeats, (n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
+
+
 # ---- references ------------------------------------------------------------------
 
 
@@ -122,7 +130,11 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts = text_bytes(batch.column("text"))
         found = _byte_counts(texts) @ _INTO_CLASSES
-        for lang, text, own in zip(batch.column("lang").to_pylist(), texts, found, strict=True):
+        failed = base_rules(texts)[2].tolist()
+        langs = batch.column("lang").to_pylist()
+        for lang, text, own, bad in zip(langs, texts, found, failed, strict=True):
+            if bad:
+                continue
             words.setdefault(lang, Counter()).update(plain_words(text))
             classes[lang] = classes.get(lang, 0) + own
         if sum(map(len, words.values())) > COUNTED_WORDS:
@@ -145,7 +157,7 @@ class References:
 
 
 def references(documents: DataFrame, common: float = COMMON, least: float = LEAST) -> References:
-    """References from all documents; a null language adds to none."""
+    """References from the documents that pass the base rules; a null language adds to none."""
     partial_counts = documents.select("lang", "text").where("lang is not null").mapInArrow(
         _counts, "lang string, word binary, n array<bigint>"
     )
@@ -236,10 +248,7 @@ _FIELDS = {
 def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.ndarray]:
     histograms = _byte_counts(texts)
     classes = (histograms @ _INTO_CLASSES)[:, :_CONTINUED]
-    split = [text.split() for text in texts]
-    n_words = np.array([len(words) for words in split], np.int64)
-    repeats = repeated_words(split)
-    failed = (n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
+    n_words, repeats, failed = base_rules(texts)
     chars = classes.sum(axis=1)
     words = [plain_words(text) for text in texts]
     plain = np.array([len(found) for found in words], np.int64)
