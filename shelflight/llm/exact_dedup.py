@@ -76,7 +76,7 @@ def winners(documents: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def exact_groups(documents: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chars, text_key."""
     found = winners(documents, salts)
     # One row per digest. A digest of several texts is marked and looked up by text.
     by_digest = settle(
@@ -87,15 +87,18 @@ def exact_groups(documents: DataFrame, salts: int = SALTS) -> DataFrame:
         ),
         "exact-winners",
     )
-    members = documents.select("doc_id", F.unhex(digest(normalised())).alias("digest"))
+    read = documents.select(
+        "doc_id",
+        normalised().alias("normal"),
+        F.char_length(F.coalesce("text", F.lit(""))).alias("chars"),
+        text_key().alias("text_key"),
+    ).withColumn("digest", F.unhex(digest(F.col("normal"))))
+    members = read.drop("normal")
     alone = members.join(by_digest.where("texts = 1"), "digest").drop("texts")
     shared = by_digest.where("texts > 1").select("digest")
     if not shared.isEmpty():
-        texts = documents.select("doc_id", normalised().alias("normal")).withColumn(
-            "digest", F.unhex(digest(F.col("normal")))
-        )
         apart = found.join(shared, "digest", "left_semi")
-        rest = texts.join(apart, ["digest", "normal"]).drop("normal")
+        rest = read.join(apart, ["digest", "normal"]).drop("normal")
         alone = alone.unionByName(rest.select(*alone.columns))
     return alone.select(
         "doc_id",
@@ -103,12 +106,17 @@ def exact_groups(documents: DataFrame, salts: int = SALTS) -> DataFrame:
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "chars",
+        "text_key",
     )
 
 
 def drop_exact_copies(documents: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The documents without the rows whose text another row stands for."""
-    groups = exact_groups(documents, salts).where("kept").select("doc_id", "text_sha256")
-    marked = documents.select("doc_id", text_key().alias("text_key"), digest(normalised()).alias("text_sha256"))
-    keepers = marked.join(groups.distinct(), ["doc_id", "text_sha256"], "left_semi")
-    return only_rows(documents, keepers.select("doc_id", "text_key").distinct())
+    """The documents without the rows whose text another row stands for.
+
+    Of rows that share the winner's doc_id, the one with the most code points stays.
+    """
+    kept = exact_groups(documents, salts).where("kept")
+    first = F.max(F.struct("chars", "text_key", "doc_id")).alias("row")
+    winners = kept.groupBy("text_sha256", "keep_id").agg(first)
+    return only_rows(documents, winners.select("row.doc_id", "row.text_key"))

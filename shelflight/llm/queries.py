@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from shelflight.llm import (
     attention_lm,
     chunk_dedup,
@@ -39,7 +40,8 @@ def op4_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return found.drop("chars", "text_key")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_attention_scores": op9_attention_scores,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
