@@ -6,7 +6,7 @@ import importlib.util
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from shelflight.plans.reports import REPORTS, Report
 from shelflight.schemas import TABLES
 from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
-from shelflight.storage import fresh_path, read_star, write_star
+from shelflight.storage import fresh_path, read_star, settle, write_star
 
 # The operators on documents come and go with their folder.
 if importlib.util.find_spec("shelflight.llm") and importlib.util.find_spec("corpus_pipeline"):
@@ -30,11 +30,16 @@ _TABLE_QUERIES = {
     "dim_stores": "stores",
     "dim_products": "products",
     "dim_seasonality": "seasonality",
-    "fact_inventory": "inventory",
     "fact_store_events": "store_events",
 }
 
 
+# Reports also run over a sample with NULLs, and whether sales are among them.
+_WITH_GAPS = {"sales_profile": True, "seasonal_demand": False}
+# One report for each kind of order: ascending, descending, mixed.
+_RANKED = ("sales_profile", "movement", "stock_recommendations")
+
+
 def _comparable(rows: DataFrame) -> DataFrame:
     """Decimals as doubles: both engines then hand over the same value type."""
     return rows.select(
@@ -69,26 +74,91 @@ def _load_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(csv_records.read_strict(spark, path))
 
 
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = sample_tables.daily_records(sample_tables.staging(spark, sf_dir, weather=False))
+    return _comparable(normalize.inventory(daily))
+
+
+def _load_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load raw lines that no writer of ours made, every field of every row."""
+    path = fresh_path(spark, "raw-lines")
+    sample_tables.write_raw_lines(spark, sf_dir, path, wrong=False)
+    return _comparable(csv_records.read_strict(spark, path))
+
+
+def _load_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load raw lines of which some are wrong: what is accepted and set aside, by product."""
+    path = fresh_path(spark, "raw-lines")
+    sample_tables.write_raw_lines(spark, sf_dir, path, wrong=True)
+    accepted, rejected = csv_records.read_tolerant(spark, path)
+    product = F.split_part(F.col(csv_records.REJECTED), F.lit(","), F.lit(3))
+    good = accepted.select("product_id", F.lit("accepted").alias("outcome"), "inventory_level")
+    bad = rejected.select(
+        product.alias("product_id"),
+        F.lit("rejected").alias("outcome"),
+        F.lit(None).cast("int").alias("inventory_level"),
+    )
+    return good.unionByName(bad).groupBy("product_id", "outcome").agg(
+        F.count("*").alias("lines"),
+        F.coalesce(F.sum("inventory_level"), F.lit(0)).alias("inventory_total"),
+    )
+
+
+def _contents(table: DataFrame) -> list[Column]:
+    """Sums over all columns of a kind: rows, text lengths, numbers, days, set flags."""
+    kinds = {"string": [], "number": [], "date": [], "boolean": []}
+    for f in table.schema:
+        name = f.dataType.typeName()
+        kinds[name if name in kinds else "number"].append(f.name)
+
+    def total(columns: list[str], value: Callable[[str], Column], kind: str) -> Column:
+        parts = [F.coalesce(F.sum(value(c)).cast(kind), F.lit(0).cast(kind)) for c in columns]
+        return reduce(lambda a, b: a + b, parts, F.lit(0).cast(kind))
+
+    days = F.to_date(F.lit("1970-01-01"))
+    return [
+        F.count("*").alias("rows"),
+        total(kinds["string"], lambda c: F.length(c).cast("long"), "long").alias("text_length"),
+        total(kinds["number"], lambda c: F.col(c).cast("decimal(20,2)"), "decimal(30,2)")
+        .cast("double")
+        .alias("number_total"),
+        total(kinds["date"], lambda c: F.datediff(c, days).cast("long"), "long").alias("day_total"),
+        total(kinds["boolean"], lambda c: F.col(c).cast("long"), "long").alias("flag_total"),
+    ]
+
+
 def _star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the star as files and count what a reader of the files finds."""
+    """Write the star as files and sum what a reader of the files finds."""
     folder = fresh_path(spark, "star")
     write_star(sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES), folder)
     written = read_star(spark, folder)
-    counts = [
-        written.table(name).agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
+    sums = [
+        written.table(name).agg(*_contents(written.table(name))).withColumn("table_name", F.lit(name))
         for name in TABLES
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, sums)
 
 
 def _duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the events need the weather, and with it the join to the orders."""
-    plain = sample_tables.staging(spark, sf_dir, weather=False)
-    others = [name for name in TABLES if name != "store_events"]
-    events = sample_tables.staging(spark, sf_dir)
-    return quality.duplicate_keys(plain, others).unionByName(
-        quality.duplicate_keys(events, ["store_events"])
-    )
+    """The staging rows are settled: six tables are checked from one join of the base."""
+    return quality.duplicate_keys(settle(sample_tables.staging(spark, sf_dir), "staging"))
+
+
+def _gaps(report: Report, sales: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = sample_tables.with_gaps(sample_tables.star(spark, sf_dir), sales)
+    return _comparable(report.ordered(star))
+
+
+def _numbered(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = sample_tables.star(spark, sf_dir, settled=report.reread)
+    return _comparable(report.numbered(star))
+
+
+def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slicer: one store-region, sliced before anything is summed."""
+    report = REPORTS["movement"]
+    star = sample_tables.star(spark, sf_dir, settled=report.reread)
+    return _comparable(report.ordered(star.sliced(store_region_id="NATION_21_AMERICA")))
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +178,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans = {
         "load_staging": _load_staging,
         **{query: partial(_table, table) for query, table in _TABLE_QUERIES.items()},
+        "load_quoted": _load_quoted,
+        "load_tolerant": _load_tolerant,
+        "fact_inventory": _inventory,
         "fact_pricing": _pricing,
         "star_tables": _star_tables,
         "dq_duplicate_keys": _duplicate_keys,
         "dq_orphans": _orphans,
         "dq_domain": _domain,
         **{name: partial(_report, report) for name, report in REPORTS.items()},
+        **{f"{name}_gaps": partial(_gaps, REPORTS[name], sales) for name, sales in _WITH_GAPS.items()},
+        **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
+        "movement_slice": _slice,
     }
     registered = {name: partial(_run, plan) for name, plan in plans.items()}
     if documents:

@@ -205,6 +205,52 @@ def _domain() -> str:
     return _with(LINES, select="\nUNION ALL\n".join(selects))
 
 
+_KINDS = {
+    "text_length": ["store_region_id", "store_id", "region", "product_id", "category", "seasonality",
+                    "weather_condition"],
+    "number_total": ["inventory_level", "units_sold", "units_ordered", *_AMOUNTS],
+    "day_total": ["record_date"],
+    "flag_total": ["holiday_promotion"],
+}
+_MEASURE = {
+    "text_length": "length({})",
+    "number_total": "CAST({} AS DECIMAL(20,2))",
+    "day_total": "date_diff('day', DATE '1970-01-01', {})",
+    "flag_total": "CAST({} AS BIGINT)",
+}
+
+
+def _star_tables() -> str:
+    """Sums over all columns of a kind, in each table."""
+    sources = {**_SOURCES, "store_events": "moods"}
+    selects = []
+    for table, (_, columns, _) in _OFFERED.items():
+        sums = []
+        for kind, names in _KINDS.items():
+            parts = [f"coalesce(sum({_MEASURE[kind].format(c)}), 0)" for c in columns if c in names]
+            total = " + ".join(parts) or "0"
+            sums.append(f"{_dbl(total) if kind == 'number_total' else _big(total)} AS {kind}")
+        selects.append(
+            f"SELECT '{table}' AS table_name, {_big('count(*)')} AS rows, {', '.join(sums)} "
+            f"FROM {sources[table]}"
+        )
+    moods = """moods AS (
+  SELECT store_region_id, record_date, weather_condition, holiday_promotion FROM lines
+  QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
+                             ORDER BY weather_condition NULLS FIRST, holiday_promotion) = 1)"""
+    return _with(LINES, DAYS, DIMS, moods, select="\nUNION ALL\n".join(selects))
+
+
+def _raw(columns: list[str]) -> str:
+    """Staging columns as the raw lines have them."""
+    changed = {
+        "category": """'Toys "' || category || '", big' AS category""",
+        "weather_condition": """CASE units_ordered WHEN 1 THEN NULL WHEN 2 THEN ''
+    ELSE 'Fair, mild' END AS weather_condition""",
+    }
+    return ", ".join(changed.get(c, _plain([c])) for c in columns)
+
+
 LOAD = {
     "load_staging": _with(LINES, select=f"SELECT {_plain(_STAGING)} FROM lines"),
     "dim_stores": _with(LINES, DIMS, select="SELECT store_region_id, store_id, region FROM places"),
@@ -218,14 +264,14 @@ LOAD = {
 QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
                            ORDER BY weather_condition NULLS FIRST, holiday_promotion) = 1""",
     ),
-    "star_tables": _with(
+    "star_tables": _star_tables(),
+    "load_quoted": _with(LINES, select=f"SELECT {_raw(_STAGING)} FROM lines"),
+    "load_tolerant": _with(
         LINES,
-        DAYS,
-        DIMS,
-        select="\nUNION ALL\n".join(
-            f"SELECT '{table}' AS table_name, {_big('count(*)')} AS rows FROM {source}"
-            for table, source in _SOURCES.items()
-        ),
+        select=f"""SELECT product_id, outcome, {_big('count(*)')} AS lines,
+  {_big("coalesce(sum(inventory_level) FILTER (outcome = 'accepted'), 0)")} AS inventory_total
+FROM (SELECT *, CASE WHEN units_sold IN (3, 5, 7, 9, 11) THEN 'rejected' ELSE 'accepted' END AS outcome
+      FROM lines) GROUP BY product_id, outcome""",
     ),
     "dq_duplicate_keys": _duplicate_keys(),
     "dq_orphans": _orphans(),
@@ -537,4 +583,58 @@ FROM goods JOIN categories USING (product_id) GROUP BY category""",
     ),
 }
 
-ORACLES: dict[str, str] = {**LOAD, **STOCK_HEALTH, **REPLENISHMENT, **DEMAND, **ROLLUPS}
+# ---- gaps, places, slices ------------------------------------------------------
+
+# The sample with NULLs by rule, then the query in the shape of ranks and joins.
+_GAPS = """gaps AS (
+  SELECT * REPLACE (CASE WHEN units_sold % 7 = 0
+                           OR (product_id = 'Brand#11' AND store_region_id = 'NATION_21_AMERICA')
+                         THEN NULL ELSE units_sold END AS units_sold) FROM days)"""
+_GAP_DIMS = DIMS.replace(
+    "SELECT product_id, category",
+    "SELECT product_id, CASE WHEN product_id <> 'Brand#12' THEN category END AS category",
+).replace(
+    "SELECT product_id, seasonality",
+    "SELECT product_id, CASE WHEN product_id <> 'Brand#13' THEN seasonality END AS seasonality",
+)
+
+
+def _ranked(report: str, order: str) -> str:
+    """The place of each row; the database sorts NULLs last, the engine first."""
+    inner = {**STOCK_HEALTH, **REPLENISHMENT}[report]
+    return f"SELECT *, {_big('row_number() OVER (ORDER BY ' + order + ')')} AS position FROM ({inner})"
+
+
+PLACES = {
+    "sales_profile_gaps": _with(
+        LINES,
+        DAYS,
+        _GAPS,
+        f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY units_sold NULLS FIRST) AS nth,
+         count(*) OVER (PARTITION BY {PAIR}) AS n FROM gaps)""",
+        f"""medians AS (
+  SELECT {PAIR}, avg(units_sold) AS median_sales FROM ranked
+  WHERE nth IN (floor((n + 1) / 2.0), ceil((n + 1) / 2.0)) GROUP BY ALL)""",
+        select=f"""SELECT {PAIR}, avg(units_sold) AS avg_sales, median_sales,
+  {_r('stddev_pop(units_sold)', 6)} AS stddev_sales
+FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
+    ),
+    "seasonal_demand_gaps": DEMAND["seasonal_demand"].replace(DIMS, _GAP_DIMS),
+    "sales_profile_ranked": _ranked("sales_profile", PAIR),
+    "movement_ranked": _ranked("movement", f"understock_percentage DESC, {PAIR}"),
+    "stock_recommendations_ranked": _ranked(
+        "stock_recommendations", f"priority_score DESC, holding_cost DESC, {PAIR}"
+    ),
+    "movement_slice": f"""SELECT * FROM ({STOCK_HEALTH["movement"]})
+WHERE store_region_id = 'NATION_21_AMERICA'""",
+}
+
+ORACLES: dict[str, str] = {
+    **LOAD,
+    **STOCK_HEALTH,
+    **REPLENISHMENT,
+    **DEMAND,
+    **ROLLUPS,
+    **PLACES,
+}

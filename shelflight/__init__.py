@@ -2,15 +2,18 @@
 
 from shelflight.plans.load import load_star
 from shelflight.plans.reports import REPORTS, refresh_reports
+from shelflight.session import prepare
 from shelflight.star import Star
-from shelflight.storage import read_star, slice_rows, write_star
+from shelflight.storage import read_star, settled_tables, slice_rows, write_star
 
 __all__ = [
     "REPORTS",
     "Star",
     "load_star",
+    "prepare",
     "read_star",
     "refresh_reports",
+    "settled_tables",
     "slice_rows",
     "write_star",
 ]

@@ -100,13 +100,18 @@ def store_events(staging: DataFrame) -> DataFrame:
     return declared(first_wins(seen, keys, values), "store_events")
 
 
-def star(staging: DataFrame) -> Star:
-    """All six tables of a staging table."""
+def star(staging: DataFrame, unique: bool = False) -> Star:
+    """All six tables of a staging table.
+
+    ``unique``: the inventory key has been checked. Prices have the same key, so none
+    repeats either, and both facts are projections.
+    """
+    priced = declared(staging, "pricing") if unique else pricing(staging)
     return Star(
         stores=stores(staging),
         products=products(staging),
         seasonality=seasonality(staging),
         inventory=inventory(staging),
-        pricing=pricing(staging),
+        pricing=priced,
         store_events=store_events(staging),
     )

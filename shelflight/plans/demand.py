@@ -193,6 +193,7 @@ def kpi_summary(star: Star, sigma: float = 1.0) -> DataFrame:
 def seasonal_demand(star: Star) -> DataFrame:
     """Calendar months of a store-region, season and category against their mean.
 
+    A product without a category or season belongs to no cell.
     Years are merged: a month is a month number. Records are summed per
     store-product and month before category and season join. The windows run
     over at most twelve months each. ``month_num`` is kept for ordering.
@@ -204,6 +205,7 @@ def seasonal_demand(star: Star) -> DataFrame:
     monthly = (
         months.join(star.products, "product_id")
         .join(star.seasonality, "product_id")
+        .where(F.col("category").isNotNull() & F.col("seasonality").isNotNull())
         .groupBy(*cell, "month_num")
         .agg(F.sum("sold").alias("total_sales"), F.sum("expected").alias("total_forecast"))
     )

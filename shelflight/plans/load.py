@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from shelflight.operators import normalize, quality
 from shelflight.sources import csv_records
 from shelflight.star import Star
-from shelflight.storage import read_star, settle, write_star
+from shelflight.storage import read_star, settle, settled_tables, write_star
 
 
 def load_star(
@@ -15,16 +15,20 @@ def load_star(
 ) -> Star:
     """Load raw records, normalise them, write the six tables below ``folder``.
 
-    The text is parsed once, into a settled table that all others derive from. A line that does not fit the schema fails the load; a tolerant load
-    sets it aside below ``folder``/rejected. A repeated inventory key fails
-    either load.
+    The text is parsed once, into a settled table that all others derive from. A line
+    that does not fit the schema fails the load; a tolerant load sets it aside below
+    ``folder``/rejected. A repeated inventory key fails either load. Nothing is
+    written below ``folder`` before the checks, and the tables can be read back only
+    when all of them are written.
     """
-    if tolerant:
-        accepted, rejected = csv_records.read_tolerant(spark, csv_path)
-        rejected.write.parquet(f"{folder}/rejected")
-        staging = accepted
-    else:
-        staging = settle(csv_records.read_strict(spark, csv_path), "staging")
-    quality.require_unique(staging, "inventory")
-    write_star(normalize.star(staging), folder)
+    with settled_tables(spark):
+        rejected = None
+        if tolerant:
+            staging, rejected = csv_records.read_tolerant(spark, csv_path)
+        else:
+            staging = settle(csv_records.read_strict(spark, csv_path), "staging")
+        quality.require_unique(staging, "inventory")
+        if rejected is not None:
+            rejected.write.parquet(f"{folder}/rejected")
+        write_star(normalize.star(staging, unique=True), folder)
     return read_star(spark, folder)

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.plans import demand, replenishment, rollups, stock_health
 from shelflight.star import Star
-from shelflight.storage import write_report
+from shelflight.storage import settle, settled_tables, write_report
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,23 @@ class Report:
         keys = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in self.order]
         return self.plan(star, **options).orderBy(*keys).drop(*self.hidden)
 
+    def numbered(self, star: Star, **options) -> DataFrame:
+        """The rows with their place in the presented order, from 1.
+
+        Each sorted partition numbers its rows; the partitions' sizes, one row each,
+        give every partition its first place. No task holds more than a partition.
+        """
+        ordered = self.ordered(star, **options)
+        marks = {"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}
+        placed = settle(ordered.withColumns(marks), "presented")
+        sizes = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+        before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
+        starts = sizes.select("__part", (before - F.col("first") + 1).alias("shift"))
+        # Ids rise by one inside a partition.
+        return placed.join(starts, "__part").select(
+            *ordered.columns, (F.col("__at") + F.col("shift")).alias("position")
+        )
+
 
 # Measures of the facts, as the reports that read them twice name them.
 _STOCK = ("inventory_level", "units_sold")
@@ -117,7 +134,10 @@ REPORTS: dict[str, Report] = {
 def refresh_reports(star: Star, folder: str, names: list[str] | None = None) -> None:
     """Write reports below ``folder`` as files that a reader can slice.
 
-    Rows are written unordered; a reader orders the few it shows.
+    Rows are written unordered; a reader orders the few it shows. Tables settled on
+    the way are removed at the end, so the star keeps none of them.
     """
-    for name in names or REPORTS:
-        write_report(REPORTS[name].rows(star), f"{folder}/{name}", mode="overwrite")
+    with settled_tables(star.inventory.sparkSession):
+        fresh = star.sliced()  # what it derives goes with the settled tables
+        for name in names or REPORTS:
+            write_report(REPORTS[name].rows(fresh), f"{folder}/{name}", mode="overwrite")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import rules
@@ -13,6 +13,7 @@ from shelflight.operators.profile import (
     net_stock,
     store_product_moments,
     store_product_profile,
+    sum_of_squares,
     with_threshold,
 )
 from shelflight.schemas import STORE_PRODUCT
@@ -20,26 +21,36 @@ from shelflight.star import Star
 from shelflight.storage import settle
 
 
-def sales_profile(star: Star) -> DataFrame:
-    """Mean, exact median and population deviation of daily sales per store-product.
+# Stands for a NULL while values are ordered: below every 32-bit number, and a
+# midpoint with it can be told from one without.
+_BELOW_ALL = -float(1 << 40)
+
+
+def _middle(value: Column) -> Column:
+    """Median of all records of a group: NULLs sort first and take part in the ranks.
 
-    Sales are counted per value first; the median then weighs values by count and
-    holds one entry per distinct value, not per record. NULL sales are left out.
+    The mean of the two middle records is that of those that are not NULL. One
+    aggregate holds a count per distinct value, not the records.
     """
-    sold, rows = F.col("units_sold"), F.col("rows")
-    counts = (
-        star.inventory.where(sold.isNotNull())
-        .groupBy(*STORE_PRODUCT, "units_sold")
-        .agg(F.count("*").alias("rows"))
+    found = F.percentile(F.coalesce(value.cast("double"), F.lit(_BELOW_ALL)), 0.5)
+    return (
+        F.when(found == _BELOW_ALL, F.lit(None))
+        .when(found < _BELOW_ALL / 4, 2 * found - _BELOW_ALL)
+        .otherwise(found)
     )
-    total = F.sum(sold * rows)
-    squares = F.sum((sold * rows).cast("decimal(38,0)") * sold)
-    return counts.groupBy(*STORE_PRODUCT).agg(
-        ratio(total, F.sum(rows)).alias("avg_sales"),
-        F.percentile("units_sold", 0.5, rows).alias("median_sales"),
-        F.round(ratio(scaled_spread(F.sum(rows), total, squares), F.sum(rows)), 6).alias(
-            "stddev_sales"
-        ),
+
+
+def sales_profile(star: Star) -> DataFrame:
+    """Mean, exact median and population deviation of daily sales, per store-product.
+
+    Every store-product has a row, also one whose sales are all NULL.
+    """
+    sold = F.col("units_sold")
+    spread = scaled_spread(F.count(sold), F.sum(sold), sum_of_squares(sold))
+    return star.inventory.groupBy(*STORE_PRODUCT).agg(
+        ratio(F.sum(sold), F.count(sold)).alias("avg_sales"),
+        _middle(sold).alias("median_sales"),
+        F.round(ratio(spread, F.count(sold)), 6).alias("stddev_sales"),
     )
 
 

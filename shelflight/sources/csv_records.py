@@ -1,8 +1,15 @@
-"""The raw stock-record file: comma-separated, quoted, one header line, 15 fields by position."""
+"""The raw stock-record file: comma-separated, quoted, one header line, 15 fields by position.
+
+A quote inside a quoted field is doubled. An unquoted ``\\N`` is NULL; a blank
+field is an empty text, and no number, date or flag. The flag is 0 or 1. A field
+is one line: a line break inside quotes would leave a file unsplittable.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,15 +17,54 @@ from shelflight.schemas import CSV_RECORD, STAGING
 from shelflight.storage import settle
 
 REJECTED = "rejected_line"
+_BROKEN = "__broken_line"
 
 # The file's format. Single-digit months and days are accepted.
-_FORMAT = {
-    "header": "true",
-    "sep": ",",
-    "quote": '"',
-    "nullValue": "\\N",
-    "dateFormat": "yyyy-M-d",
-}
+_NULL = "\\N"
+_FORMAT = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
+_DATE = "yyyy-M-d"
+_FLAG = "holiday_promotion"
+
+
+def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The fields as texts, blank ones as empty texts, and a line with too few or too many."""
+    texts = [T.StructField(f.name, T.StringType(), True) for f in CSV_RECORD]
+    schema = T.StructType([*texts, T.StructField(_BROKEN, T.StringType(), True)])
+    reader = spark.read.schema(schema).options(
+        **_FORMAT, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN
+    )
+    return reader.csv(path).withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in texts})
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    given = F.col(name)
+    if isinstance(kind, T.StringType):
+        return given
+    if isinstance(kind, T.DateType):
+        return F.expr(f"try_to_date({name}, '{_DATE}')")
+    if name == _FLAG:
+        return F.when(F.trim(given).isin("0", "1"), F.trim(given).cast("int"))
+    return F.trim(given).try_cast(kind)
+
+
+def _checked(fields: DataFrame) -> DataFrame:
+    """The record's values, and the text of a line that does not fit the schema."""
+    values, bad = {}, [F.col(_BROKEN).isNotNull()]
+    for field in CSV_RECORD:
+        given = F.col(field.name) != _NULL
+        parsed = _parsed(field.name, field.dataType)
+        values[field.name] = F.when(given, parsed)
+        if not isinstance(field.dataType, T.StringType):
+            bad.append(given & parsed.isNull())
+    refused = reduce(lambda a, b: a | b, bad)
+    # A line that only has a wrong value is given back as its fields.
+    line = F.coalesce(
+        _BROKEN, F.to_csv(F.struct(*CSV_RECORD.fieldNames()), {**_FORMAT, "emptyValue": ""})
+    )
+    return fields.select(
+        *[column.alias(name) for name, column in values.items()],
+        F.when(refused, line).alias(REJECTED),
+    )
 
 
 def _staged(records: DataFrame) -> DataFrame:
@@ -26,37 +72,31 @@ def _staged(records: DataFrame) -> DataFrame:
     return records.withColumns(
         {
             "store_region_id": F.concat("store_id", F.lit("_"), "region"),
-            "holiday_promotion": F.col("holiday_promotion").cast("boolean"),
+            _FLAG: F.col(_FLAG).cast("boolean"),
         }
     ).to(STAGING)
 
 
 def read_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Staging rows; a line whose fields do not fit the schema fails the job.
-
-    Spark parses the fields a job reads. Write all of them, as the load does, to
-    have all of them checked.
-    """
-    reader = spark.read.schema(CSV_RECORD).options(**_FORMAT, mode="FAILFAST")
-    return _staged(reader.csv(path))
+    """Staging rows; a line whose fields do not fit the schema fails the job that reads it."""
+    parsed = _checked(_fields(spark, path))
+    refuse = F.raise_error(F.concat(F.lit("malformed record: "), F.col(REJECTED)))
+    # As a filter: every job that reads a row checks all of its fields.
+    fits = F.when(F.col(REJECTED).isNull(), F.lit(True)).otherwise(refuse.cast("boolean"))
+    return _staged(parsed.where(fits).drop(REJECTED))
 
 
 def read_tolerant(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Staging rows that fit the schema, and the text of the lines that do not.
 
-    The parsed lines are settled first: which lines are refused must not depend
-    on the columns a later job happens to read.
+    The parsed lines are settled, so both are read from one parse.
     """
-    schema = T.StructType([*CSV_RECORD.fields, T.StructField(REJECTED, T.StringType(), True)])
-    reader = spark.read.schema(schema).options(
-        **_FORMAT, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED
-    )
-    parsed = settle(reader.csv(path), "parsed-records")
-    accepted = _staged(parsed.where(F.col(REJECTED).isNull()))
+    parsed = settle(_checked(_fields(spark, path)), "parsed-records")
+    accepted = _staged(parsed.where(F.col(REJECTED).isNull()).drop(REJECTED))
     return accepted, parsed.where(F.col(REJECTED).isNotNull()).select(REJECTED)
 
 
 def write_records(staging: DataFrame, path: str) -> None:
     """Write staging rows in the raw file's format."""
-    records = staging.withColumn("holiday_promotion", F.col("holiday_promotion").cast("int"))
-    records.to(CSV_RECORD).write.options(**_FORMAT).csv(path)
+    records = staging.withColumn(_FLAG, F.col(_FLAG).cast("int"))
+    records.to(CSV_RECORD).write.options(**_FORMAT, nullValue=_NULL).csv(path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,3 +143,75 @@ def star(spark: SparkSession, folder: str, settled: tuple[str, ...] = ()) -> Sta
         pricing=lambda: fact("pricing"),
         store_events=lambda: normalize.store_events(staging(spark, folder)),
     )
+
+
+def with_gaps(star: Star, sales: bool = True) -> Star:
+    """The sample with NULLs by rule, which it does not have of itself.
+
+    With ``sales``, none where they are a multiple of seven, nor on any day of Brand#11 in one store;
+    no category for Brand#12 and no season for Brand#13.
+    """
+    sold, product = F.col("units_sold"), F.col("product_id")
+    one = (product == "Brand#11") & (F.col("store_region_id") == "NATION_21_AMERICA")
+    no_sales = (sold % 7 == 0) | one
+
+    def without(table: DataFrame, column: str, where: Column) -> DataFrame:
+        return table.withColumn(column, F.when(~where, F.col(column)))
+
+    return Star(
+        products=lambda: without(star.products, "category", product == "Brand#12"),
+        seasonality=lambda: without(star.seasonality, "seasonality", product == "Brand#13"),
+        inventory=lambda: without(star.inventory, "units_sold", no_sales)
+        if sales
+        else star.inventory,
+    )
+
+
+# Field texts of a raw line over staging columns; quotes inside quotes are doubled.
+_LINE = {
+    "record_date": "date_format(record_date, 'yyyy-M-d')",
+    "store_id": "store_id",
+    "product_id": "product_id",
+    "category": "concat('\"Toys \"\"', category, '\"\", big\"')",
+    "region": "concat('\"', region, '\"')",
+    "inventory_level": "inventory_level",
+    "units_sold": "units_sold",
+    "units_ordered": "units_ordered",
+    "demand_forecast": "demand_forecast",
+    "price": "price",
+    "discount": "discount",
+    "weather_condition": "case units_ordered when 1 then '\\\\N' when 2 then '' else '\"Fair, mild\"' end",
+    "holiday_promotion": "cast(holiday_promotion as int)",
+    "competitor_pricing": "competitor_pricing",
+    "seasonality": "seasonality",
+}
+# By units sold: what is wrong with a line.
+_WRONG = {
+    3: ("record_date", "'soon'"),
+    5: ("inventory_level", "''"),
+    7: ("holiday_promotion", "'2'"),
+    9: ("price", "'cheap'"),
+}
+_SHORT = 11
+
+
+def write_raw_lines(spark: SparkSession, folder: str, path: str, wrong: bool) -> None:
+    """The sample as plain text lines below a header in each file, some of them wrong if asked."""
+    fields = dict(_LINE)
+    if wrong:
+        for sold, (name, text) in _WRONG.items():
+            fields[name] = f"if(units_sold = {sold}, {text}, cast({fields[name]} as string))"
+    rows = staging(spark, folder, weather=False).selectExpr(
+        *[f"cast({text} as string) as {name}" for name, text in fields.items()]
+    )
+    line = F.concat_ws(",", *fields)
+    if wrong:
+        names = list(fields)[:-3]
+        line = F.when(F.col("units_sold") == str(_SHORT), F.concat_ws(",", *names)).otherwise(line)
+    # Ids count from zero, in the lower 33 bits, in each partition and so in each file.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.lit(",".join(fields) + "\n")
+    text = rows.select(line.alias("value"), first.alias("first"))
+    text.select(
+        F.concat(F.when(F.col("first"), header).otherwise(""), F.col("value")).alias("value")
+    ).write.text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelflight.schemas import TABLES
 
@@ -39,6 +40,27 @@ class Star:
             self._derived[name] = build()
         return self._derived[name]
 
+    def sliced(self, product_id: str | None = None, store_region_id: str | None = None) -> Star:
+        """This star with the rows of one product and/or one store-region only.
+
+        Reports on it compute no other group. Thresholds are per store-product, so a
+        sliced report has the rows of the whole one, except where a report compares
+        stores or regions with each other.
+        """
+        wanted = {"product_id": product_id, "store_region_id": store_region_id}
+
+        def cut(name: str) -> Callable[[], DataFrame]:
+            def build() -> DataFrame:
+                table = self.table(name)
+                for column, value in wanted.items():
+                    if value is not None and column in table.columns:
+                        table = table.where(F.col(column) == value)
+                return table
+
+            return build
+
+        return Star(**{name: cut(name) for name in self._tables})
+
     @property
     def stores(self) -> DataFrame:
         return self.table("stores")

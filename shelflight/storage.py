@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/settled"
 
 
+_SETTLED: ContextVar[list[str] | None] = ContextVar("settled", default=None)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; inside ``settled_tables`` it is noted for removal."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (noted := _SETTLED.get()) is not None:
+        noted.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def settled_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables settled inside the block when it ends.
+
+    Plans that read them must have run by then: write or collect results inside.
+    """
+    noted: list[str] = []
+    token = _SETTLED.set(noted)
+    try:
+        yield
+    finally:
+        _SETTLED.reset(token)
+        for path in noted:
+            remove(spark, path)
 
 
 def settle(table: DataFrame, label: str) -> DataFrame:
@@ -63,14 +94,27 @@ def _laid_out(table: DataFrame, name: str) -> DataFrame:
     return table.hint("rebalance", *keys).sortWithinPartitions(*order)
 
 
+# Written last: a folder without it holds no whole star.
+_WHOLE = "whole"
+
+
 def write_star(star: Star, folder: str, mode: str = "errorifexists") -> None:
-    """Write the six tables as parquet below ``folder``."""
+    """Write the six tables as parquet below ``folder``, then the mark that all are there."""
+    spark = star.inventory.sparkSession
+    if mode == "overwrite":
+        remove(spark, f"{folder}/{_WHOLE}")
     for name in TABLES:
         _laid_out(star.table(name), name).write.mode(mode).parquet(f"{folder}/{name}")
+    names = spark.createDataFrame([(name,) for name in TABLES], "table_name string")
+    names.coalesce(1).write.mode(mode).parquet(f"{folder}/{_WHOLE}")
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
-    """The six tables below ``folder``, under their declared schemas."""
+    """The six tables below ``folder``, under their declared schemas.
+
+    A folder in which a write has not come to its end is refused.
+    """
+    spark.read.schema("table_name string").parquet(f"{folder}/{_WHOLE}")
     return Star(
         **{
             name: spark.read.schema(schema).parquet(f"{folder}/{name}")
@@ -79,7 +123,7 @@ def read_star(spark: SparkSession, folder: str) -> Star:
     )
 
 
-def save_bucketed(star: Star, prefix: str, buckets: int) -> None:
+def save_bucketed(star: Star, prefix: str, buckets: int, mode: str = "errorifexists") -> None:
     """Save the star as catalog tables, the two large facts bucketed by store-product.
 
     Per-store-product aggregates, counts and windows then need no shuffle at all;
@@ -96,7 +140,7 @@ def save_bucketed(star: Star, prefix: str, buckets: int) -> None:
             )
         else:
             writer = table.write
-        writer.mode("overwrite").saveAsTable(f"{prefix}{name}")
+        writer.mode(mode).saveAsTable(f"{prefix}{name}")
 
 
 def bucketed_star(spark: SparkSession, prefix: str) -> Star:

@@ -47,11 +47,32 @@ def test_quotes_short_dates_nulls_and_carriage_returns(spark, tmp_path):
     assert row.seasonality == "Autumn"
 
 
+def test_quotes_inside_quoted_fields_are_doubled(spark, tmp_path):
+    line = GOOD.replace("Toys", '"Toys ""R"" Us"').replace("Rainy", '"Toys 12"", big"')
+    row = read_strict(spark, write(tmp_path, line)).first()
+    assert (row.category, row.weather_condition) == ('Toys "R" Us', 'Toys 12", big')
+
+
+def test_blank_texts_are_empty_and_nulls_are_null(spark, tmp_path):
+    first = GOOD.replace("North", "").replace("Toys", '""')
+    second = GOOD.replace("Toys", "\\N").replace("P0001", "P0002").replace("231", "\\N")
+    rows = {r.product_id: r for r in read_strict(spark, write(tmp_path, first, second)).collect()}
+    assert (rows["P0001"].region, rows["P0001"].store_region_id) == ("", "S001_")
+    assert rows["P0001"].category == ""
+    assert rows["P0002"].category is None and rows["P0002"].inventory_level is None
+
+
 BAD = [
     GOOD.replace("2022-01-01", "01/02/2022"),
     GOOD.replace("231", "many"),
     GOOD.replace("33.50", "123456789012.50"),
     GOOD.rsplit(",", 3)[0],
+    GOOD.replace("231", ""),
+    GOOD.replace("2022-01-01", ""),
+    GOOD.replace("33.50", ""),
+    GOOD.replace(",0,", ",2,"),
+    GOOD.replace(",0,", ",,"),
+    GOOD + ",more",
 ]
 
 
