@@ -3,8 +3,9 @@
 A gear rolling hash runs over a text's bytes: each byte shifts the hash by one bit
 and adds the byte's random number, so in 16 bits it depends on the last 16 bytes
 alone. A chunk ends where the upper bits are zero. Ends follow from content, so an
-insertion moves the chunks after it but does not change them. Chunks that no such
-end closes are closed at a largest size.
+insertion moves the chunks after it but does not change them. A chunk longer than
+a largest size, as in text that repeats a word without an end in it, is divided
+where its hash is smallest, which is content as well.
 
 A chunk's digest that occurs in more than one document is a repeat, of the smallest
 doc_id that has it. Neighbouring repeats of a document make one passage, which
@@ -35,7 +36,9 @@ from shelflight.llm.common import settle, slices, text_bytes
 # The hash's width in bits and bytes seen; one place in 2^MASK_BITS ends a chunk.
 WIDTH = 16
 MASK_BITS = 5
-LONGEST = 512
+LONGEST = 256
+# Least distance of the ends that divide such a chunk.
+APART = 32
 # Bytes of neighbouring repeats that make a passage.
 LEAST = 128
 GEAR_SEED = 20_011
@@ -66,33 +69,48 @@ def chunk_ends(texts: list[bytes]) -> list[np.ndarray]:
     # Zero bytes between the texts empty the window, so texts do not affect each other.
     gap = bytes(WIDTH)
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
-    found = np.flatnonzero(rolling(data) >> np.uint16(WIDTH - MASK_BITS) == 0) + 1
-    inside = data[np.minimum(found, len(data) - 1)] & 0xC0 != 0x80
-    found = found[inside]
+    value = rolling(data)
+    # An end after a byte is possible if the next one does not continue a character.
+    possible = np.append(data[1:] & 0xC0 != 0x80, True)
+    found = np.flatnonzero((value >> np.uint16(WIDTH - MASK_BITS) == 0) & possible) + 1
     sizes = np.array([len(text) for text in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + WIDTH)[:-1]]).astype(np.int64)
     lo = np.searchsorted(found, starts, side="right")
     hi = np.searchsorted(found, starts + sizes, side="left")
-    return [
-        _bounded(text, found[a:b] - start) if size else np.empty(0, np.int64)
-        for text, start, size, a, b in zip(texts, starts, sizes, lo, hi, strict=True)
-    ]
-
-
-def _bounded(text: bytes, ends: np.ndarray) -> np.ndarray:
-    """Ends with the text's own, and with more where a chunk would be too long."""
-    ends = np.append(ends, len(text))
-    if (np.diff(ends, prepend=0) <= LONGEST).all():
-        return ends
-    out, at = [], 0
-    for end in ends.tolist():
-        while end - at > LONGEST:
-            at += LONGEST
-            while text[at] & 0xC0 == 0x80:  # back to the start of the character
-                at -= 1
-            out.append(at)
-        out.append(end)
-        at = end
+    out = []
+    for start, size, a, b in zip(starts.tolist(), sizes.tolist(), lo, hi, strict=True):
+        if not size:
+            out.append(np.empty(0, np.int64))
+            continue
+        ends = np.append(found[a:b] - start, size)
+        wide = np.diff(ends, prepend=0)
+        if wide.max() > LONGEST:
+            own = slice(start, start + size)
+            more = [
+                _divided(int(end - width), int(end), value[own], possible[own])
+                for end, width in zip(ends, wide, strict=True)
+                if width > LONGEST
+            ]
+            ends = np.sort(np.concatenate([ends, *more]))
+        out.append(ends)
+    return out
+
+
+def _divided(start: int, end: int, value: np.ndarray, possible: np.ndarray) -> np.ndarray:
+    """Ends inside a long chunk: where its hash is smallest, and again in what is still long."""
+    out, waiting = [], [(start, end)]
+    while waiting:
+        a, b = waiting.pop()
+        if b - a <= LONGEST:
+            continue
+        places = np.flatnonzero(possible[a : b - 1])
+        hashes = value[a : b - 1][places]
+        cuts = [a]
+        for at in (places[hashes == hashes.min()] + a + 1).tolist():
+            if at - cuts[-1] >= APART or cuts[-1] == a:
+                cuts.append(at)
+        out += cuts[1:]
+        waiting += zip(cuts, [*cuts[1:], b], strict=True)
     return np.array(out, np.int64)
 
 

@@ -9,19 +9,26 @@ from tests.llm.conftest import ODD_TEXTS, prose
 
 def plain_ends(text: bytes):
     """One byte after the other."""
-    value, at, ends = 0, 0, []
-    for i, byte in enumerate(text):
+    value, hashes = 0, []
+    for byte in text:
         value = ((value << 1) + int(cd._GEAR[byte])) & 0xFFFF
-        whole = i + 1 == len(text) or text[i + 1] & 0xC0 != 0x80
-        if i + 1 == len(text) or (value >> (16 - cd.MASK_BITS) == 0 and whole):
-            while i + 1 - at > cd.LONGEST:
-                at += cd.LONGEST
-                while text[at] & 0xC0 == 0x80:
-                    at -= 1
-                ends.append(at)
-            ends.append(i + 1)
-            at = i + 1
-    return ends
+        hashes.append(value)
+    allowed = [i for i in range(1, len(text)) if text[i] & 0xC0 != 0x80]
+    ends = {i for i in allowed if hashes[i - 1] >> (16 - cd.MASK_BITS) == 0}
+    ends |= {len(text)} if text else set()
+    work = list(zip([0, *sorted(ends)], sorted(ends), strict=False))
+    while work:
+        a, b = work.pop()
+        if b - a > cd.LONGEST:
+            inside = [i for i in allowed if a < i < b]
+            lowest = min(hashes[i - 1] for i in inside)
+            cuts = [a]
+            for i in inside:
+                if hashes[i - 1] == lowest and (cuts == [a] or i - cuts[-1] >= cd.APART):
+                    cuts.append(i)
+            ends |= set(cuts[1:])
+            work += list(zip(cuts, [*cuts[1:], b], strict=True))
+    return sorted(ends)
 
 
 TEXTS = [(t or "").encode() for t in ODD_TEXTS] + [prose(s, 200).encode() for s in range(20)]
@@ -37,6 +44,16 @@ def test_ends_do_not_depend_on_neighbours():
     assert [e.tolist() for e in cd.chunk_ends(TEXTS[::-1])] == alone[::-1]
 
 
+def test_repeated_words_are_cut_alike():
+    one, other = b"some words before " + b"Again, " * 90, b"else " + b"Again, " * 200 + b"and more"
+    cut = []
+    for text in (one, other):
+        ends = cd.chunk_ends([text])[0].tolist()
+        cut.append([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    shared = sum(len(c) for c in cut[0] if c in cut[1])
+    assert shared > 450
+
+
 def test_insertion_keeps_later_chunks():
     text = prose(1, 400).encode()
     moved = b"inserted " + text
