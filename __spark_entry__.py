@@ -53,7 +53,7 @@ def _comparable(rows: DataFrame) -> DataFrame:
 
 
 def _report(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
-    star = sample_tables.star(spark, sf_dir, settled=report.reread)
+    star = sample_tables.star(spark, sf_dir, report.reread, report.dims)
     return _comparable(report.ordered(star))
 
 
@@ -150,14 +150,14 @@ def _gaps(report: Report, sales: bool, spark: SparkSession, sf_dir: str) -> Data
 
 
 def _numbered(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
-    star = sample_tables.star(spark, sf_dir, settled=report.reread)
+    star = sample_tables.star(spark, sf_dir, report.reread, report.dims)
     return _comparable(report.numbered(star))
 
 
 def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slicer: one store-region, sliced before anything is summed."""
     report = REPORTS["movement"]
-    star = sample_tables.star(spark, sf_dir, settled=report.reread)
+    star = sample_tables.star(spark, sf_dir, report.reread, report.dims)
     return _comparable(report.ordered(star.sliced(store_region_id="NATION_21_AMERICA")))
 
 

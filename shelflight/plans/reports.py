@@ -24,6 +24,7 @@ class Report:
     order: tuple[str, ...]  # a leading "-" sorts descending
     hidden: tuple[str, ...] = ()  # sorted by, not shown
     reread: tuple[str, ...] = ()  # measures of the facts that the plan reads twice
+    dims: tuple[str, ...] = ()  # dimensions that the plan joins
 
     def rows(self, star: Star, **options) -> DataFrame:
         """The report without its order."""
@@ -61,6 +62,7 @@ REPORTS: dict[str, Report] = {
         stock_health.stock_level,
         ("store_region_id", "product_id", "record_date"),
         reread=_STOCK,
+        dims=("products",),
     ),
     "movement": Report(
         stock_health.movement,
@@ -79,6 +81,7 @@ REPORTS: dict[str, Report] = {
         demand.competitor_pricing,
         ("-avg_competitor_price", "product_id"),
         reread=("units_sold", "price", "competitor_pricing"),
+        dims=("products",),
     ),
     "stockout_by_store": Report(
         stock_health.stockout_by_store,
@@ -86,22 +89,37 @@ REPORTS: dict[str, Report] = {
         reread=_STOCK,
     ),
     "discount_effect": Report(
-        demand.discount_effect, ("-avg_discount", "product_id"), reread=("units_sold", "discount")
+        demand.discount_effect,
+        ("-avg_discount", "product_id"),
+        reread=("units_sold", "discount"),
+        dims=("products",),
     ),
     "reorder_point": Report(
-        replenishment.reorder_points, ("store_region_id", "product_id"), reread=_STOCK
+        replenishment.reorder_points,
+        ("store_region_id", "product_id"),
+        reread=_STOCK,
+        dims=("products",),
     ),
     "low_inventory": Report(
         replenishment.low_inventory,
         ("record_date", "store_region_id", "product_id"),
         reread=_STOCK,
+        dims=("products",),
     ),
     "turnover": Report(
-        demand.turnover, ("-inventory_turnover_ratio", "product_id"), reread=_PRICED_STOCK
+        demand.turnover,
+        ("-inventory_turnover_ratio", "product_id"),
+        reread=_PRICED_STOCK,
+        dims=("products",),
+    ),
+    "regional_summary": Report(
+        demand.regional_summary, ("region",), reread=_STOCK, dims=("stores",)
     ),
-    "regional_summary": Report(demand.regional_summary, ("region",), reread=_STOCK),
     "kpi_summary": Report(
-        demand.kpi_summary, ("store_region_id", "product_id"), reread=_STOCK
+        demand.kpi_summary,
+        ("store_region_id", "product_id"),
+        reread=_STOCK,
+        dims=("products",),
     ),
     "seasonal_demand": Report(
         demand.seasonal_demand,
@@ -115,18 +133,26 @@ REPORTS: dict[str, Report] = {
         replenishment.stock_recommendations,
         ("-priority_score", "-holding_cost", "store_region_id", "product_id"),
         reread=_PRICED_STOCK,
+        dims=("products", "seasonality"),
     ),
     "low_inventory_rollup": Report(
-        rollups.low_inventory_rollup, ("dimension", "member"), reread=_STOCK
+        rollups.low_inventory_rollup,
+        ("dimension", "member"),
+        reread=_STOCK,
+        dims=("products",),
     ),
     "reorder_vs_sales_rollup": Report(
-        rollups.reorder_vs_sales_rollup, ("dimension", "member"), reread=_STOCK
+        rollups.reorder_vs_sales_rollup,
+        ("dimension", "member"),
+        reread=_STOCK,
+        dims=("products",),
     ),
     "monthly_trend": Report(rollups.monthly_trend, ("month_start",)),
     "turnover_by_category": Report(
         rollups.turnover_by_category,
         ("-inventory_turnover_ratio", "category"),
         reread=_PRICED_STOCK,
+        dims=("products",),
     ),
 }
 

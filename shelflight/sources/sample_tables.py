@@ -7,6 +7,7 @@ product and day add up to that day's record.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,36 +110,82 @@ _HIGHEST = ["price", "discount", "competitor_pricing"]
 MEASURES = (*_ADDED, *_HIGHEST)
 
 
+def _measures(names: Iterable[str]) -> list[Column]:
+    return [
+        (F.sum(name) if name in _ADDED else F.max(name)).alias(name) for name in MEASURES if name in names
+    ]
+
+
 def daily_records(rows: DataFrame) -> DataFrame:
     """Lines of a store-region, product and day as one record: amounts add up,
     the highest price, discount and competitor price stand."""
-    return rows.groupBy(*_DAY).agg(
-        *[F.sum(name).alias(name) for name in _ADDED],
-        *[F.max(name).alias(name) for name in _HIGHEST],
+    return rows.groupBy(*_DAY).agg(*_measures(MEASURES))
+
+
+# What the dimensions are cut from: the first date of each mix of these columns.
+_SIGHTING = ["product_id", "category", "seasonality", "store_region_id"]
+_PLACE = ["store_region_id", "store_id", "region"]
+
+
+def _one_pass(rows: DataFrame, measures: tuple[str, ...], dims: tuple[str, ...]):
+    """Daily records, and what the dimensions need, from one read of the line items.
+
+    The groupings share the joins of the base: each row meets them once and is
+    counted in every grouping, map-side.
+    """
+    sets = [_DAY]
+    if {"products", "seasonality"} & set(dims):
+        sets.append(_SIGHTING)
+    if "stores" in dims:
+        sets.append(_PLACE)
+    names = list(dict.fromkeys(name for columns in sets for name in columns))
+    part = F.when(F.grouping("record_date") == 0, "daily")
+    if _SIGHTING in sets:
+        part = part.when(F.grouping("category") == 0, "sightings")
+    grouped = rows.groupingSets(sets, *names).agg(
+        *_measures(measures),
+        F.min(F.col("record_date")).alias("first_date"),
+        part.otherwise("places").alias("part"),
+    )
+    settled = settle(grouped, "base-records", by="part")
+
+    def cut(columns: list[str], name: str) -> DataFrame:
+        date = F.col("first_date").alias("record_date")
+        return settled.where(F.col("part") == name).select(*columns, date)
+
+    daily = settled.where("part = 'daily'").select(*_DAY, *measures)
+    return daily, cut(_SIGHTING, "sightings") if _SIGHTING in sets else rows, (
+        cut(_PLACE, "places") if _PLACE in sets else rows
     )
 
 
-def star(spark: SparkSession, folder: str, settled: tuple[str, ...] = ()) -> Star:
+def star(
+    spark: SparkSession, folder: str, settled: tuple[str, ...] = (), dims: tuple[str, ...] = ()
+) -> Star:
     """The normalised tables of the sample, each planned when first read.
 
     ``settled`` names the measures of a report that reads the daily records more
-    than once. They are written to the shared folder first, so the line items are
-    joined and summed in one pass, and both facts are read from the table
-    written. The facts then hold these measures only.
+    than once, and ``dims`` the dimensions it joins. They are written to the shared
+    folder first, so the line items are joined and summed in one pass, and all are
+    read from the tables written. The facts then hold these measures only.
     """
     rows = staging(spark, folder, weather=False)
-    daily = daily_records(rows)
-    if settled:
-        daily = settle(daily.select(*_DAY, *settled), "daily-records")
+    sightings = places = rows
+    if settled and dims:
+        daily, sightings, places = _one_pass(rows, settled, dims)
+    elif settled:
+        daily = settle(daily_records(rows).select(*_DAY, *settled), "daily-records")
+    else:
+        daily = daily_records(rows)
 
     def fact(name: str) -> DataFrame:
         declared = [f for f in TABLES[name].fields if f.name in daily.columns]
         return daily.to(T.StructType(declared))
 
     return Star(
-        stores=lambda: normalize.stores(rows),
-        products=lambda: normalize.products(rows),
-        seasonality=lambda: normalize.seasonality(rows),
+        stores=lambda: normalize.stores(places),
+        products=lambda: normalize.products(sightings),
+        seasonality=lambda: normalize.seasonality(sightings),
         inventory=lambda: fact("inventory"),
         pricing=lambda: fact("pricing"),
         store_events=lambda: normalize.store_events(staging(spark, folder)),

@@ -65,9 +65,11 @@ def settled_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def settle(table: DataFrame, label: str) -> DataFrame:
+def settle(table: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
+    ``by``: a column of few values that readers filter on; each reads its part only.
+
     The copy survives the loss of executors and has a known size on disk. A join
     to it is planned from that size: broadcast up to
     spark.sql.autoBroadcastJoinThreshold, beyond it a shuffled join that adaptive
@@ -76,7 +78,8 @@ def settle(table: DataFrame, label: str) -> DataFrame:
     """
     spark = table.sparkSession
     path = fresh_path(spark, label)
-    table.write.parquet(path)
+    writer = table.write.partitionBy(by) if by else table.write
+    writer.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 

@@ -122,3 +122,20 @@ def test_all_null_and_partly_null_sales(star_of):
         "P1": None, "P2": 1.0, "P3": 4.0, "P4": -4.0, "P5": -7.0
     }
     assert found["P1"].avg_sales is None and found["P1"].stddev_sales is None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="sample tables absent")
+@pytest.mark.parametrize("name", [n for n, r in REPORTS.items() if r.reread])
+def test_base_lines_are_read_once(spark, monkeypatch, name):
+    """One table is settled from them; what the report runs on reads settled tables only."""
+    calls = []
+
+    def counted(table, label, by=None):
+        calls.append(label)
+        return settle(table, label, by)
+
+    monkeypatch.setattr(sample_tables, "settle", counted)
+    report = REPORTS[name]
+    star = sample_tables.star(spark, "/root/testdata/sf0.001", report.reread, report.dims)
+    assert "lineitem" not in plan_of(report.rows(star))
+    assert len(calls) == 1
