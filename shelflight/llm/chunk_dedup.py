@@ -23,7 +23,6 @@ result. Other columns are ignored, and kept by ``drop_repeats``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa

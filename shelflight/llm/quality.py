@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import ODD_TEXTS, prose
-from tests.llm.test_packing import check, plain_pieces
+from tests.llm.test_packing import plain_pieces
 from tests.llm.test_quality import plain_counts
 from tests.llm.test_simhash import near_copies, plain_groups, plain_print
 
