@@ -24,13 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
     spark.checkpoint.dir if set, else the context's checkpoint folder, else a
-    folder in the warehouse, which every session names.
+    folder in the warehouse. A cluster whose warehouse is a local path must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/settled"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"{warehouse}/settled"
 
 
 _SETTLED: ContextVar[list[str] | None] = ContextVar("settled", default=None)
