@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
@@ -19,6 +23,21 @@ from shelflight.llm import (
 )
 
 
+def _run(
+    query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    """Run a query with this tree on the Python workers' path, as the driver has it.
+
+    Where workers do not see the driver's folders, ship the package to them instead.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        paths = [root, *filter(None, paths)]
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(paths)
+    return query(spark, sf_dir)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,7 +84,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
+_PLANS = {
     "op1_distribution_quality": op1_distribution_quality,
     "op2_heap_token_counts": op2_heap_token_counts,
     "op3_chunk_dedup": op3_chunk_dedup,
@@ -79,6 +98,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+QUERIES = {name: partial(_run, plan) for name, plan in _PLANS.items()}
+
 ORACLES = {
     "op5_exact_dedup": r"""
 WITH read AS (
