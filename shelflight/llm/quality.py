@@ -6,19 +6,21 @@ does, all other words together being one more entry. A document is held against
 language by the Jensen-Shannon distance (0 to 1) of either histogram and rejected
 where one exceeds its limit. Short documents have ragged histograms by chance:
 below a minimum length a histogram is not judged. Labels may be wrong, so a
-document goes only if the references of all languages reject it.
-
-A common word makes up ``common`` of its language's words, which bounds a reference
-to 1/common words; a language has a reference if it has ``least`` of all words,
-which bounds their number. Both bounds hold at any corpus size, so the references
-are small enough to travel with the tasks. A word histogram of n words diverges by about
+document goes only if the references of all large languages reject it as well.
+
+A language has a reference if it has ``least`` words, however large the corpus. A
+common word makes up ``common`` of its language's words, which bounds a reference
+to 1/common words. Large languages have ``large`` of all words, which bounds their
+number, so their references travel with the tasks; the others' are joined to their
+documents by language. A document of a language without a reference is not judged by
+distance: other languages say nothing about it. A word histogram of n words diverges by about
 entries / (8 n ln 2) bits by chance alone, which is taken off before its limit applies.
 
 Besides, two base rules reject a document: fewer than 20 words, or more than 30 %
 of its words in 8-word windows that repeat in it.
 
-Nulls: a null text has no words; a null language, or one without a reference, is
-held against all references. Where nothing has a reference, the base rules decide.
+Nulls: a null text has no words; a null language is held against the references of
+all large languages. Where nothing has a reference, the base rules decide.
 Empty texts fail the base rules. Rows are judged one by one, so repeated rows get
 the same verdict; an empty table gives an empty result. Other columns are ignored,
 and kept by ``drop_rejected``.
@@ -41,7 +43,9 @@ MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
 COMMON = 0.004
-LEAST = 0.001
+LARGE = 0.001
+# Words from which a language has a reference.
+LEAST = 5_000
 # Limits of the distances, and the lengths from which they are judged.
 CLASS_LIMIT = 0.3
 CLASS_MIN_CHARS = 300
@@ -155,8 +159,13 @@ class References:
             shares[-1] = max(0.0, 1.0 - shares.sum())
 
 
-def references(documents: DataFrame, common: float = COMMON, least: float = LEAST) -> References:
-    """References from the documents that pass the base rules; a null language adds to none."""
+def references(
+    documents: DataFrame, common: float = COMMON, large: float = LARGE, least: int = LEAST
+) -> tuple[References, DataFrame | None]:
+    """References from the documents that pass the base rules; a null language adds to none.
+
+    Those of large languages, and a table (lang, classes, words) of the others', if there are any.
+    """
     partial_counts = documents.select("lang", "text").where("lang is not null").mapInArrow(
         _counts, "lang string, word binary, n array<bigint>"
     )
@@ -168,18 +177,36 @@ def references(documents: DataFrame, common: float = COMMON, least: float = LEAS
         kept.where("word is not null").groupBy("lang").agg(F.sum("n0").alias("words")), "word-totals"
     )
     corpus = totals.agg(F.sum("words").alias("w")).first().w or 0
-    large = totals.where(F.col("words") >= F.lit(least * corpus))
-    rows = kept.join(large, "lang").where(
-        F.col("word").isNull() | (F.col("n0") >= F.col("words") * common)
-    )
+    enough, is_large = F.col("words") >= least, F.col("words") >= F.lit(large * corpus)
+    common_word = F.col("word").isNull() | (F.col("n0") >= F.col("words") * common)
+    rows = kept.join(totals.where(enough & is_large), "lang").where(common_word)
     classes, words = {}, {}
-    for row in rows.collect():  # at most 1/least languages with 1/common words each
+    for row in rows.collect():  # at most 1/large languages with 1/common words each
         if row.word is None:
-            found = np.array([row[f"n{i}"] for i in range(_CONTINUED)], float)
-            classes[row.lang] = found / max(1.0, found.sum())
+            classes[row.lang] = _shares([row[f"n{i}"] for i in range(_CONTINUED)])
         else:
             words.setdefault(row.lang, {})[bytes(row.word)] = row.n0 / row.words
-    return References(classes, {lang: dict(sorted(w.items())) for lang, w in words.items()})
+    found = References(classes, {lang: dict(sorted(w.items())) for lang, w in words.items()})
+    rest = totals.where(enough & ~is_large)
+    if rest.isEmpty():
+        return found, None
+    counts = F.array(*[f"n{i}" for i in range(_CONTINUED)])
+    word = F.struct("word", (F.col("n0") / F.col("words")).alias("share"))
+    small = (
+        kept.join(rest, "lang")
+        .where(common_word)
+        .groupBy("lang")
+        .agg(
+            F.first(F.when(F.col("word").isNull(), counts), ignorenulls=True).alias("classes"),
+            F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), word))).alias("words"),
+        )
+    )
+    return found, settle(small, "small-references")
+
+
+def _shares(counts: list[int]) -> np.ndarray:
+    found = np.array(counts, float)
+    return found / max(1.0, found.sum())
 
 
 # ---- verdicts --------------------------------------------------------------------
@@ -244,7 +271,9 @@ _FIELDS = {
 }
 
 
-def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.ndarray]:
+def _judge(
+    texts: list[bytes], langs: list, known: References, joined: References
+) -> dict[str, np.ndarray]:
     histograms = _byte_counts(texts)
     classes = (histograms @ _INTO_CLASSES)[:, :_CONTINUED]
     n_words, repeats, failed = base_rules(texts)
@@ -254,9 +283,9 @@ def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.n
     by_class = np.full(len(texts), np.inf)
     by_word = np.full(len(texts), np.inf)
 
-    def measure(rows: np.ndarray, lang: str) -> None:
+    def measure(rows: np.ndarray, lang: str, given: References) -> None:
         """Keep the distances from the reference that fits best."""
-        place = {word: at for at, word in enumerate(known.words[lang])}
+        place = {word: at for at, word in enumerate(given.words[lang])}
         other = len(place)
         counts = np.stack(
             [
@@ -264,8 +293,8 @@ def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.n
                 for at in rows
             ]
         )
-        c = js_distance(classes[rows], known.classes[lang])
-        w = js_distance(counts, known.shares[lang], chance=True)
+        c = js_distance(classes[rows], given.classes[lang])
+        w = js_distance(counts, given.shares[lang], chance=True)
         better = np.maximum(c / CLASS_LIMIT, w / WORD_LIMIT) < np.maximum(
             by_class[rows] / CLASS_LIMIT, by_word[rows] / WORD_LIMIT
         )
@@ -276,14 +305,20 @@ def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.n
             (plain >= WORD_MIN_WORDS) & (by_word > WORD_LIMIT)
         )
 
-    own = np.array([known.langs.index(x) if x in known.classes else -1 for x in langs])
-    for at, lang in enumerate(known.langs):
-        if len(rows := np.flatnonzero(own == at)):
-            measure(rows, lang)
-    for at, lang in enumerate(known.langs):
-        if len(rows := np.flatnonzero(rejected() & (own != at))):
-            measure(rows, lang)
-    no_reference = not known.langs
+    rows_of: dict[str | None, list[int]] = {}
+    for at, lang in enumerate(langs):
+        rows_of.setdefault(lang, []).append(at)
+    # A null language may be any; one without a reference is not judged.
+    judged = np.zeros(len(texts), bool)
+    for lang, rows in rows_of.items():
+        given = known if lang in known.classes else joined
+        if lang in given.classes:
+            measure(np.array(rows), lang, given)
+        judged[rows] = lang in given.classes or (lang is None and bool(known.langs))
+    own = np.array([x if x in known.classes else None for x in langs], object)
+    for lang in known.langs:
+        if len(rows := np.flatnonzero(judged & rejected() & (own != lang))):
+            measure(rows, lang, known)
     return {
         "n_words": n_words,
         "word_chars": chars - classes[:, _CLASSES.index("blank")],
@@ -291,17 +326,28 @@ def _judge(texts: list[bytes], langs: list, known: References) -> dict[str, np.n
         "n_dup_lines": np.array([_duplicate_lines(text) for text in texts], np.int64),
         "n_repeat_words": repeats,
         "base_failed": failed,
-        "kept": ~failed & (no_reference | ~rejected()),
+        "kept": ~failed & ~(judged & rejected()),
         "class_distance": by_class,
         "word_distance": by_word,
     }
 
 
-def _verdicts(texts: pa.Array, langs: pa.Array, known: References) -> pa.Array:
+def _joined(langs: pa.Array, given: pa.Array) -> References:
+    """The references that came with the rows, one per language."""
+    first = {lang: at for at, lang in enumerate(langs.to_pylist()) if given[at].is_valid}
+    found = {lang: given[at].as_py() for lang, at in first.items()}
+    return References(
+        {lang: _shares(own["classes"]) for lang, own in found.items()},
+        {lang: {w["word"]: w["share"] for w in own["words"]} for lang, own in found.items()},
+    )
+
+
+def _verdicts(texts: pa.Array, langs: pa.Array, known: References, joined: References) -> pa.Array:
     batch = pa.RecordBatch.from_arrays([texts, langs], names=["text", "lang"])
     parts = []
     for part in slices([batch], "text"):
-        found = _judge(text_bytes(part.column("text")), part.column("lang").to_pylist(), known)
+        langs = part.column("lang").to_pylist()
+        found = _judge(text_bytes(part.column("text")), langs, known, joined)
         found = {k: np.where(np.isinf(v), -1.0, v) if v.dtype == float else v for k, v in found.items()}
         columns = [pa.array(found[name], kind) for name, kind in _FIELDS.items()]
         parts.append(pa.StructArray.from_arrays(columns, names=list(_FIELDS)))
@@ -309,15 +355,41 @@ def _verdicts(texts: pa.Array, langs: pa.Array, known: References) -> pa.Array:
     return pa.concat_arrays([part.cast(kind) for part in parts]) if parts else pa.array([], kind)
 
 
-def verdict(known: References) -> Column:
-    """Counts, distances and the verdict of each row's text, as one struct."""
+def _verdict(known: References, *columns: Column) -> Column:
+    """Counts, distances and the verdict of each row's text, as one struct.
+
+    ``columns``: text, lang and, if it was joined, the language's reference.
+    """
+
+    def travelling(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return _verdicts(texts, langs, known, References({}, {}))
 
-    def judged(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        return _verdicts(texts, langs, known)
+    def joined(texts: pa.Array, langs: pa.Array, given: pa.Array) -> pa.Array:
+        return _verdicts(texts, langs, known, _joined(langs, given))
 
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.float64(): "double"}
     schema = ", ".join(f"{name}: {kinds[kind]}" for name, kind in _FIELDS.items())
-    return F.arrow_udf(judged, f"struct<{schema}>")("text", "lang")
+    judged = joined if len(columns) == 3 else travelling
+    return F.arrow_udf(judged, f"struct<{schema}>")(*columns)
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """Each document as one struct ``row``, with its verdict ``v``."""
+    known, small = references(documents)
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    text, lang = F.col("row.text"), F.col("row.lang")
+    if small is None:
+        return rows.select("row", _verdict(known, text, lang).alias("v"))
+    # Only documents of other than large languages meet the join.
+    travels = lang.isNull() | lang.isin(known.langs)
+    large = rows.where(travels).select("row", _verdict(known, text, lang).alias("v"))
+    given = small.select(
+        F.col("lang").alias("of"), F.struct("classes", "words").alias("reference")
+    )
+    rest = rows.where(~travels).join(given, lang == F.col("of"), "left")
+    return large.unionByName(
+        rest.select("row", _verdict(known, text, lang, F.col("reference")).alias("v"))
+    )
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
@@ -325,13 +397,10 @@ def quality_report(documents: DataFrame) -> DataFrame:
 
     A distance of -1: nothing to compare with.
     """
-    known = references(documents)
-    judged = documents.select("doc_id", verdict(known).alias("v"))
-    return judged.select("doc_id", *[F.col(f"v.{name}").alias(name) for name in _FIELDS])
+    found = judged(documents.select("doc_id", "text", "lang"))
+    return found.select("row.doc_id", *[F.col(f"v.{name}").alias(name) for name in _FIELDS])
 
 
 def drop_rejected(documents: DataFrame) -> DataFrame:
     """The documents that no rule rejects."""
-    known = references(documents)
-    judged = documents.withColumn("__verdict", verdict(known))
-    return judged.where("__verdict.kept").select(*documents.columns)
+    return judged(documents).where("v.kept").select("row.*")

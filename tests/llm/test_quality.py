@@ -64,6 +64,32 @@ def test_wrong_language_is_forgiven_and_null_columns_pass(spark):
     assert {200, 201, None} <= set(kept) and len(kept) == len(rows)
 
 
+def shifted(text, by):
+    return "".join(chr(ord(c) + by) if c > " " else c for c in text)
+
+
+def test_small_languages_have_references_of_their_own(spark, monkeypatch):
+    """"bb" has 0.06 of the words, far below the share of a large language here."""
+    monkeypatch.setattr(quality.references, "__defaults__", (quality.COMMON, 0.2, 5_000))
+    rows = [(i, prose(5_000 + i, 400) + " the and of" * 20, "aa", "s", 1) for i in range(320)]
+    rows += [(1_000 + i, shifted(t, 400), "bb", "s", 1) for i, t in enumerate(GOOD)]
+    rows += [(2_000 + i, t, "bb", "s", 1) for i, t in enumerate(BAD)]
+    # Too few words for a reference: not held against foreign ones.
+    rows += [(3_000, shifted(GOOD[0], 800), "cc", "s", 1), (3_001, "few words", "cc", "s", 1)]
+    found = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(rows, DDL)).collect()}
+    assert len(found) == len(rows)
+    assert all(found[1_000 + i].kept and found[1_000 + i].word_distance < 0.2 for i in range(len(GOOD)))
+    assert not any(found[2_000 + i].kept for i in range(len(BAD)))
+    assert found[3_000].kept and found[3_000].word_distance == -1 and not found[3_001].kept
+
+
+def test_languages_below_a_thousandth_of_all_words_are_kept(spark):
+    rows = [(i, GOOD[i % 40] + " " + GOOD[(i + 7) % 40], "aa", "s", 1) for i in range(25_000)]
+    rows += [(100_000 + i, shifted(t, 400), "bb", "s", 1) for i, t in enumerate(GOOD)]
+    kept = quality.drop_rejected(spark.createDataFrame(rows, DDL)).where("lang = 'bb'")
+    assert kept.count() == len(GOOD)
+
+
 def test_distance_is_that_of_its_definition():
     p, q = np.array([1, 3, 0, 4]), np.array([0.25, 0.25, 0.5, 0.0])
     own = p / p.sum()
