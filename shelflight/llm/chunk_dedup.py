@@ -9,10 +9,13 @@ where its hash is smallest, which is content as well.
 
 A chunk's digest that occurs in more than one document is a repeat, of the smallest
 doc_id that has it. Neighbouring repeats of a document make one passage, which
-counts from a least size on: single chunks repeat by chance. Two passes read the
-texts. The first combines digests map-side and keeps those of several documents;
-the second joins the chunks to them, where adaptive execution splits a digest that
-very many documents share.
+counts from a least size on: single chunks repeat by chance. A passage of fewer
+bytes is a seed: it is extended byte by byte from its longest chunk, against the first
+and the last document that has this chunk, and counts if the longer of both matches
+has the least size. Three passes read the texts. The first combines digests map-side and
+keeps those of several documents; the second joins the chunks to them, where adaptive
+execution splits a digest that very many documents share; the third reads the
+bytes beside these chunks, there and in the documents they are held against.
 
 Nulls: a null or empty text has no chunks. Rows that share a doc_id are one
 document, of which equal chunks at equal places count once; null doc_ids are
@@ -27,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import settle, slices, text_bytes
@@ -150,16 +153,15 @@ def repeats(documents: DataFrame) -> DataFrame:
     cut = chunks(documents)
     shared = settle(
         cut.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"))
-        .where(F.col("first_doc_id") < F.col("__last"))
-        .drop("__last"),
+        .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+        .where(F.col("first_doc_id") < F.col("last_doc_id")),
         "shared-chunks",
     )
-    return cut.join(shared, "digest").drop("digest")
+    return cut.join(shared, "digest")
 
 
-def _runs(found: DataFrame, least: int) -> DataFrame:
-    """Neighbouring chunks of a document as one row, from ``least`` bytes on."""
+def _runs(found: DataFrame) -> DataFrame:
+    """Neighbouring chunks of a document as one row, with the longest of them."""
     place = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before >= F.col("start"), 0).otherwise(1)
@@ -169,6 +171,8 @@ def _runs(found: DataFrame, least: int) -> DataFrame:
         "run", F.sum("opens").over(place)
     )
     later = (F.col("first_doc_id") < F.col("doc_id")) & ~F.col("again")
+    size = (F.col("end") - F.col("start")).alias("size")
+    chunk = F.struct(size, "start", "end", "digest", "first_doc_id", "last_doc_id")
     return (
         numbered.groupBy("doc_id", "run")
         .agg(
@@ -177,12 +181,160 @@ def _runs(found: DataFrame, least: int) -> DataFrame:
             F.sum((~F.col("again")).cast("long")).alias("n_chunks"),
             F.min("first_doc_id").alias("first_doc_id"),
             F.sum(F.when(later, F.col("end") - F.col("start")).otherwise(0)).alias("repeated_bytes"),
+            F.max(chunk).alias("longest"),
         )
-        .where(F.col("end") - F.col("start") >= least)
         .drop("run")
     )
 
 
+def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes before and after a document's own chunks, and those of chunks asked of it."""
+    digest = xxhash.xxh3_128_digest
+    for batch in slices(batches, "text"):
+        rows = []
+        seeds, asked = batch.column("seeds").to_pylist(), batch.column("asked").to_pylist()
+        for at, text in enumerate(text_bytes(batch.column("text"))):
+
+            def sides(a: int, b: int) -> tuple[bytes, bytes]:
+                return text[max(0, a - LONGEST) : a], text[b : b + LONGEST]  # noqa: B023
+
+            for seed in seeds[at] or ():
+                a, b = seed["start"], seed["end"]
+                # Rows that share a doc_id may have other texts.
+                if digest(text[a:b]) == seed["digest"]:
+                    rows.append((at, a, None, *sides(a, b)))
+            wanted = set(asked[at] or ())
+            ends = chunk_ends([text])[0].tolist() if wanted else []
+            for a, b in zip([0, *ends], ends, strict=False):
+                if (own := digest(text[a:b])) in wanted:
+                    wanted.remove(own)
+                    rows.append((at, None, own, *sides(a, b)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(pa.array(columns[0], pa.int64())),
+                *(pa.array(values, kind) for values, kind in zip(columns[1:], kinds, strict=True)),
+            ],
+            names=["doc_id", "start", "digest", "before", "after"],
+        )
+
+
+def _same(own: bytes, other: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(own), len(other))
+    unlike = np.frombuffer(own, np.uint8, n) != np.frombuffer(other, np.uint8, n)
+    return int(unlike.argmax()) if unlike.any() else n
+
+
+def _before(own: pa.Array, other: pa.Array) -> pa.Array:
+    """Equal bytes that two places have before them, whole characters only."""
+    out = []
+    for x, y in zip(own.to_pylist(), other.to_pylist(), strict=True):
+        n = _same(x[::-1], y[::-1]) if x and y else 0
+        while n and x[-n] & 0xC0 == 0x80:
+            n -= 1
+        out.append(n)
+    return pa.array(out, pa.int64())
+
+
+def _after(own: pa.Array, other: pa.Array) -> pa.Array:
+    """Equal bytes that two places have after them, whole characters only."""
+    out = []
+    for x, y in zip(own.to_pylist(), other.to_pylist(), strict=True):
+        n = _same(x, y) if x and y else 0
+        out.append(len(x[:n].decode("utf-8", "ignore").encode()) if n else 0)
+    return pa.array(out, pa.int64())
+
+
+def _passages(documents: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Runs from ``least`` bytes on, and shorter ones that come to it once extended."""
+    runs = settle(_runs(found), "chunk-runs")
+    names = ["doc_id", "start", "end", "n_chunks", "first_doc_id", "repeated_bytes"]
+    long = F.col("end") - F.col("start") >= least
+    seeds = runs.where(~long)
+    chunk = F.col("longest")
+    others = {
+        name: F.when(chunk[f"{name}_doc_id"] != F.col("doc_id"), chunk[f"{name}_doc_id"])
+        for name in ("first", "last")
+    }
+    asked = [
+        seeds.select(other.alias("doc_id"), chunk["digest"].alias("asked")).where("doc_id is not null")
+        for other in others.values()
+    ]
+    # Both lists are bounded by the chunks of one document.
+    wanted = (
+        seeds.select("doc_id", F.struct("longest.start", "longest.end", "longest.digest").alias("seed"))
+        .groupBy("doc_id")
+        .agg(F.collect_list("seed").alias("seeds"))
+        .join(
+            asked[0]
+            .unionByName(asked[1])
+            .distinct()
+            .groupBy("doc_id")
+            .agg(F.collect_list("asked").alias("asked")),
+            "doc_id",
+            "full",
+        )
+    )
+    read = documents.select("doc_id", "text").join(wanted, "doc_id")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    beside = settle(
+        read.mapInArrow(
+            _beside,
+            f"doc_id {kind}, start bigint, digest binary, before binary, after binary",
+        ),
+        "beside-seeds",
+    )
+    own = beside.where("digest is null").select(
+        F.col("doc_id").alias("own_doc"), F.col("start").alias("own_start"), "before", "after"
+    )
+    placed = seeds.join(
+        own, (F.col("doc_id") == F.col("own_doc")) & (chunk["start"] == F.col("own_start"))
+    )
+    for name, other in others.items():
+        there = beside.where("digest is not null").select(
+            F.col("doc_id").alias(f"{name}_doc"),
+            F.col("digest").alias(f"{name}_digest"),
+            F.col("before").alias(f"{name}_before"),
+            F.col("after").alias(f"{name}_after"),
+        )
+        same = (other == F.col(f"{name}_doc")) & (chunk["digest"] == F.col(f"{name}_digest"))
+        placed = placed.join(there, same, "left")
+    # Bytes by which the matches with either document reach beyond the run.
+    reach = {}
+    for name in others:
+        left = F.arrow_udf(_before, "bigint")("before", f"{name}_before")
+        right = F.arrow_udf(_after, "bigint")("after", f"{name}_after")
+        reach[f"{name}_left"] = F.greatest(F.lit(0), left + F.col("start") - chunk["start"])
+        reach[f"{name}_right"] = F.greatest(F.lit(0), right + chunk["end"] - F.col("end"))
+    first, last = (F.col(f"{name}_left") + F.col(f"{name}_right") for name in others)
+    again = F.when(chunk["first_doc_id"] < F.col("doc_id"), first).otherwise(0)
+
+    def longer(side: str) -> Column:
+        return F.when(first >= last, F.col(f"first_{side}")).otherwise(F.col(f"last_{side}"))
+
+    extended = (
+        placed.withColumns(reach)
+        .withColumns(
+            {
+                "start": F.col("start") - longer("left"),
+                "end": F.col("end") + longer("right"),
+                "repeated_bytes": F.col("repeated_bytes") + again,
+            }
+        )
+        .where(long)
+        # Two seeds in one passage extend to the same bytes.
+        .groupBy("doc_id", "start", "end")
+        .agg(
+            F.max("n_chunks").alias("n_chunks"),
+            F.min("first_doc_id").alias("first_doc_id"),
+            F.max("repeated_bytes").alias("repeated_bytes"),
+        )
+    )
+    return runs.where(long).select(*names).unionByName(extended.select(*names))
+
+
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per repeated passage of a document.
 
@@ -190,7 +342,8 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     chunk of it occurs in, repeated_bytes: how much of it occurs in a smaller doc_id,
     and kept: whether that is too little to be a passage, so this one came first.
     """
-    return _runs(repeats(documents), least).withColumn("kept", F.col("repeated_bytes") < least)
+    found = _passages(documents, repeats(documents), least)
+    return found.withColumn("kept", F.col("repeated_bytes") < least)
 
 
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -208,9 +361,10 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def drop_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without the passages that repeat smaller doc_ids' chunks."""
-    later = repeats(documents).where("first_doc_id < doc_id")
+    # Held against the first document alone: a passage stays where it comes first.
+    later = repeats(documents).where("first_doc_id < doc_id").withColumn("last_doc_id", F.col("doc_id"))
     spans = (
-        _runs(later, least)
+        _passages(documents, later, least)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     )  # bounded by the passages of one document

@@ -124,6 +124,39 @@ def test_planted_passages_are_found_and_clean_documents_left(documents_of):
     assert all(len(left[i]) < len(docs[i]) - cd.LEAST + 1 for i in changed)
 
 
+def test_passages_with_few_whole_chunks_are_extended(documents_of):
+    """Shared passages of about 150 to 200 bytes, most of which lies in chunks cut by their ends."""
+    draw, docs, spans, inner, seen = random.Random(5), [], [], [], defaultdict(set)
+    for i in range(150):
+        shared = " é" + prose(9_000 + i, draw.randrange(16, 21)) + "é "
+        for seed in (2 * i, 2 * i + 1):
+            before, after = prose(20_000 + seed, 30), prose(40_000 + seed, 30)
+            docs.append(before + shared + after)
+            spans.append((len(before), len(before) + len(shared.encode())))
+        cut = []
+        for text, (a, b) in zip(docs[-2:], spans[-2:], strict=True):
+            ends = plain_ends(data := text.encode())
+            inside = [(x, y) for x, y in zip([0, *ends], ends, strict=False) if a <= x and y <= b]
+            cut.append({data[x:y] for x, y in inside})
+            for x, y in zip([0, *ends], ends, strict=False):
+                seen[data[x:y]].add(i)
+        inner.append(cut[0] & cut[1])
+    table = documents_of(docs)
+    rows = {r.doc_id: r for r in cd.passages(table).collect()}
+    missed = {doc_id // 2 for doc_id in set(range(len(docs))) - set(rows)}
+    # A chunk that only the two documents have is enough, however short.
+    sure = {i for i, own in enumerate(inner) if any(seen[c] == {i} for c in own)}
+    few = {i for i in sure if sum(map(len, inner[i])) < cd.LEAST}
+    assert len(few) > 40 and not missed & sure
+    for doc_id, row in rows.items():
+        a, b = spans[doc_id]
+        # Neighbouring texts may go on alike for a few letters.
+        assert a - 8 <= row.start and row.end <= b + 8 and row.end - row.start >= cd.LEAST
+        assert row.kept == (doc_id % 2 == 0)
+    left = {r.doc_id: r.text for r in cd.drop_repeats(table).collect()}
+    assert {i for i, t in enumerate(docs) if left[i] != t} == {i for i in rows if i % 2}
+
+
 def test_empty(documents_of):
     assert cd.passages(documents_of([])).collect() == []
     assert cd.drop_repeats(documents_of([])).collect() == []
