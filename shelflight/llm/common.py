@@ -91,9 +91,9 @@ def run_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def text_key() -> Column:
+def text_key(text: str = "text") -> Column:
     """With doc_id, tells rows apart that share one doc_id."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def only_rows(documents: DataFrame, keepers: DataFrame) -> DataFrame:
@@ -101,8 +101,10 @@ def only_rows(documents: DataFrame, keepers: DataFrame) -> DataFrame:
 
     Rows that repeat one doc_id with the same text are copies; one of them stays.
     """
-    marked = documents.withColumn("__key", text_key())
-    names = keepers.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+    # The row as one struct: no column of it has the name of a helper.
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    marked = rows.select("row", F.col("row.doc_id").alias("id"), text_key("row.text").alias("key"))
+    names = keepers.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
     kept = marked.join(names, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*documents.columns)
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

@@ -93,6 +93,15 @@ def test_stages_keep_extra_and_clashing_columns(spark, documents_of):
         assert {tuple(r[5:8]) for r in out.collect()} == {(1, "x", 2)}
 
 
+def test_stages_keep_columns_named_like_helpers(spark, documents_of):
+    names = ["__key", "__verdict", "__id", "__text", "row", "key", "id", "v", "of_id", "of_key"]
+    docs = documents_of(table()).selectExpr("*", *[f"{i} as {name}" for i, name in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.schema == docs.schema
+        assert {tuple(r[5:]) for r in out.collect()} == {tuple(range(len(names)))}
+
+
 @pytest.mark.parametrize("at", range(5))
 def test_stages_take_empty_tables_and_nulls(spark, documents_of, at):
     stage = corpus_pipeline.STAGES[at][1]
