@@ -144,6 +144,16 @@ def _pack(
     ).to_batches(max_chunksize=2_000)
 
 
+def _items(rows: DataFrame) -> DataFrame:
+    """Pieces as items, dealt evenly by ``order``: by row number, as doc_ids may repeat or be null."""
+    names = rows.columns
+    return rows.select(
+        F.col("length").alias("size"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("order"),
+        F.array(F.struct(*names)).alias("members"),
+    )
+
+
 def packed(
     rows: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, items: int = ITEMS
 ) -> DataFrame:
@@ -152,11 +162,7 @@ def packed(
     ``rows`` are read twice; settle them first.
     """
     names = rows.columns
-    start = rows.select(
-        F.col("length").alias("size"),
-        F.xxhash64("doc_id", "piece").alias("order"),
-        F.array(F.struct(*names)).alias("members"),
-    )
+    start = _items(rows)
     kind = start.schema["members"].dataType.simpleString()
     schema = f"size bigint, order bigint, members {kind}, full boolean"
     # Full pieces are bins already.

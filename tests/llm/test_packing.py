@@ -54,6 +54,16 @@ def test_rounds_merge_leftovers(spark):
     assert used <= -(-sum(sizes) // 100) * 1.02 + 1
 
 
+def test_rows_of_one_doc_id_are_dealt_evenly(spark):
+    rows = spark.range(0, 4_000, 1, 4).selectExpr(
+        "if(id % 2 = 0, null, 7L) as doc_id", "0 as piece", "0L as start", "5L as length",
+        "9L as ids_crc32",
+    )
+    dealt = packing._items(rows).repartition(8, "order").selectExpr("spark_partition_id() as p")
+    sizes = [r["count"] for r in dealt.groupBy("p").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
 def test_large_items_end_the_rounds(spark):
     rows = spark.createDataFrame(
         [(i, 0, 0, 60, 0) for i in range(300)], packing._PIECE.format(kind="bigint")
