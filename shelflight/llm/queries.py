@@ -12,11 +12,14 @@ import corpus_pipeline
 from shelflight.llm import (
     attention_lm,
     chunk_dedup,
+    decontamination,
     exact_dedup,
+    hard_negatives,
     mixing,
     packing,
     quality,
     simhash,
+    spelling,
     token_count,
     token_files,
     url_filter,
@@ -84,6 +87,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_wu_manber_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return decontamination.contamination(documents, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 _PLANS = {
     "op1_distribution_quality": op1_distribution_quality,
     "op2_heap_token_counts": op2_heap_token_counts,
@@ -95,6 +111,9 @@ _PLANS = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_attention_scores": op9_attention_scores,
     "op10_source_mixing": op10_source_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_wu_manber_contamination": op12_wu_manber_contamination,
+    "op13_strassen_hard_negatives": op13_strassen_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -156,5 +175,70 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies
 FROM counted
+""",
+    "op12_wu_manber_contamination": r"""
+WITH items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), cut AS (
+  SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS place
+  FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size,
+         array_to_string(w[place:place + 9], ' ') AS passage
+  FROM cut
+), docs AS (
+  SELECT row_number() OVER () AS nth, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), starts AS (
+  SELECT nth, size, w, unnest(generate_series(1, len(w) - size + 1)) AS place
+  FROM docs, sizes WHERE len(w) >= size
+), passages AS (
+  SELECT nth, size, place, array_to_string(w[place:place + size - 1], ' ') AS passage FROM starts
+), found AS (
+  SELECT p.nth, p.place, p.size, i.item FROM passages p JOIN windows i USING (passage, size)
+), hits AS (
+  SELECT nth, count(DISTINCT word) AS n_hit FROM (
+    SELECT nth, unnest(generate_series(place, place + size - 1)) AS word
+    FROM (SELECT DISTINCT nth, place, size FROM found)
+  ) GROUP BY nth
+), listed AS (
+  SELECT nth, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT nth, item FROM found) GROUP BY nth
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (nth) LEFT JOIN listed USING (nth)
+""",
+    "op13_strassen_hard_negatives": r"""
+WITH rows AS (
+  SELECT DISTINCT vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM rows a JOIN rows c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT)
+         AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
 """,
 }
