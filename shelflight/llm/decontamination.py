@@ -170,7 +170,8 @@ def _cut(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBat
             for at in range(last + 1):
                 windows.append(spaced[ends[at] : ends[min(at + words, len(ends) - 1)] + 1])
                 items.append(item)
-        yield pa.record_batch([pa.array(windows, pa.binary()), pa.array(items, pa.string())], ["window", "item"])
+        columns = [pa.array(windows, pa.binary()), pa.array(items, pa.string())]
+        yield pa.record_batch(columns, ["window", "item"])
 
 
 def item_windows(benchmark: DataFrame, words: int = WINDOW) -> DataFrame:
@@ -212,7 +213,7 @@ def _hits(part: pa.RecordBatch, block: Block, tables: list[Searcher]) -> list[pa
     held = np.array([text.count(b" ") for text in texts], np.int64)
     base = np.cumsum(held) - held
     change = np.zeros(len(spaces) + 1, np.int64)
-    owners, items = [], []
+    owners, items = [base[:0]], [base[:0]]
     for table in tables:
         places, numbers = table.search(joined, eights)
         first = np.searchsorted(spaces, places)

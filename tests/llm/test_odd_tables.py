@@ -7,17 +7,25 @@ import pytest
 from shelflight.llm import (
     attention_lm,
     chunk_dedup,
+    decontamination,
     exact_dedup,
     mixing,
     packing,
     quality,
     simhash,
+    spelling,
     token_count,
     token_files,
     url_filter,
 )
 from tests.llm.conftest import DDL, ODD_TEXTS, prose
 
+
+
+def _items(documents):
+    return documents.where("doc_id > 15").selectExpr("doc_id as item_id", "text", "'x' as window")
+
+
 OPERATORS = {
     "quality": (quality.quality_report, 1),
     "token_count": (token_count.token_counts, 1),
@@ -29,6 +37,8 @@ OPERATORS = {
     "packing": (packing.pack_documents, None),
     "scores": (lambda d: attention_lm.lm_scores(d, steps=3), 1),
     "mixing": (mixing.mix_report, 1),
+    "spelling": (spelling.spelling_variants, None),
+    "contamination": (lambda d: decontamination.contamination(d, _items(d)), 1),
 }
 EXTRA = [
     "row", "fp", "digest", "size", "key", "place", "n", "text_key", "start", "score", "rank", "chars",
