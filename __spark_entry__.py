@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 from oracles.sql import ORACLES
 from shelflight.operators import normalize, quality
+from shelflight.plans.load import append_records
 from shelflight.plans.reports import REPORTS, Report
 from shelflight.schemas import TABLES
 from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
+from shelflight.star import Star
 from shelflight.storage import fresh_path, read_star, settle, write_star
 
 # The operators on documents come and go with their folder.
@@ -131,14 +133,36 @@ def _star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the star as files and sum what a reader of the files finds."""
     folder = fresh_path(spark, "star")
     write_star(sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES), folder)
-    written = read_star(spark, folder)
+    return _summed(read_star(spark, folder))
+
+
+def _summed(star: Star) -> DataFrame:
     sums = [
-        written.table(name).agg(*_contents(written.table(name))).withColumn("table_name", F.lit(name))
+        star.table(name).agg(*_contents(star.table(name))).withColumn("table_name", F.lit(name))
         for name in TABLES
     ]
     return reduce(DataFrame.unionByName, sums)
 
 
+def _appended(spark: SparkSession, sf_dir: str) -> tuple[Star, DataFrame]:
+    """Load the sample up to a day, then append the rest with days that are stored already."""
+    folder = fresh_path(spark, "snapshots")
+    for rows in sample_tables.two_loads(spark, sf_dir):
+        path = fresh_path(spark, "raw-records")
+        csv_records.write_records(rows, path)
+        star, conflicts = append_records(spark, path, folder, ignore_inventory=True)
+    return star, conflicts
+
+
+def _load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the star holds after both loads: the sums of a single load."""
+    return _summed(_appended(spark, sf_dir)[0])
+
+
+def _load_append_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, sf_dir)[1]
+
+
 def _duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staging rows are settled: six tables are checked from one join of the base."""
     return quality.duplicate_keys(settle(sample_tables.staging(spark, sf_dir), "staging"))
@@ -183,6 +207,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fact_inventory": _inventory,
         "fact_pricing": _pricing,
         "star_tables": _star_tables,
+        "load_append": _load_append,
+        "load_append_conflicts": _load_append_conflicts,
         "dq_duplicate_keys": _duplicate_keys,
         "dq_orphans": _orphans,
         "dq_domain": _domain,

@@ -251,6 +251,40 @@ def _raw(columns: list[str]) -> str:
     return ", ".join(changed.get(c, _plain([c])) for c in columns)
 
 
+def _append_conflicts() -> str:
+    """Counts of a second load, which repeats the last days of the first with other values."""
+    daily = """daily AS (
+  SELECT record_date, store_region_id, product_id, min(store_id) AS store_id,
+         min(region) AS region, min(category) AS category, min(seasonality) AS seasonality,
+         min({'w': weather_condition, 'h': holiday_promotion}) AS mood,
+         record_date < DATE '1995-06-17' AS old
+  FROM lines GROUP BY ALL
+), later AS (
+  SELECT * REPLACE (CASE WHEN old THEN category || ' again' ELSE category END AS category,
+                    CASE WHEN old THEN 'Never' ELSE seasonality END AS seasonality),
+         CASE WHEN old THEN '0-NONE' ELSE mood.w END AS weather, mood.h AS holiday
+  FROM daily WHERE record_date >= DATE '1995-06-17' - 30
+)"""
+    offered = {
+        "stores": ("store_region_id, store_id, region", "store_region_id"),
+        "products": ("product_id, category", "product_id"),
+        "seasonality": ("product_id, seasonality", "product_id"),
+        "inventory": ("record_date, store_region_id, product_id", "record_date, store_region_id, product_id"),
+        "pricing": ("record_date, store_region_id, product_id", "record_date, store_region_id, product_id"),
+        "store_events": ("store_region_id, record_date, weather, holiday", "store_region_id, record_date"),
+    }
+    selects = [
+        f"""SELECT '{name}' AS table_name, {_big('rows')} AS offered, CAST(0 AS BIGINT) AS no_key,
+  {_big('rows - keys')} AS repeated, {_big('old_keys')} AS stored, {_big('keys - old_keys')} AS added
+FROM (SELECT count(*) AS rows FROM (SELECT DISTINCT {columns} FROM later)),
+     (SELECT count(*) AS keys, count(*) FILTER (k IN (SELECT ROW({keys}) FROM daily WHERE old)) AS old_keys
+      FROM (SELECT DISTINCT ROW({keys}) AS k FROM later))"""
+        for name, (columns, keys) in offered.items()
+    ]
+    return _with(LINES, daily, select="\nUNION ALL\n".join(selects))
+
+
+
 LOAD = {
     "load_staging": _with(LINES, select=f"SELECT {_plain(_STAGING)} FROM lines"),
     "dim_stores": _with(LINES, DIMS, select="SELECT store_region_id, store_id, region FROM places"),
@@ -265,6 +299,8 @@ QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
                            ORDER BY weather_condition NULLS FIRST, holiday_promotion) = 1""",
     ),
     "star_tables": _star_tables(),
+    "load_append": _star_tables(),
+    "load_append_conflicts": _append_conflicts(),
     "load_quoted": _with(LINES, select=f"SELECT {_raw(_STAGING)} FROM lines"),
     "load_tolerant": _with(
         LINES,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from shelflight import snapshots
 from shelflight.operators import normalize, quality
 from shelflight.sources import csv_records
 from shelflight.star import Star
@@ -32,3 +33,27 @@ def load_star(
             rejected.write.parquet(f"{folder}/rejected")
         write_star(normalize.star(staging, unique=True), folder)
     return read_star(spark, folder)
+
+
+def append_records(
+    spark: SparkSession,
+    csv_path: str | list[str],
+    folder: str,
+    tolerant: bool = False,
+    ignore_inventory: bool = False,
+) -> tuple[Star, DataFrame]:
+    """Load raw records into the snapshots of ``folder``, which the first load starts.
+
+    Returns the star with them, and per table what was added and what was ignored. A
+    tolerant load sets lines that do not fit the schema aside below ``folder``/rejected.
+    """
+    with settled_tables(spark):
+        rejected = None
+        if tolerant:
+            staging, rejected = csv_records.read_tolerant(spark, csv_path)
+        else:
+            staging = settle(csv_records.read_strict(spark, csv_path), "staging")
+        after, conflicts = snapshots.append(spark, staging, folder, ignore_inventory)
+        if rejected is not None:
+            rejected.write.parquet(f"{folder}/rejected/{after.number:08d}")
+    return after.star(spark), conflicts

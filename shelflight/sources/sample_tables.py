@@ -122,6 +122,39 @@ def daily_records(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_DAY).agg(*_measures(MEASURES))
 
 
+# Loads of the sample: up to this day, and again from some days before it.
+_CUT = "1995-06-17"
+_OVERLAP = 30
+
+
+def daily_staging(spark: SparkSession, folder: str) -> DataFrame:
+    """Staging rows of which each store-region, product and day has one."""
+    mood = F.min(F.struct("weather_condition", "holiday_promotion")).alias("mood")
+    texts = ["store_id", "region", "category", "seasonality"]
+    daily = staging(spark, folder).groupBy(*_DAY).agg(
+        *_measures(MEASURES), *[F.min(name).alias(name) for name in texts], mood
+    )
+    return daily.select("*", "mood.*").to(STAGING)
+
+
+def two_loads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The daily rows in two parts; the second repeats days of the first with other values."""
+    daily = settle(daily_staging(spark, folder), "daily-staging")
+    date, cut = F.col("record_date"), F.to_date(F.lit(_CUT))
+    old = date < cut
+    changed = {
+        "category": F.concat("category", F.lit(" again")),
+        "seasonality": F.lit("Never"),
+        "weather_condition": F.lit("0-NONE"),
+        "inventory_level": F.col("inventory_level") + 1,
+        "price": F.col("price") + 1,
+    }
+    later = daily.where(date >= F.date_sub(cut, _OVERLAP)).withColumns(
+        {name: F.when(old, value).otherwise(F.col(name)) for name, value in changed.items()}
+    )
+    return daily.where(old), later.to(STAGING)
+
+
 # What the dimensions are cut from: the first date of each mix of these columns.
 _SIGHTING = ["product_id", "category", "seasonality", "store_region_id"]
 _PLACE = ["store_region_id", "store_id", "region"]

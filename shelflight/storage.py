@@ -86,7 +86,7 @@ def settle(table: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-def _laid_out(table: DataFrame, name: str) -> DataFrame:
+def laid_out(table: DataFrame, name: str) -> DataFrame:
     """Rows of a store-product together and by date, in files of even size.
 
     The rebalance hint lets adaptive execution split a store-product that is too
@@ -110,7 +110,7 @@ def write_star(star: Star, folder: str, mode: str = "errorifexists") -> None:
     if mode == "overwrite":
         remove(spark, f"{folder}/{_WHOLE}")
     for name in TABLES:
-        _laid_out(star.table(name), name).write.mode(mode).parquet(f"{folder}/{name}")
+        laid_out(star.table(name), name).write.mode(mode).parquet(f"{folder}/{name}")
     names = spark.createDataFrame([(name,) for name in TABLES], "table_name string")
     names.coalesce(1).write.mode(mode).parquet(f"{folder}/{_WHOLE}")
 
