@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 from functools import partial, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,13 @@ def _load_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(csv_records.read_strict(spark, path))
 
 
+def _load_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load raw text with line breaks inside quotes, every field of every row."""
+    path = fresh_path(spark, "raw-lines")
+    sample_tables.write_raw_lines(spark, sf_dir, path, breaks=True)
+    return _comparable(csv_records.read_strict(spark, path, multiline=True))
+
+
 def _load_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load raw lines of which some are wrong: what is accepted and set aside, by product."""
     path = fresh_path(spark, "raw-lines")
@@ -203,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_staging": _load_staging,
         **{query: partial(_table, table) for query, table in _TABLE_QUERIES.items()},
         "load_quoted": _load_quoted,
+        "load_multiline": _load_multiline,
         "load_tolerant": _load_tolerant,
         "fact_inventory": _inventory,
         "fact_pricing": _pricing,
@@ -224,6 +233,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _run(plan: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Python workers started from here on find the package where the driver does.
+    root = str(Path(__file__).resolve().parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
     return plan(prepare(spark), sf_dir)
 
 

@@ -251,6 +251,19 @@ def _raw(columns: list[str]) -> str:
     return ", ".join(changed.get(c, _plain([c])) for c in columns)
 
 
+def _broken(columns: list[str]) -> str:
+    """Staging columns as raw lines with breaks have them."""
+    changed = {
+        "category": """CASE WHEN units_sold % 3 = 0
+    THEN 'Toys ' || chr(10) || '"' || category || '",' || chr(10) || chr(10) || ' big'
+    ELSE 'Toys "' || category || '", big' END AS category""",
+        "weather_condition": """CASE WHEN units_sold % 3 = 0
+    THEN 'Fair' || chr(13) || chr(10) || 'mild' || chr(10) WHEN units_ordered = 1 THEN NULL
+    WHEN units_ordered = 2 THEN '' ELSE 'Fair, mild' END AS weather_condition""",
+    }
+    return ", ".join(changed.get(c, _plain([c])) for c in columns)
+
+
 def _append_conflicts() -> str:
     """Counts of a second load, which repeats the last days of the first with other values."""
     daily = """daily AS (
@@ -302,6 +315,7 @@ QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
     "load_append": _star_tables(),
     "load_append_conflicts": _append_conflicts(),
     "load_quoted": _with(LINES, select=f"SELECT {_raw(_STAGING)} FROM lines"),
+    "load_multiline": _with(LINES, select=f"SELECT {_broken(_STAGING)} FROM lines"),
     "load_tolerant": _with(
         LINES,
         select=f"""SELECT product_id, outcome, {_big('count(*)')} AS lines,

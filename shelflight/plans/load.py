@@ -12,7 +12,11 @@ from shelflight.storage import read_star, settle, settled_tables, write_star
 
 
 def load_star(
-    spark: SparkSession, csv_path: str | list[str], folder: str, tolerant: bool = False
+    spark: SparkSession,
+    csv_path: str | list[str],
+    folder: str,
+    tolerant: bool = False,
+    multiline: bool = False,
 ) -> Star:
     """Load raw records, normalise them, write the six tables below ``folder``.
 
@@ -20,14 +24,14 @@ def load_star(
     that does not fit the schema fails the load; a tolerant load sets it aside below
     ``folder``/rejected. A repeated inventory key fails either load. Nothing is
     written below ``folder`` before the checks, and the tables can be read back only
-    when all of them are written.
+    when all of them are written. ``multiline``: quoted fields may hold line breaks.
     """
     with settled_tables(spark):
         rejected = None
         if tolerant:
-            staging, rejected = csv_records.read_tolerant(spark, csv_path)
+            staging, rejected = csv_records.read_tolerant(spark, csv_path, multiline)
         else:
-            staging = settle(csv_records.read_strict(spark, csv_path), "staging")
+            staging = settle(csv_records.read_strict(spark, csv_path, multiline), "staging")
         quality.require_unique(staging, "inventory")
         if rejected is not None:
             rejected.write.parquet(f"{folder}/rejected")
@@ -41,6 +45,7 @@ def append_records(
     folder: str,
     tolerant: bool = False,
     ignore_inventory: bool = False,
+    multiline: bool = False,
 ) -> tuple[Star, DataFrame]:
     """Load raw records into the snapshots of ``folder``, which the first load starts.
 
@@ -50,9 +55,9 @@ def append_records(
     with settled_tables(spark):
         rejected = None
         if tolerant:
-            staging, rejected = csv_records.read_tolerant(spark, csv_path)
+            staging, rejected = csv_records.read_tolerant(spark, csv_path, multiline)
         else:
-            staging = settle(csv_records.read_strict(spark, csv_path), "staging")
+            staging = settle(csv_records.read_strict(spark, csv_path, multiline), "staging")
         after, conflicts = snapshots.append(spark, staging, folder, ignore_inventory)
         if rejected is not None:
             rejected.write.parquet(f"{folder}/rejected/{after.number:08d}")

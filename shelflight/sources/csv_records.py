@@ -1,8 +1,9 @@
 """The raw stock-record file: comma-separated, quoted, one header line, 15 fields by position.
 
 A quote inside a quoted field is doubled. An unquoted ``\\N`` is NULL; a blank
-field is an empty text, and no number, date or flag. The flag is 0 or 1. A field
-is one line: a line break inside quotes would leave a file unsplittable.
+field is an empty text, and no number, date or flag. The flag is 0 or 1. A field is
+one line, unless a load asks for ``multiline``: line breaks inside quotes then belong to
+the field, and a file still is read by several tasks, see ``sources.multiline``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelflight.schemas import CSV_RECORD, STAGING
+from shelflight.sources.multiline import records
 from shelflight.storage import settle
 
 REJECTED = "rejected_line"
@@ -26,14 +28,20 @@ _DATE = "yyyy-M-d"
 _FLAG = "holiday_promotion"
 
 
-def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _fields(spark: SparkSession, path: str | list[str], multiline: bool) -> DataFrame:
     """The fields as texts, blank ones as empty texts, and a line with too few or too many."""
     texts = [T.StructField(f.name, T.StringType(), True) for f in CSV_RECORD]
     schema = T.StructType([*texts, T.StructField(_BROKEN, T.StringType(), True)])
-    reader = spark.read.schema(schema).options(
-        **_FORMAT, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN
-    )
-    return reader.csv(path).withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in texts})
+    options = {**_FORMAT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    if multiline:
+        # One record to a row; "multiLine" keeps the breaks inside quotes as they are.
+        given = {**options, "multiLine": "true"}
+        found = records(spark, path).where(F.trim("record") != "")
+        ddl = ", ".join(f"{f.name} string" for f in schema)
+        fields = found.select(F.from_csv("record", ddl, given).alias("f")).select("f.*")
+    else:
+        fields = spark.read.schema(schema).options(**options).csv(path)
+    return fields.withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in texts})
 
 
 def _parsed(name: str, kind: T.DataType) -> Column:
@@ -77,21 +85,28 @@ def _staged(records: DataFrame) -> DataFrame:
     ).to(STAGING)
 
 
-def read_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_strict(
+    spark: SparkSession, path: str | list[str], multiline: bool = False
+) -> DataFrame:
     """Staging rows; a line whose fields do not fit the schema fails the job that reads it."""
-    parsed = _checked(_fields(spark, path))
+    parsed = _checked(_fields(spark, path, multiline))
+    if multiline:
+        # Else the check below would be pushed to lines that are no records of their own.
+        parsed = settle(parsed, "parsed-records")
     refuse = F.raise_error(F.concat(F.lit("malformed record: "), F.col(REJECTED)))
     # As a filter: every job that reads a row checks all of its fields.
     fits = F.when(F.col(REJECTED).isNull(), F.lit(True)).otherwise(refuse.cast("boolean"))
     return _staged(parsed.where(fits).drop(REJECTED))
 
 
-def read_tolerant(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_tolerant(
+    spark: SparkSession, path: str | list[str], multiline: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Staging rows that fit the schema, and the text of the lines that do not.
 
     The parsed lines are settled, so both are read from one parse.
     """
-    parsed = settle(_checked(_fields(spark, path)), "parsed-records")
+    parsed = settle(_checked(_fields(spark, path, multiline)), "parsed-records")
     accepted = _staged(parsed.where(F.col(REJECTED).isNull()).drop(REJECTED))
     return accepted, parsed.where(F.col(REJECTED).isNotNull()).select(REJECTED)
 

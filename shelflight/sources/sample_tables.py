@@ -273,11 +273,23 @@ _WRONG = {
     9: ("price", "'cheap'"),
 }
 _SHORT = 11
+# Texts with line breaks, every third line.
+_BREAKS = {
+    "category": "if(units_sold % 3 = 0, concat('\"Toys \n\"\"', category, '\"\",\n\n big\"'), {})",
+    "weather_condition": "if(units_sold % 3 = 0, '\"Fair\r\nmild\n\"', {})",
+}
+
 
+def write_raw_lines(
+    spark: SparkSession, folder: str, path: str, wrong: bool = False, breaks: bool = False
+) -> None:
+    """The sample as plain text lines below a header in each file.
 
-def write_raw_lines(spark: SparkSession, folder: str, path: str, wrong: bool) -> None:
-    """The sample as plain text lines below a header in each file, some of them wrong if asked."""
+    Some of them are wrong, or have line breaks inside quotes, if asked.
+    """
     fields = dict(_LINE)
+    if breaks:
+        fields |= {name: text.format(fields[name]) for name, text in _BREAKS.items()}
     if wrong:
         for sold, (name, text) in _WRONG.items():
             fields[name] = f"if(units_sold = {sold}, {text}, cast({fields[name]} as string))"
