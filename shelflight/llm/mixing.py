@@ -4,18 +4,20 @@ Every source has a weight and thereby a share of the words wanted; no target
 exceeds ``most`` times its source. The excess is shared by weight among the
 others until none is above.
 
-A document's place in its source is a hash of its doc_id. The hash space is cut
-into equal ranges, narrow enough that one range of the largest source is a small
-task, so the rows of a hot source spread over many. Sums per range give each
-range its prefix, a running sum inside the range gives each document's; the
-document at which a source's budget ends is its cut. Whole documents are taken:
-the one on the cut if at least half of it fits. Targets above a source's size
-repeat the order: whole epochs, then the same cut.
+A document's place in its source is a hash of its doc_id. Rows that share source,
+doc_id and text stand at one spot, which is summed first: a hot doc_id is a row. The
+hash space is cut into equal ranges, narrow enough that one range of the largest source
+is a small task, so the spots of a hot source spread over many. Sums per range give
+each range its prefix, in two levels, so that no task adds up all ranges of a source; a
+running sum inside the range gives each spot's. The spot at which a source's budget ends
+is its cut. Whole documents are taken: the one on the cut if at least half of it fits,
+and of the rows at its spot as many as fit. Targets above a source's size repeat the
+order: whole epochs, then the same cut.
 
 Nulls: a null text has size 0; a null source is a source of its own and sorts
-last. Rows that tie in hash, doc_id and text stand at one place and are taken
-together. Sources without words get target 0. An empty table gives an empty
-result. Other columns are passed through by ``mix``.
+last. Where some rows of a spot are taken once more than others, the first ones in the
+table are; they differ at most in other columns. Sources without words get target 0. An
+empty table gives an empty result. Other columns are passed through by ``mix``.
 """
 
 from __future__ import annotations
@@ -82,6 +84,23 @@ def _named(rows: DataFrame) -> DataFrame:
     )
 
 
+_SOURCE = ["key", "unnamed"]
+_SPOT = ["place", "doc_id", "text_key"]
+
+
+def _starts(per_range: DataFrame, digits: int) -> DataFrame:
+    """Add the sum of all lower ranges of the source, by way of groups of ranges."""
+    group = F.substring("range", 1, digits // 2)
+    grouped = settle(per_range.withColumn("group", group), "mixing-sums")
+    sums = grouped.groupBy(*_SOURCE, "group").agg(F.sum("in_range").alias("in_group"))
+    groups = Window.partitionBy(*_SOURCE).orderBy("group")
+    before = sums.withColumn("before", F.sum("in_group").over(groups) - F.col("in_group"))
+    ranges = Window.partitionBy(*_SOURCE, "group").orderBy("range")
+    inside = grouped.withColumn("inside", F.sum("in_range").over(ranges) - F.col("in_range"))
+    joined = inside.join(before.drop("in_group"), [*_SOURCE, "group"])
+    return joined.select(*_SOURCE, "range", (F.col("before") + F.col("inside")).alias("start"))
+
+
 def cuts(
     sized: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -89,23 +108,29 @@ def cuts(
     most: float = MOST,
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Per source: size, target, whole epochs, and the place its last epoch ends at.
+    """Per source: size, target, whole epochs, and the spot its last epoch ends at.
 
-    ``sized`` has source, size, place, doc_id and text_key and is read several times.
+    All rows of lower spots are taken in the last epoch, and ``fit`` of the ``rows`` of
+    the last one. ``sized`` has source, size, place, doc_id and text_key.
     """
-    totals = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("rows")
+    spots = settle(
+        _named(sized)
+        .groupBy("source", *_SOURCE, *_SPOT)
+        .agg(F.max("size").alias("size"), F.count("*").alias("rows")),
+        "mixing-spots",
+    )
+    words = F.col("size") * F.col("rows")
+    totals = spots.groupBy("source").agg(
+        F.sum(words).alias("source_size"), F.count("*").alias("spots")
     )
     wanted = settle(targets(totals, weights, share, most), "mixing-targets")
-    largest = wanted.agg(F.max("rows").alias("rows")).first().rows or 0
+    largest = wanted.agg(F.max("spots").alias("spots")).first().spots or 0
     digits = 0
     while 16**digits * range_rows < largest:
         digits += 1
-    source = ["key", "unnamed"]
-    ranged = _named(sized).withColumn("range", F.substring("place", 1, digits))
-    per_range = ranged.groupBy(*source, "range").agg(F.sum("size").alias("in_range"))
-    upto = F.sum("in_range").over(Window.partitionBy(*source).orderBy("range"))
-    starts = per_range.withColumn("start", upto - F.col("in_range")).drop("in_range")
+    ranged = spots.withColumn("range", F.substring("place", 1, digits))
+    per_range = ranged.groupBy(*_SOURCE, "range").agg(F.sum(words).alias("in_range"))
+    starts = _starts(per_range, digits)
     epochs = F.when(
         F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
     ).otherwise(0)
@@ -113,32 +138,35 @@ def cuts(
         _named(wanted)
         .withColumn("epochs", epochs.cast("long"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .select(*source, "source_size", "target", "epochs", "rest")
+        .select(*_SOURCE, "source_size", "target", "epochs", "rest")
     )
-    # Only the range in which the rest ends has to be looked into row by row.
+    # Only the range in which the rest ends has to be looked into spot by spot.
     last_range = settle(
-        starts.join(planned, source)
+        starts.join(planned, _SOURCE)
         .where(F.col("start") < F.col("rest"))
-        .groupBy(*source)
+        .groupBy(*_SOURCE)
         .agg(F.max(F.struct("range", "start", "rest")).alias("r"))
-        .select(*source, "r.range", "r.start", "r.rest"),
+        .select(*_SOURCE, "r.range", "r.start", "r.rest"),
         "mixing-ranges",
     )
-    inside = Window.partitionBy(*source, "range").orderBy("place", "doc_id", "text_key")
-    spots = ["place", "doc_id", "text_key"]
+    inside = Window.partitionBy(*_SOURCE, "range").orderBy(*_SPOT)
+    left = F.col("rest") - F.col("start") - (F.sum(words).over(inside) - words)
+    fit = F.when(F.col("size") > 0, F.floor(F.col("left") / F.col("size") + 0.5)).when(
+        F.col("left") >= 0, F.col("rows")
+    )
     last = (
-        ranged.join(last_range, [*source, "range"])
-        .withColumn("upto", F.col("start") + F.sum("size").over(inside))
-        .groupBy(*source, *spots)
-        .agg(F.max("upto").alias("upto"), F.sum("size").alias("here"), F.first("rest").alias("rest"))
-        .where(F.col("upto") - F.col("here") / 2 <= F.col("rest"))
-        .groupBy(*source)
-        .agg(F.max(F.struct(*spots)).alias("last"))
+        ranged.join(last_range, [*_SOURCE, "range"])
+        .withColumn("left", left)
+        .withColumn("fit", F.least(fit, F.col("rows")))
+        .where("fit > 0")
+        .groupBy(*_SOURCE)
+        .agg(F.max(F.struct(*_SPOT, "fit", "rows")).alias("end"))
+        .select(*_SOURCE, F.struct(*[f"end.{c}" for c in _SPOT]).alias("last"), "end.fit", "end.rows")
     )
     # All lower ranges are taken, even where no document of the last one fits.
     return planned.drop("rest").join(
-        last_range.select(*source, F.col("range").alias("last_range")).join(last, source, "left"),
-        source,
+        last_range.select(*_SOURCE, F.col("range").alias("last_range")).join(last, _SOURCE, "left"),
+        _SOURCE,
         "left",
     )
 
@@ -153,14 +181,41 @@ def _sized(documents: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number the rows of each last spot from 1, in the order of the table.
+
+    Every part of the table counts its own rows; the counts, one for each part, give
+    every part its first number. A spot that holds much of a source is in many parts.
+    """
+    marks = {"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}
+    placed = settle(rows.withColumns(marks), "mixing-last")
+    counted = placed.groupBy(*_SOURCE, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*_SOURCE).orderBy("part")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy(*_SOURCE, "part").orderBy("at"))
+    starts = counted.select(*_SOURCE, "part", before.alias("before"))
+    numbered = placed.withColumn("own", own).join(starts, [*_SOURCE, "part"])
+    return numbered.withColumn("nth", F.col("before") + F.col("own")).drop(
+        "part", "at", "own", "before"
+    )
+
+
 def _with_copies(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Add source_size, target and how often each row is taken."""
-    spot = F.struct("place", "doc_id", "text_key")
-    lower = F.col("place") < F.col("last_range")
-    taken = F.coalesce(lower, F.lit(False)) | F.coalesce(spot <= F.col("last"), F.lit(False))
-    joined = _named(rows).join(cut, ["key", "unnamed"])
+    spot = F.struct(*_SPOT)
+    joined = _named(rows).join(cut, _SOURCE)
+    lower = F.coalesce(F.col("place") < F.col("last_range"), F.lit(False))
+    lower |= F.coalesce(spot < F.col("last"), F.lit(False))
+    end = F.coalesce(spot == F.col("last"), F.lit(False))
+    # Only where a spot is taken in part does it matter which of its rows is which.
+    if cut.where("fit < rows").isEmpty():
+        taken = lower | end
+    else:
+        split = end & (F.col("fit") < F.col("rows"))
+        whole = joined.where(~split).withColumn("nth", F.lit(0).cast("long"))
+        joined = whole.unionByName(_numbered(joined.where(split)))
+        taken = lower | (end & (F.col("nth") <= F.col("fit")))
     return joined.withColumn("copies", F.col("epochs") + taken.cast("long")).drop(
-        "key", "unnamed", "last_range", "last", "epochs"
+        *_SOURCE, "last_range", "last", "epochs", "fit", "rows", "nth"
     )
 
 
@@ -189,9 +244,12 @@ def mix(documents: DataFrame, seed: int = SEED, **plan) -> DataFrame:
     small enough to be broadcast by size.
     """
     _, cut = _plan(documents, seed, plan)
-    rows = documents.withColumn(
-        "__row", F.struct(*documents.columns)
-    ).select("doc_id", "source", "__row", place(seed).alias("place"), text_key().alias("text_key"))
+    rows = documents.select(
+        "doc_id",
+        "source",
+        F.struct(*documents.columns).alias("row"),
+        place(seed).alias("place"),
+        text_key().alias("text_key"),
+    )
     taken = _with_copies(rows, cut).where("copies > 0")
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("__row.*")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -166,7 +166,8 @@ WITH sized AS (
 ), running AS (
   SELECT d.doc_id, d.size, s.source_size, s.target, s.epochs,
          s.target - s.epochs * s.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id
+                          ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source
 ), counted AS (
   SELECT *, CAST(epochs AS BIGINT)

@@ -42,13 +42,54 @@ def test_mix_repeats_rows(spark):
     assert out == +Counter(plain_mix(rows))
 
 
-def test_repeated_rows_are_taken_together(spark):
-    rows = docs()
-    doubled = table(spark, rows).union(table(spark, rows))
-    found = {}
-    for r in mixing.mix_report(doubled).collect():
-        found.setdefault(r.doc_id, set()).add(r.copies)
-    assert all(len(copies) == 1 for copies in found.values())
+def taken_of(spark, rows, **plan):
+    """Words taken and target by source."""
+    taken, target = Counter(), {}
+    given = table(spark, rows).repartition(7)
+    source = {i: s for i, _, s in rows}
+    for r in mixing.mix_report(given, **plan).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    return taken, target
+
+
+@pytest.mark.parametrize("range_rows", [4000, 3])
+def test_equal_rows_are_taken_up_to_the_target(spark, range_rows):
+    rows = [(7, "one two three four", "hot")] * 3000 + [(i, "a b c", "cold") for i in range(20, 90)]
+    rows += [(7, "one two", "hot")] * 50 + [(None, "x y", "hot")] * 40
+    taken, target = taken_of(spark, rows, range_rows=range_rows)
+    assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+    assert 0 < target["hot"] < 2 * 12_180
+
+
+def test_some_rows_of_a_spot_are_taken(spark):
+    rows = [(1, "w", "s")] * 100 + [(2, "w", "t")] * 10
+    copies = Counter(r.copies for r in mixing.mix_report(table(spark, rows)).collect() if r.doc_id == 1)
+    out = Counter(r.source for r in mixing.mix(table(spark, rows)).collect())
+    taken, target = taken_of(spark, rows)
+    assert len(copies) == 2 and max(copies) - min(copies) == 1
+    assert out["s"] == taken["s"] == round(target["s"])
+
+
+def test_a_hot_spot_is_numbered_in_parts(spark):
+    rows = spark.range(0, 3000, 1, 6).selectExpr("'' as key", "false as unnamed", "id")
+    found = mixing._numbered(rows).orderBy("id").collect()
+    assert sorted(r.nth for r in found) == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_prefixes_in_two_levels(spark, digits):
+    ranges = [f"{n:03x}"[:digits] for n in range(0, 4096, 37)]
+    sums = Counter()
+    for at, name in enumerate(ranges):
+        sums[name] += at
+    given = [("a", False, name, n) for name, n in sums.items()] + [("", True, name, 1) for name in sums]
+    table_of = spark.createDataFrame(given, "key string, unnamed boolean, range string, in_range bigint")
+    found = {(r.key, r.range): r.start for r in mixing._starts(table_of, digits).collect()}
+    upto = 0
+    for at, name in enumerate(sorted(sums)):
+        assert found["a", name] == upto and found["", name] == at
+        upto += sums[name]
 
 
 def test_empty(spark):
