@@ -4,9 +4,10 @@ Documents are encoded and cut into pieces of at most the capacity: all but the
 first piece are full, so only the first may be shorter. Pieces are packed in
 rounds. In each round every partition packs its items best-fit, largest first;
 bins that are nearly full are emitted, the underfull ones go to the next round as
-items, where several partitions' leftovers meet in one. The rounds end when one
-partition of bounded size holds the leftovers, or when a round fills no more bins
-than it has to leave (then no two leftovers fit together, or hardly any).
+items, dealt anew over so many partitions as their number needs, so leftovers of
+several partitions meet in one that is no larger. The rounds end when one
+partition of bounded size holds the leftovers, or when a round leaves about as many
+items as it got (then no two leftovers fit together, or hardly any).
 
 An item is a list of pieces; a bin has at most as many as its capacity, as every
 piece has a token. The last round emits everything: no piece is dropped.
@@ -35,8 +36,8 @@ CAPACITY = 2048
 SLACK = 1 / 256
 # Items that a partition packs, about; a task's memory follows from it.
 ITEMS = 50_000
-# Partitions whose leftovers meet in one.
-FAN_IN = 8
+# A round must leave fewer items by this share for another one to follow.
+LEAST_SAVED = 1 / 16
 
 _PIECE = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -169,11 +170,13 @@ def packed(
     done = [start.where(F.col("size") == capacity).select("members")]
     left = start.where(F.col("size") < capacity)
     count = left.count()
-    parts = max(1, -(-count // items))
+    rounds = 0
     while True:
+        # By their number leftovers fill so many partitions, dealt anew each round.
+        parts = max(1, -(-count // items))
         last = parts == 1
         least = 0 if last else int(capacity * (1 - slack))
-        dealt = left.repartition(parts, F.col("order"))
+        dealt = left.repartition(parts, F.xxhash64("order", F.lit(rounds)))
         bins = settle(
             dealt.mapInArrow(partial(_pack, capacity=capacity, least=least), schema), "packed-bins"
         )
@@ -182,8 +185,8 @@ def packed(
             break
         left = bins.where("not full").select("size", "order", "members")
         before, count = count, left.count()
-        parts = min(max(1, parts // FAN_IN), max(1, -(-count // items)))
-        if count > before * (1 - slack):
+        rounds += 1
+        if count > before * (1 - LEAST_SAVED):
             # Merging saves nothing more: leftovers that are over half full pair with nothing.
             done.append(left.select("members"))
             break

@@ -64,6 +64,26 @@ def test_rows_of_one_doc_id_are_dealt_evenly(spark):
     assert len(sizes) == 8 and max(sizes) < 700
 
 
+def test_no_round_exceeds_its_partitions(spark, monkeypatch):
+    """Small items leave so little full that most of them go through several rounds."""
+    usual = packing._pack
+
+    def bounded(batches, capacity, least):
+        table = list(batches)
+        assert sum(b.num_rows for b in table) <= 150
+        return usual(iter(table), capacity=capacity, least=least)
+
+    monkeypatch.setattr(packing, "_pack", bounded)
+    rows = spark.range(0, 6400, 1, 4).selectExpr(
+        "id as doc_id", "0 as piece", "0L as start", "400 + (id * 37) % 700 as length", "9L as ids_crc32"
+    )
+    lengths = {(r.doc_id, 0): (0, r.length, 9) for r in rows.collect()}
+    found = packing.packed(rows, capacity=2048, items=100).collect()
+    used = check(found, lengths, 2048)
+    # A partition of 100 items packs less tightly than one of 50,000.
+    assert used <= -(-sum(n for _, n, _ in lengths.values()) // 2048) * 1.1
+
+
 def test_large_items_end_the_rounds(spark):
     rows = spark.createDataFrame(
         [(i, 0, 0, 60, 0) for i in range(300)], packing._PIECE.format(kind="bigint")
