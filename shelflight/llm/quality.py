@@ -6,21 +6,23 @@ does, all other words together being one more entry. A document is held against
 language by the Jensen-Shannon distance (0 to 1) of either histogram and rejected
 where one exceeds its limit. Short documents have ragged histograms by chance:
 below a minimum length a histogram is not judged. Labels may be wrong, so a
-document goes only if the references of all large languages reject it as well.
+document goes only if the references of all other languages reject it as well.
 
 A language has a reference if it has ``least`` words, however large the corpus. A
 common word makes up ``common`` of its language's words, which bounds a reference
-to 1/common words. Large languages have ``large`` of all words, which bounds their
-number, so their references travel with the tasks; the others' are joined to their
-documents by language. A document of a language without a reference is not judged by
-distance: other languages say nothing about it. A word histogram of n words diverges by about
-entries / (8 n ln 2) bits by chance alone, which is taken off before its limit applies.
+to 1/common words. The references travel with the tasks in blocks of ``LANGS``
+languages; where there are more, texts pass all blocks, first for their own language,
+then, if it rejects them, for the others. A verdict depends on the languages' own
+texts only, not on their share of the corpus. A document of a language without a
+reference is not judged by distance: other languages say nothing about it. A word
+histogram of n words diverges by about entries / (8 n ln 2) bits by chance alone, which
+is taken off before its limit applies.
 
 Besides, two base rules reject a document: fewer than 20 words, or more than 30 %
 of its words in 8-word windows that repeat in it.
 
 Nulls: a null text has no words; a null language is held against the references of
-all large languages. Where nothing has a reference, the base rules decide.
+all languages. Where nothing has a reference, the base rules decide.
 Empty texts fail the base rules. Rows are judged one by one, so repeated rows get
 the same verdict; an empty table gives an empty result. Other columns are ignored,
 and kept by ``drop_rejected``.
@@ -43,9 +45,10 @@ MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
 COMMON = 0.004
-LARGE = 0.001
 # Words from which a language has a reference.
 LEAST = 5_000
+# Languages whose references travel with a task at a time.
+LANGS = 2_000
 # Limits of the distances, and the lengths from which they are judged.
 CLASS_LIMIT = 0.3
 CLASS_MIN_CHARS = 300
@@ -159,13 +162,9 @@ class References:
             shares[-1] = max(0.0, 1.0 - shares.sum())
 
 
-def references(
-    documents: DataFrame, common: float = COMMON, large: float = LARGE, least: int = LEAST
-) -> tuple[References, DataFrame | None]:
-    """References from the documents that pass the base rules; a null language adds to none.
-
-    Those of large languages, and a table (lang, classes, words) of the others', if there are any.
-    """
+def references(documents: DataFrame, common: float = COMMON, least: int = LEAST) -> DataFrame:
+    """(lang, classes, words) from the documents that pass the base rules, one row per
+    language of enough words; a null language adds to none."""
     partial_counts = documents.select("lang", "text").where("lang is not null").mapInArrow(
         _counts, "lang string, word binary, n array<bigint>"
     )
@@ -173,27 +172,12 @@ def references(
     sums = [F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(width)]
     counted = partial_counts.groupBy("lang", "word").agg(*sums)
     kept = settle(counted, "word-counts")
-    totals = settle(
-        kept.where("word is not null").groupBy("lang").agg(F.sum("n0").alias("words")), "word-totals"
-    )
-    corpus = totals.agg(F.sum("words").alias("w")).first().w or 0
-    enough, is_large = F.col("words") >= least, F.col("words") >= F.lit(large * corpus)
+    totals = kept.where("word is not null").groupBy("lang").agg(F.sum("n0").alias("words"))
     common_word = F.col("word").isNull() | (F.col("n0") >= F.col("words") * common)
-    rows = kept.join(totals.where(enough & is_large), "lang").where(common_word)
-    classes, words = {}, {}
-    for row in rows.collect():  # at most 1/large languages with 1/common words each
-        if row.word is None:
-            classes[row.lang] = _shares([row[f"n{i}"] for i in range(_CONTINUED)])
-        else:
-            words.setdefault(row.lang, {})[bytes(row.word)] = row.n0 / row.words
-    found = References(classes, {lang: dict(sorted(w.items())) for lang, w in words.items()})
-    rest = totals.where(enough & ~is_large)
-    if rest.isEmpty():
-        return found, None
     counts = F.array(*[f"n{i}" for i in range(_CONTINUED)])
     word = F.struct("word", (F.col("n0") / F.col("words")).alias("share"))
-    small = (
-        kept.join(rest, "lang")
+    found = (
+        kept.join(totals.where(F.col("words") >= least), "lang")
         .where(common_word)
         .groupBy("lang")
         .agg(
@@ -201,7 +185,17 @@ def references(
             F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), word))).alias("words"),
         )
     )
-    return found, settle(small, "small-references")
+    return settle(found, "references")
+
+
+def _block(table: DataFrame, blocks: int, number: int) -> References:
+    """A block's references: at most 1/common words for each of about LANGS languages."""
+    mine = F.pmod(F.xxhash64("lang"), F.lit(blocks)) == number
+    rows = table.where(mine).collect() if blocks > 1 else table.collect()
+    return References(
+        {row.lang: _shares(row.classes) for row in rows},
+        {row.lang: {bytes(w.word): w.share for w in row.words} for row in rows},
+    )
 
 
 def _shares(counts: list[int]) -> np.ndarray:
@@ -269,23 +263,30 @@ _FIELDS = {
     "class_distance": pa.float64(),
     "word_distance": pa.float64(),
 }
+# Also kept while texts pass the blocks: whether the language has a reference.
+_STATE = {**_FIELDS, "judged": pa.bool_()}
 
 
 def _judge(
-    texts: list[bytes], langs: list, known: References, joined: References
+    texts: list[bytes], langs: list, known: References, own: bool, others: bool, before: dict
 ) -> dict[str, np.ndarray]:
+    """Counts and verdicts, by the texts' own languages, by all others, or both.
+
+    ``before`` holds the distances and who was judged in earlier blocks.
+    """
     histograms = _byte_counts(texts)
     classes = (histograms @ _INTO_CLASSES)[:, :_CONTINUED]
     n_words, repeats, failed = base_rules(texts)
     chars = classes.sum(axis=1)
     words = [plain_words(text) for text in texts]
     plain = np.array([len(found) for found in words], np.int64)
-    by_class = np.full(len(texts), np.inf)
-    by_word = np.full(len(texts), np.inf)
+    by_class = before.get("class_distance", np.full(len(texts), np.inf))
+    by_word = before.get("word_distance", np.full(len(texts), np.inf))
+    judged = before.get("judged", np.zeros(len(texts), bool))
 
-    def measure(rows: np.ndarray, lang: str, given: References) -> None:
+    def measure(rows: np.ndarray, lang: str) -> None:
         """Keep the distances from the reference that fits best."""
-        place = {word: at for at, word in enumerate(given.words[lang])}
+        place = {word: at for at, word in enumerate(known.words[lang])}
         other = len(place)
         counts = np.stack(
             [
@@ -293,8 +294,8 @@ def _judge(
                 for at in rows
             ]
         )
-        c = js_distance(classes[rows], given.classes[lang])
-        w = js_distance(counts, given.shares[lang], chance=True)
+        c = js_distance(classes[rows], known.classes[lang])
+        w = js_distance(counts, known.shares[lang], chance=True)
         better = np.maximum(c / CLASS_LIMIT, w / WORD_LIMIT) < np.maximum(
             by_class[rows] / CLASS_LIMIT, by_word[rows] / WORD_LIMIT
         )
@@ -305,20 +306,20 @@ def _judge(
             (plain >= WORD_MIN_WORDS) & (by_word > WORD_LIMIT)
         )
 
-    rows_of: dict[str | None, list[int]] = {}
-    for at, lang in enumerate(langs):
-        rows_of.setdefault(lang, []).append(at)
-    # A null language may be any; one without a reference is not judged.
-    judged = np.zeros(len(texts), bool)
-    for lang, rows in rows_of.items():
-        given = known if lang in known.classes else joined
-        if lang in given.classes:
-            measure(np.array(rows), lang, given)
-        judged[rows] = lang in given.classes or (lang is None and bool(known.langs))
-    own = np.array([x if x in known.classes else None for x in langs], object)
-    for lang in known.langs:
-        if len(rows := np.flatnonzero(judged & rejected() & (own != lang))):
-            measure(rows, lang, known)
+    if own:
+        rows_of: dict[str | None, list[int]] = {}
+        for at, lang in enumerate(langs):
+            rows_of.setdefault(lang, []).append(at)
+        # A null language may be any; one without a reference is not judged.
+        for lang, rows in rows_of.items():
+            if lang in known.classes:
+                measure(np.array(rows), lang)
+            judged[rows] |= lang in known.classes or (lang is None and bool(known.langs))
+    if others:
+        mine = np.array(langs, object)
+        for lang in known.langs:
+            if len(rows := np.flatnonzero(judged & rejected() & (mine != lang))):
+                measure(rows, lang)
     return {
         "n_words": n_words,
         "word_chars": chars - classes[:, _CLASSES.index("blank")],
@@ -329,67 +330,83 @@ def _judge(
         "kept": ~failed & ~(judged & rejected()),
         "class_distance": by_class,
         "word_distance": by_word,
+        "judged": judged,
     }
 
 
-def _joined(langs: pa.Array, given: pa.Array) -> References:
-    """The references that came with the rows, one per language."""
-    first = {lang: at for at, lang in enumerate(langs.to_pylist()) if given[at].is_valid}
-    found = {lang: given[at].as_py() for lang, at in first.items()}
-    return References(
-        {lang: _shares(own["classes"]) for lang, own in found.items()},
-        {lang: {w["word"]: w["share"] for w in own["words"]} for lang, own in found.items()},
-    )
+def _arrays(state: dict[str, np.ndarray]) -> pa.StructArray:
+    """The state as a column; a distance of -1 where nothing was compared."""
+    shown = {k: np.where(np.isinf(v), -1.0, v) if v.dtype == float else v for k, v in state.items()}
+    columns = [pa.array(shown[name], kind) for name, kind in _STATE.items()]
+    return pa.StructArray.from_arrays(columns, names=list(_STATE))
+
+
+def _first(part: pa.RecordBatch, known: References, others: bool) -> pa.StructArray:
+    texts, langs = text_bytes(part.column("text")), part.column("lang").to_pylist()
+    return _arrays(_judge(texts, langs, known, True, others, {}))
 
 
-def _verdicts(texts: pa.Array, langs: pa.Array, known: References, joined: References) -> pa.Array:
-    batch = pa.RecordBatch.from_arrays([texts, langs], names=["text", "lang"])
-    parts = []
-    for part in slices([batch], "text"):
-        langs = part.column("lang").to_pylist()
-        found = _judge(text_bytes(part.column("text")), langs, known, joined)
-        found = {k: np.where(np.isinf(v), -1.0, v) if v.dtype == float else v for k, v in found.items()}
-        columns = [pa.array(found[name], kind) for name, kind in _FIELDS.items()]
-        parts.append(pa.StructArray.from_arrays(columns, names=list(_FIELDS)))
-    kind = pa.struct(list(_FIELDS.items()))
-    return pa.concat_arrays([part.cast(kind) for part in parts]) if parts else pa.array([], kind)
+def _further(part: pa.RecordBatch, known: References, own: bool) -> pa.StructArray:
+    """The state after another block; only texts that it may concern are looked at."""
+    columns = part.column("state").flatten()
+    state = {n: c.to_numpy(False).copy() for n, c in zip(_STATE, columns, strict=True)}
+    for name in ("class_distance", "word_distance"):
+        state[name][state[name] == -1.0] = np.inf
+    langs = part.column("lang").to_pylist()
+    if own:
+        rows = [at for at, lang in enumerate(langs) if lang in known.classes or lang is None]
+    else:
+        rows = np.flatnonzero(state["judged"] & ~state["kept"] & ~state["base_failed"]).tolist()
+    if rows:
+        texts = text_bytes(part.column("text").take(pa.array(rows)))
+        before = {n: state[n][rows] for n in ("class_distance", "word_distance", "judged")}
+        found = _judge(texts, [langs[at] for at in rows], known, own, not own, before)
+        for name, values in found.items():
+            state[name][rows] = values
+    return _arrays(state)
 
 
-def _verdict(known: References, *columns: Column) -> Column:
+def _verdict(known: References, first: bool, own: bool, others: bool, *columns: Column) -> Column:
     """Counts, distances and the verdict of each row's text, as one struct.
 
-    ``columns``: text, lang and, if it was joined, the language's reference.
+    ``columns``: text, lang and, but for the first block, the struct of those before.
     """
 
-    def travelling(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        return _verdicts(texts, langs, known, References({}, {}))
+    def swept(*given: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(given), names=["text", "lang", "state"][: len(given)])
+        parts = [
+            _first(part, known, others) if first else _further(part, known, own)
+            for part in slices([batch], "text")
+        ]
+        kind = pa.struct(list(_STATE.items()))
+        return pa.concat_arrays([part.cast(kind) for part in parts]) if parts else pa.array([], kind)
+
+    def one(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return swept(texts, langs)
 
-    def joined(texts: pa.Array, langs: pa.Array, given: pa.Array) -> pa.Array:
-        return _verdicts(texts, langs, known, _joined(langs, given))
+    def more(texts: pa.Array, langs: pa.Array, state: pa.Array) -> pa.Array:
+        return swept(texts, langs, state)
 
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.float64(): "double"}
-    schema = ", ".join(f"{name}: {kinds[kind]}" for name, kind in _FIELDS.items())
-    judged = joined if len(columns) == 3 else travelling
-    return F.arrow_udf(judged, f"struct<{schema}>")(*columns)
+    schema = ", ".join(f"{name}: {kinds[kind]}" for name, kind in _STATE.items())
+    return F.arrow_udf(one if first else more, f"struct<{schema}>")(*columns)
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """Each document as one struct ``row``, with its verdict ``v``."""
-    known, small = references(documents)
+    table = references(documents)
+    blocks = max(1, -(-table.count() // LANGS))
     rows = documents.select(F.struct(*documents.columns).alias("row"))
-    text, lang = F.col("row.text"), F.col("row.lang")
-    if small is None:
-        return rows.select("row", _verdict(known, text, lang).alias("v"))
-    # Only documents of other than large languages meet the join.
-    travels = lang.isNull() | lang.isin(known.langs)
-    large = rows.where(travels).select("row", _verdict(known, text, lang).alias("v"))
-    given = small.select(
-        F.col("lang").alias("of"), F.struct("classes", "words").alias("reference")
-    )
-    rest = rows.where(~travels).join(given, lang == F.col("of"), "left")
-    return large.unionByName(
-        rest.select("row", _verdict(known, text, lang, F.col("reference")).alias("v"))
-    )
+    given = [F.col("row.text"), F.col("row.lang")]
+    found = rows.select("row", _verdict(_block(table, blocks, 0), True, True, blocks == 1, *given).alias("v"))
+    if blocks == 1:
+        return found
+    given.append(F.col("v"))
+    for own in (True, False):
+        for number in range(1 if own else 0, blocks):
+            verdict = _verdict(_block(table, blocks, number), False, own, not own, *given)
+            found = settle(found.select("row", verdict.alias("v")), "judged")
+    return found
 
 
 def quality_report(documents: DataFrame) -> DataFrame:

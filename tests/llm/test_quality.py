@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from shelflight.llm import quality
 from tests.llm.conftest import DDL, ODD_TEXTS, prose
@@ -68,9 +69,8 @@ def shifted(text, by):
     return "".join(chr(ord(c) + by) if c > " " else c for c in text)
 
 
-def test_small_languages_have_references_of_their_own(spark, monkeypatch):
-    """"bb" has 0.06 of the words, far below the share of a large language here."""
-    monkeypatch.setattr(quality.references, "__defaults__", (quality.COMMON, 0.2, 5_000))
+def test_small_languages_have_references_of_their_own(spark):
+    """"bb" has 0.06 of the words."""
     rows = [(i, prose(5_000 + i, 400) + " the and of" * 20, "aa", "s", 1) for i in range(320)]
     rows += [(1_000 + i, shifted(t, 400), "bb", "s", 1) for i, t in enumerate(GOOD)]
     rows += [(2_000 + i, t, "bb", "s", 1) for i, t in enumerate(BAD)]
@@ -90,6 +90,43 @@ def test_languages_below_a_thousandth_of_all_words_are_kept(spark):
     assert kept.count() == len(GOOD)
 
 
+def many_languages():
+    """Five languages, wrong and missing labels, junk and short texts."""
+    rows = []
+    for at, lang in enumerate(("aa", "bb", "cc", "dd", "ee")):
+        rows += [(1000 * at + i, shifted(t, 300 * at), lang, "s", 1) for i, t in enumerate(GOOD)]
+        rows += [(1000 * at + 500 + i, t, lang, "s", 1) for i, t in enumerate(BAD)]
+        rows += [(1000 * at + 700 + i, shifted(GOOD[i], 300 * (4 - at)), lang, "s", 1) for i in range(5)]
+    rows += [(9000 + i, shifted(GOOD[i], 300 * i), None, "s", 1) for i in range(5)]
+    return rows + [(9100, BAD[0], None, "s", 1), (9101, GOOD[0], "none such", "s", 1), (9102, "a", "cc", "s", 1)]
+
+
+def verdicts(spark, rows):
+    found = quality.quality_report(spark.createDataFrame(rows, DDL)).collect()
+    return {r.doc_id: r.kept for r in found}
+
+
+def test_other_languages_change_no_verdict(spark):
+    """Neither a language's share of the corpus nor how many others there are decides."""
+    rows = many_languages()
+    alone = verdicts(spark, rows)
+    other = [(50_000 + i, shifted(GOOD[i % 40] + " " + GOOD[(i + 7) % 40], 2_000), "xx", "s", 1) for i in range(9_000)]
+    beside = verdicts(spark, rows + other)
+    assert {i: beside[i] for i in alone} == alone
+    # A wrong or missing label is no reason to go.
+    assert all(alone[1000 * at + 700 + i] for at in range(5) for i in range(5))
+    assert all(alone[9000 + i] for i in range(5)) and not alone[9100] and alone[9101]
+    assert not any(alone[1000 * at + 500 + i] for at in range(5) for i in range(len(BAD)))
+
+
+@pytest.mark.parametrize("langs", [1, 2])
+def test_blocks_of_languages_change_no_verdict(spark, monkeypatch, langs):
+    rows = many_languages()
+    usual = verdicts(spark, rows)
+    monkeypatch.setattr(quality, "LANGS", langs)
+    assert verdicts(spark, rows) == usual
+
+
 def test_distance_is_that_of_its_definition():
     p, q = np.array([1, 3, 0, 4]), np.array([0.25, 0.25, 0.5, 0.0])
     own = p / p.sum()
