@@ -8,14 +8,15 @@ Layout of a written folder:
 * ``segments/shard=N``: documents in ascending doc_id order. Shards are ranges of
   doc_ids; a row is a run of whole documents: doc_ids, numbers of ids, the shard's
   ids before it, the code bits, and the bit offset of every block of ids.
-* ``shards``: the number of ids of each shard, from which absolute starts follow.
+
+A shard's ids end where its last segment does; absolute starts follow from that.
 
 Blocks start at known bits and decode independently: a task decodes all blocks of
 several segments in step, one table look-up per id. A segment ends with the
 document that fills it, so one very long document makes one long segment.
 
 Nulls: a null text counts as empty and is the end id alone. Null doc_ids come
-first; rows that share a doc_id follow each other. An empty table makes empty
+first; rows that share a doc_id follow each other, and may lie in several shards. An empty table makes empty
 files and an empty result. Other columns are ignored.
 """
 
@@ -154,21 +155,16 @@ def _id_type(path: str) -> np.dtype:
 
 
 def _ids(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    shard, start, kind = TaskContext.get().partitionId(), 0, _id_type(path)
+    kind = _id_type(path)
     for batch in slices(batches, "text"):
         ids, counts = ids_with_end(text_bytes(batch.column("text")), path, end)
-        starts = start + np.cumsum(counts) - counts
-        start += int(counts.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(counts), shard, np.int32)),
-                pa.array(starts, pa.int64()),
-                batch.column("doc_id"),
-                pa.array(counts, pa.int64()),
-                binary_rows(ids.astype(kind), counts),
-            ],
-            names=["shard", "start", "doc_id", "n", "ids"],
-        )
+        columns = [
+            batch.column("doc_id"),
+            batch.column("text_key"),
+            pa.array(counts, pa.int64()),
+            binary_rows(ids.astype(kind), counts),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "ids"])
 
 
 def _count_ids(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -185,16 +181,18 @@ def _count_ids(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Reco
 def _segments(
     batches: Iterable[pa.RecordBatch], path: str, codes: Codes, segment: int, block: int
 ) -> Iterator[pa.RecordBatch]:
-    """Runs of documents of one shard, encoded."""
+    """Runs of documents of one shard, encoded. A task is a shard."""
     kind = _id_type(path)
+    shard, start = TaskContext.get().partitionId(), 0
     waiting: list[dict] = []
+    held = 0
 
     def given() -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(row["ids"] for row in waiting), kind)
         payload, offsets = encode(ids, codes, block)
         columns = [
-            pa.array([waiting[0]["shard"]], pa.int32()),
-            pa.array([waiting[0]["start"]], pa.int64()),
+            pa.array([shard], pa.int32()),
+            pa.array([start], pa.int64()),
             pa.array([[row["doc_id"] for row in waiting]], pa.list_(doc_kind)),
             pa.array([[row["n"] for row in waiting]], pa.list_(pa.int64())),
             pa.array([offsets.tolist()], pa.list_(pa.int64())),
@@ -205,14 +203,12 @@ def _segments(
     for batch in batches:
         doc_kind = batch.schema.field("doc_id").type
         for row in batch.to_pylist():
-            if waiting:
-                first, last = waiting[0], waiting[-1]
-                end = last["start"] + last["n"]
-                follows = (row["shard"], row["start"]) == (last["shard"], end)
-                if not follows or end - first["start"] >= segment:
-                    yield given()
-                    waiting = []
             waiting.append(row)
+            held += row["n"]
+            if held >= segment:
+                yield given()
+                start += held
+                waiting, held = [], 0
     if waiting:
         yield given()
 
@@ -232,13 +228,11 @@ def write_ids(
     path = path or tokenizer_path()
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ordered = (
-        documents.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", text_key())
-    )
-    schema = f"shard int, start bigint, doc_id {kind}, n bigint, ids binary"
-    ids = settle(ordered.mapInArrow(partial(_ids, path=path, end=end), schema), "document-ids")
+    texts = documents.select("doc_id", text_key().alias("text_key"), "text")
+    schema = f"doc_id {kind}, text_key bigint, n bigint, ids binary"
+    encoded = texts.mapInArrow(partial(_ids, path=path, end=end), schema)
+    # Rows of one doc_id are told apart by a number, so that they spread over shards.
+    ids = settle(encoded.withColumn("row", F.monotonically_increasing_id()), "document-ids")
     counts = ids.select("ids").mapInArrow(partial(_count_ids, path=path), "id bigint, n bigint")
     # At most one row per id of the vocabulary.
     rows = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
@@ -248,7 +242,6 @@ def write_ids(
     pairs = list(zip(used.tolist(), lengths.tolist(), strict=True))
     table = spark.createDataFrame(pairs, "id bigint, length bigint")
     table.coalesce(1).write.parquet(f"{folder}/codes")
-    ids.groupBy("shard").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/shards")
     make = partial(
         _segments, path=path, codes=Codes(used, lengths), segment=segment, block=block
     )
@@ -256,10 +249,16 @@ def write_ids(
         f"shard int, start bigint, doc_ids array<{kind}>, counts array<bigint>, "
         "blocks array<bigint>, payload binary"
     )
-    segments = ids.mapInArrow(make, schema)
+    segments = _ordered(ids).select("doc_id", "n", "ids").mapInArrow(make, schema)
     segments.write.option("compression", "none").partitionBy("shard").parquet(f"{folder}/segments")
 
 
+def _ordered(ids: DataFrame) -> DataFrame:
+    """By doc_id; the ranges also cut between rows that share one."""
+    order = ["doc_id", "text_key", "row"]
+    return ids.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 # ---- reading ---------------------------------------------------------------------
 
 
@@ -303,16 +302,16 @@ def _read(spark: SparkSession, folder: str, make, last: str, block: int) -> Data
     codes = Codes(
         np.array([row.id for row in rows], np.int64), np.array([row.length for row in rows], np.int64)
     )
-    shards = spark.read.parquet(f"{folder}/shards")
-    before = F.sum("n").over(Window.orderBy("shard")) - F.col("n")
-    bases = shards.select("shard", before.alias("base"))
     if not rows:
-        segments = shards.selectExpr(
-            "shard", "n as start", "array(n) as doc_ids", "array(n) as counts",
-            "array(n) as blocks", "cast(null as binary) as payload",
-        ).limit(0)
+        none = "shard int, start bigint, doc_ids array<bigint>, counts array<bigint>, "
+        segments = spark.createDataFrame([], none + "blocks array<bigint>, payload binary")
     else:
         segments = spark.read.parquet(f"{folder}/segments").select(*_SEGMENT)
+    # The last segment of a shard ends where the shard does.
+    words = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    shards = segments.groupBy("shard").agg(F.max(F.col("start") + words).alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard")) - F.col("n")
+    bases = shards.select("shard", before.alias("base"))
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"shard int, start bigint, doc_id {kind}, n bigint, {last}"
     read = segments.mapInArrow(partial(make, codes=codes, block=block), schema)

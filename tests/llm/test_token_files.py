@@ -76,6 +76,35 @@ def test_small_segments_and_ids(spark, documents_of, tmp_path):
         assert np.frombuffer(row.ids, "<u4").tolist() == expected
 
 
+def test_a_hot_doc_id_is_spread_over_shards(spark):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} " + "word " * (i % 7)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    ids = docs.selectExpr("doc_id", "xxhash64(text) as text_key", "monotonically_increasing_id() as row")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = tf._ordered(ids).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2 * 6000 / 4
+    found = tf.round_trip(docs).collect()
+    lib = library(tokenizer_path())
+    expected = {}
+    for doc_id, text in rows:
+        got = lib.encode(text, add_special_tokens=False).ids + [0]
+        expected.setdefault(doc_id, []).append((len(got), zlib.crc32(np.array(got, "<u4").tobytes())))
+    shown = {}
+    for r in found:
+        shown.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in shown.items()} == {k: sorted(v) for k, v in expected.items()}
+    # Starts follow each other without gaps, doc_ids never fall.
+    upto = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == upto
+        upto += r.n_tokens
+    order = [r.doc_id for r in sorted(found, key=lambda r: r.start) if r.doc_id is not None]
+    assert order == sorted(order) and found and min(found, key=lambda r: r.start).doc_id is None
+
+
 def test_empty(documents_of):
     assert tf.round_trip(documents_of([])).collect() == []
 
