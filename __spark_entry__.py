@@ -6,12 +6,14 @@ import importlib.util
 from collections.abc import Callable
 from functools import partial, reduce
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oracles.sql import ORACLES
+from shelflight.aligned import aligned_star, save_aligned
 from shelflight.operators import normalize, quality
 from shelflight.plans.load import append_records
 from shelflight.plans.reports import REPORTS, Report
@@ -162,6 +164,14 @@ def _appended(spark: SparkSession, sf_dir: str) -> tuple[Star, DataFrame]:
     return star, conflicts
 
 
+def _aligned(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from facts that are stored at the same bounds and join range by range."""
+    prefix = f"aligned_{uuid4().hex}_"
+    star = sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES)
+    save_aligned(star, prefix, fresh_path(spark, "aligned"), range_rows=100_000)
+    return _comparable(report.ordered(aligned_star(spark, prefix)))
+
+
 def _load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the star holds after both loads: the sums of a single load."""
     return _summed(_appended(spark, sf_dir)[0])
@@ -225,6 +235,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{f"{name}_gaps": partial(_gaps, REPORTS[name], sales) for name, sales in _WITH_GAPS.items()},
         **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
         "movement_slice": _slice,
+        "competitor_pricing_aligned": partial(_aligned, REPORTS["competitor_pricing"]),
+        "discount_effect_aligned": partial(_aligned, REPORTS["discount_effect"]),
     }
     registered = {name: partial(_run, plan) for name, plan in plans.items()}
     if documents:

@@ -16,7 +16,7 @@ from shelflight.operators.profile import (
     with_threshold,
 )
 from shelflight.schemas import STORE_PRODUCT
-from shelflight.star import Star
+from shelflight.star import RANGE, Star
 from shelflight.storage import settle
 
 
@@ -61,10 +61,15 @@ def forecast_accuracy(star: Star) -> DataFrame:
 
 
 def _priced_records(star: Star) -> DataFrame:
-    """Stock records with their price record, joined on the full key of both facts."""
-    return star.inventory.select("record_date", *STORE_PRODUCT, "units_sold").join(
-        star.pricing, ["record_date", *STORE_PRODUCT]
-    )
+    """Stock records with their price record, joined on the full key of both facts.
+
+    Aligned facts join range by range, without an exchange of either.
+    """
+    keys = ["record_date", *STORE_PRODUCT]
+    stock, prices = star.inventory, star.pricing
+    if RANGE in stock.columns and RANGE in prices.columns:
+        keys, prices = [RANGE, *keys], prices.hint("merge")
+    return stock.select(*keys, "units_sold").join(prices, keys)
 
 
 def _mean(column: str) -> Column:

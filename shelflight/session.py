@@ -12,6 +12,8 @@ RUN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Facts stored range by range, or by store-product, then join without an exchange.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 # Fixed when a session starts. Recording the call site of every column expression

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shelflight.schemas import TABLES
 
+# In facts that are cut at the same bounds: the number of a record's range.
+RANGE = "fact_range"
+
 
 class Star:
     """Stores, products, seasonality, inventory, pricing and store events.
