@@ -172,7 +172,10 @@ def references(documents: DataFrame, common: float = COMMON, least: int = LEAST)
     sums = [F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(width)]
     counted = partial_counts.groupBy("lang", "word").agg(*sums)
     kept = settle(counted, "word-counts")
-    totals = kept.where("word is not null").groupBy("lang").agg(F.sum("n0").alias("words"))
+    # Settled, so that the words meet their languages' totals, of known size, where they are.
+    totals = settle(
+        kept.where("word is not null").groupBy("lang").agg(F.sum("n0").alias("words")), "word-totals"
+    )
     common_word = F.col("word").isNull() | (F.col("n0") >= F.col("words") * common)
     counts = F.array(*[f"n{i}" for i in range(_CONTINUED)])
     word = F.struct("word", (F.col("n0") / F.col("words")).alias("share"))
