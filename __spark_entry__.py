@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oracles.sql import ORACLES
+from shelflight import snapshots
 from shelflight.aligned import aligned_star, save_aligned
 from shelflight.operators import normalize, quality
 from shelflight.plans.load import append_records
 from shelflight.plans.reports import REPORTS, Report
+from shelflight.plans.stock_health import movement_from_counts
 from shelflight.schemas import TABLES
 from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
@@ -164,6 +166,16 @@ def _appended(spark: SparkSession, sf_dir: str) -> tuple[Star, DataFrame]:
     return star, conflicts
 
 
+def _movement_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movement after three loads, from what each load counted of its own records."""
+    folder = fresh_path(spark, "snapshots")
+    daily = settle(sample_tables.daily_staging(spark, sf_dir), "daily-staging")
+    year = F.year("record_date")
+    for load in (year < 1994, (year >= 1994) & (year < 1997), year >= 1997):
+        snapshot, _ = snapshots.append(spark, daily.where(load), folder)
+    return _comparable(movement_from_counts(snapshot.net_counts(spark)))
+
+
 def _aligned(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report from facts that are stored at the same bounds and join range by range."""
     prefix = f"aligned_{uuid4().hex}_"
@@ -235,6 +247,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{f"{name}_gaps": partial(_gaps, REPORTS[name], sales) for name, sales in _WITH_GAPS.items()},
         **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
         "movement_slice": _slice,
+        "movement_incremental": _movement_incremental,
         "competitor_pricing_aligned": partial(_aligned, REPORTS["competitor_pricing"]),
         "discount_effect_aligned": partial(_aligned, REPORTS["discount_effect"]),
     }

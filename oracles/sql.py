@@ -671,6 +671,7 @@ PLACES = {
 FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
     ),
     "seasonal_demand_gaps": DEMAND["seasonal_demand"].replace(DIMS, _GAP_DIMS),
+    "movement_incremental": STOCK_HEALTH["movement"],
     "competitor_pricing_aligned": DEMAND["competitor_pricing"],
     "discount_effect_aligned": DEMAND["discount_effect"],
     "sales_profile_ranked": _ranked("sales_profile", PAIR),

@@ -4,8 +4,8 @@ The records of both facts are dealt together into ranges of (store-region, produ
 day): a key has one range in both, and a store-product of very many days spans several.
 Each range has a file in either table. The tables are bucketed by a number of the range
 that is chosen to fall into a bucket of its own, so the engine knows that the files of a
-range belong together: the facts join without an exchange or a sort, and no task holds
-more than a range.
+range belong together: the facts join without an exchange, and no task holds more than
+a range.
 """
 
 from __future__ import annotations

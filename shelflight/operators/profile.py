@@ -114,6 +114,11 @@ def flag_rate(inventory: DataFrame, limits: DataFrame, keys: list[str], sigma: f
     records = inventory.select(*keys, net_stock().alias("net"))
     flagged = flag_below(records.join(limits.select(*keys, *LIMITS), keys), sigma)
     short = flagged.where("below").groupBy(*keys).agg(F.count("*").alias("understock_days"))
+    return rated(limits, short, keys)
+
+
+def rated(limits: DataFrame, short: DataFrame, keys: list[str]) -> DataFrame:
+    """``limits`` with their flagged days, where there are any, and the percentage."""
     days = F.coalesce("understock_days", F.lit(0))
     return limits.join(short, keys, "left").withColumns(
         {
@@ -145,6 +150,40 @@ def understock_profile(
     )
 
 
+# ---- counts kept up to date ------------------------------------------------------
+
+
+def net_counts(inventory: DataFrame) -> DataFrame:
+    """Records per store-product and net; those of several loads are merged by adding up."""
+    nets = inventory.select(*STORE_PRODUCT, net_stock().alias("net"))
+    return merge_counts(nets.withColumn("days", F.lit(1).cast("long")))
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(*STORE_PRODUCT, "net").agg(F.sum("days").alias("days"))
+
+
+def counted_profile(counts: DataFrame, sigma: float) -> DataFrame:
+    """Threshold and flagged days per store-product, from counts instead of records.
+
+    ``counts`` may hold a net several times, as loads have left it. The rows of a
+    store-product are as many as its different nets, and are added up map-side.
+    """
+    net, days = F.col("net"), F.col("days")
+    known = F.when(net.isNotNull(), days)
+    square = net.cast("decimal(20,0)") * net
+    moments = counts.groupBy(*STORE_PRODUCT).agg(
+        F.sum(days).alias("total_days"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("net_rows"),
+        F.sum(net * days).alias("net_sum"),
+        F.sum((square * days).cast("decimal(38,0)")).alias("net_squares"),
+    )
+    limits = settle(with_threshold(moments, sigma), "thresholds")
+    flagged = flag_below(counts.join(limits.select(*STORE_PRODUCT, *LIMITS), STORE_PRODUCT), sigma)
+    short = flagged.where("below").groupBy(*STORE_PRODUCT).agg(F.sum("days").alias("understock_days"))
+    return rated(limits, short, STORE_PRODUCT)
+
+
 # ---- store-products of a star ----------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from shelflight.functions import rules
 from shelflight.functions.numeric import ratio, scaled_spread
 from shelflight.operators.profile import (
     LIMITS,
+    counted_profile,
     flag_below,
     net_stock,
     store_product_moments,
@@ -79,7 +80,15 @@ def stock_level(star: Star, sigma: float = 1.0) -> DataFrame:
 
 def movement(star: Star, sigma: float = 1.3, percent: int = 10) -> DataFrame:
     """Fast or slow, by the share of understocked days."""
-    profile = store_product_profile(star, sigma)
+    return _movement(store_product_profile(star, sigma), percent)
+
+
+def movement_from_counts(counts: DataFrame, sigma: float = 1.3, percent: int = 10) -> DataFrame:
+    """The same from the counts that loads keep up to date; no record is read."""
+    return _movement(counted_profile(counts, sigma), percent)
+
+
+def _movement(profile: DataFrame, percent: int) -> DataFrame:
     return profile.select(
         *STORE_PRODUCT,
         "understock_days",

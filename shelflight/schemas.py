@@ -96,6 +96,14 @@ TABLES: dict[str, T.StructType] = {
     "store_events": STORE_EVENTS,
 }
 
+# Records of a store-product by the stock left after the day's sales, NULL included.
+NET_COUNTS = _struct(
+    ("store_region_id", T.StringType()),
+    ("product_id", T.StringType()),
+    ("net", T.LongType()),
+    ("days", T.LongType()),
+)
+
 PRIMARY_KEYS: dict[str, list[str]] = {
     "stores": ["store_region_id"],
     "products": ["product_id"],

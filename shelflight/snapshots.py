@@ -6,6 +6,10 @@ see either the whole load or none of it, and a load that breaks off leaves nothi
 files that no snapshot names. A load claims the snapshot it builds on: a second one at
 the same time is refused.
 
+A load also counts its own records by store-product and stock left; reports on
+thresholds add up the counts of all loads and read no record. From MERGED_PARTS on, a
+load merges the counts of those before it with its own.
+
 A snapshot has a line for each table and load. That list is all the driver reads.
 """
 
@@ -21,12 +25,16 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.operators import normalize, quality
-from shelflight.schemas import PRIMARY_KEYS, TABLES
+from shelflight.operators import normalize, profile, quality
+from shelflight.schemas import NET_COUNTS, PRIMARY_KEYS, TABLES
 from shelflight.star import Star
 from shelflight.storage import laid_out, remove
 
 _PARTS = "table_name string, path string, rows bigint, first_date date, last_date date"
+_COUNTS = "net_counts"
+_SCHEMAS = {**TABLES, _COUNTS: NET_COUNTS}
+# Parts with counts that a snapshot has at most.
+MERGED_PARTS = 16
 _CONFLICTS = "table_name string, offered bigint, no_key bigint, repeated bigint, stored bigint, added bigint"
 
 
@@ -71,8 +79,8 @@ class Snapshot:
             if part.table_name == name and part.rows and part.within(first, last)
         ]
         if not paths:
-            return spark.createDataFrame([], TABLES[name])
-        rows = spark.read.schema(TABLES[name]).parquet(*paths)
+            return spark.createDataFrame([], _SCHEMAS[name])
+        rows = spark.read.schema(_SCHEMAS[name]).parquet(*paths)
         if "record_date" in rows.columns:
             if first is not None:
                 rows = rows.where(F.col("record_date") >= first)
@@ -80,6 +88,10 @@ class Snapshot:
                 rows = rows.where(F.col("record_date") <= last)
         return rows
 
+    def net_counts(self, spark: SparkSession) -> DataFrame:
+        """The counts of all loads, to be added up; see ``operators.profile``."""
+        return self.table(spark, _COUNTS)
+
     def star(
         self, spark: SparkSession, first: dt.date | None = None, last: dt.date | None = None
     ) -> Star:
@@ -198,6 +210,17 @@ def _write_part(rows: DataFrame, snapshot: Snapshot, name: str) -> Part:
     return Part(name, path, **seen.get)
 
 
+def _count(spark: SparkSession, before: Snapshot, after: Snapshot, inventory: Part) -> list[Part]:
+    """The parts with counts: those so far and one of the new records, or a single one."""
+    kept = [part for part in before.parts if part.table_name == _COUNTS]
+    own = Snapshot(after.folder, after.number, (inventory,))
+    counts = profile.net_counts(own.table(spark, "inventory"))
+    if len(kept) + 1 >= MERGED_PARTS:
+        counts = profile.merge_counts(before.net_counts(spark).unionByName(counts))
+        kept = []
+    return [*kept, _write_part(counts.to(NET_COUNTS), after, _COUNTS)]
+
+
 def append(
     spark: SparkSession, staging: DataFrame, folder: str, ignore_inventory: bool = False
 ) -> tuple[Snapshot, DataFrame]:
@@ -233,6 +256,9 @@ def append(
             conflicts.append(
                 (name, report.rows_offered, report.null_key_rows, report.surplus_rows, stored, part.rows)
             )
-        after = Snapshot(folder, after.number, (*before.parts, *parts))
+        inventory = next(part for part in parts if part.table_name == "inventory")
+        stored = [part for part in before.parts if part.table_name != _COUNTS]
+        parts += _count(spark, before, after, inventory)
+        after = Snapshot(folder, after.number, (*stored, *parts))
         _publish(spark, after)
     return after, spark.createDataFrame(conflicts, _CONFLICTS)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
 from shelflight import snapshots
+from shelflight.operators import profile
 from shelflight.operators.quality import KeyViolation
 from shelflight.plans.load import append_records
+from shelflight.plans.stock_health import movement, movement_from_counts
 from shelflight.schemas import TABLES
 from shelflight.sources.csv_records import write_records
 from tests.conftest import DAY, days
@@ -132,3 +135,38 @@ def test_records_are_appended_from_raw_files(spark, staging_of, tmp_path):
         star, conflicts = append_records(spark, path, folder, tolerant=bool(at))
     assert star.inventory.count() == 4
     assert {r.table_name: r.added for r in conflicts.collect()}["products"] == 0
+
+
+def movements(frame):
+    return sorted(map(str, frame.collect()))
+
+
+@pytest.mark.parametrize("merged", [16, 2])
+def test_counts_of_loads_give_the_movement(spark, staging_of, tmp_path, monkeypatch, merged):
+    monkeypatch.setattr(snapshots, "MERGED_PARTS", merged)
+    folder = str(tmp_path / "star")
+    draw = random.Random(merged)
+    for day in (0, 30, 60, 90):
+        rows = []
+        for product in ("P1", "P2", "P3"):
+            pairs = [(draw.choice([None, *range(30)]), draw.choice([None, *range(9)])) for _ in range(30)]
+            rows += later(day, *(pairs if product != "P3" else [(None, 1)] * 30), product_id=product)
+        snapshot, _ = snapshots.append(spark, staging_of(rows), folder)
+    parts = [p for p in snapshot.parts if p.table_name == "net_counts"]
+    assert len(parts) == (4 if merged == 16 else 1)
+    counts = snapshot.net_counts(spark)
+    found = movement_from_counts(counts, sigma=0.5, percent=20)
+    assert movements(found) == movements(movement(snapshot.star(spark), sigma=0.5, percent=20))
+    # No record is read, and a load counts its own records only.
+    assert all("/parts/net_counts/" in file for file in found.inputFiles() if "/parts/" in file)
+
+
+def test_a_load_counts_its_own_records_only(spark, staging_of, tmp_path, monkeypatch):
+    folder, read = str(tmp_path / "star"), []
+    usual = profile.net_counts
+    monkeypatch.setattr(
+        profile, "net_counts", lambda rows: read.append((len(rows.inputFiles()), rows.count())) or usual(rows)
+    )
+    for day in (0, 10, 20):
+        snapshots.append(spark, staging_of(later(day, (10, 5), (11, 5))), folder)
+    assert read == [(1, 2)] * 3
