@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelflight.llm import exact_dedup, mixing, packing, quality, simhash
-from shelflight.storage import fresh_path
+from shelflight.storage import fresh_path, remove, settled_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage settles goes when its result is written, and
+    a stage's result when the next one is; only the last result stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            path = fresh_path(spark, f"stage-{at}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        path = fresh_path(spark, f"stage-{at}")
+        with settled_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
