@@ -366,8 +366,12 @@ def drop_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     spans = (
         _passages(documents, later, least)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )  # bounded by the passages of one document
     without = F.arrow_udf(_without, "string")
-    joined = documents.join(spans, "doc_id", "left")
-    return joined.withColumn("text", without("text", "__spans")).select(*documents.columns)
+    # The row as one struct: no column of it has the name of a helper.
+    rows = documents.select("doc_id", F.struct(*documents.columns).alias("row"))
+    joined = rows.join(spans, "doc_id", "left")
+    text = without(F.col("row.text"), F.col("spans")).alias("text")
+    kept = [text if c == "text" else F.col("row")[c].alias(c) for c in documents.columns]
+    return joined.select(*kept)

@@ -206,23 +206,6 @@ class Encoder:
         own = self._library(list(whole.values())) if whole else []
         return self._merged(ids, totals, dict(zip(whole, own, strict=True)))
 
-    def encode_words(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``encode``, for texts given as words: each word's ids are those after a space."""
-        if len(self.blocks) > TABLE_ENTRIES:
-            self._start_anew()
-        number = self.blocks.__getitem__
-        parts, counts, apart = [], [], {}
-        for at, words in enumerate(texts):
-            # Names that start with a zero byte mean something else; long words fill the table.
-            if words and (len(max(words, key=len)) > LONGEST_ENTRY or min(words)[:1] == b"\x00"):
-                found = self._library([b" " + word for word in words])
-                apart[at] = [i for ids in found for i in ids]
-                counts.append(0)
-                continue
-            counts.append(len(words))
-            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
-        return self._merged(*self._looked_up(parts, counts), apart)
-
     def _looked_up(self, parts: list[np.ndarray], counts: list[int]):
         if self.blocks.waiting:
             self._fill_in(self.blocks.waiting)
@@ -248,25 +231,6 @@ class Encoder:
         return np.concatenate(parts), totals
 
 
-@functools.cache
-def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all ids, one after the other, with each one's start and length."""
-    back = {character: byte for byte, character in byte_characters().items()}
-    names = sorted((i, name) for name, i in library(path).get_vocab(with_added_tokens=True).items())
-    values = [
-        bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
-        for _, name in names
-    ]
-    lengths = np.array(list(map(len, values)), np.int64)
-    return np.frombuffer(b"".join(values), np.uint8), np.cumsum(lengths) - lengths, lengths
-
-
-def decode(ids: np.ndarray, path: str) -> bytes:
-    """The bytes that ids stand for."""
-    data, starts, lengths = id_bytes(path)
-    return data[ragged(starts[ids], lengths[ids])].tobytes()
-
-
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)

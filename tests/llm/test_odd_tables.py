@@ -43,6 +43,7 @@ OPERATORS = {
 EXTRA = [
     "row", "fp", "digest", "size", "key", "place", "n", "text_key", "start", "score", "rank", "chars",
     "ids", "word", "held_out", "piece", "length", "end", "first_doc_id", "copies", "last", "kept",
+    "spans", "__spans", "n_hit", "items", "form", "root",
 ]
 
 
