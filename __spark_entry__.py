@@ -18,7 +18,7 @@ from shelflight.aligned import aligned_star, save_aligned
 from shelflight.operators import normalize, quality
 from shelflight.plans.load import append_records
 from shelflight.plans.reports import REPORTS, Report
-from shelflight.plans.stock_health import movement_from_counts
+from shelflight.plans.stock_health import movement_from_counts, sales_profile_selected
 from shelflight.schemas import TABLES
 from shelflight.session import prepare
 from shelflight.sources import csv_records, sample_tables
@@ -203,6 +203,12 @@ def _gaps(report: Report, sales: bool, spark: SparkSession, sf_dir: str) -> Data
     return _comparable(report.ordered(star))
 
 
+def _selected(sales: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians narrowed down range by range, with and without NULLs."""
+    star = sample_tables.star(spark, sf_dir, settled=("units_sold",))
+    return sales_profile_selected(sample_tables.with_gaps(star, sales) if sales else star)
+
+
 def _numbered(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
     star = sample_tables.star(spark, sf_dir, report.reread, report.dims)
     return _comparable(report.numbered(star))
@@ -245,6 +251,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_domain": _domain,
         **{name: partial(_report, report) for name, report in REPORTS.items()},
         **{f"{name}_gaps": partial(_gaps, REPORTS[name], sales) for name, sales in _WITH_GAPS.items()},
+        "sales_profile_selected": partial(_selected, False),
+        "sales_profile_selected_gaps": partial(_selected, True),
         **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
         "movement_slice": _slice,
         "movement_incremental": _movement_incremental,

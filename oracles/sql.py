@@ -671,6 +671,7 @@ PLACES = {
 FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
     ),
     "seasonal_demand_gaps": DEMAND["seasonal_demand"].replace(DIMS, _GAP_DIMS),
+    "sales_profile_selected": STOCK_HEALTH["sales_profile"],
     "movement_incremental": STOCK_HEALTH["movement"],
     "competitor_pricing_aligned": DEMAND["competitor_pricing"],
     "discount_effect_aligned": DEMAND["discount_effect"],
@@ -683,6 +684,8 @@ FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
 WHERE store_region_id = 'NATION_21_AMERICA'""",
 }
 
+PLACES["sales_profile_selected_gaps"] = PLACES["sales_profile_gaps"]
+
 ORACLES: dict[str, str] = {
     **LOAD,
     **STOCK_HEALTH,

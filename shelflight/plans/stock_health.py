@@ -17,6 +17,7 @@ from shelflight.operators.profile import (
     sum_of_squares,
     with_threshold,
 )
+from shelflight.operators.selection import RANGES, middle_values
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
 from shelflight.storage import settle
@@ -55,6 +56,33 @@ def sales_profile(star: Star) -> DataFrame:
     )
 
 
+def sales_profile_selected(star: Star, ranges: int = RANGES) -> DataFrame:
+    """The same report where store-products are too large for a count per distinct value.
+
+    The first pass finds means, deviations and the span of the sales; further ones
+    narrow down the median range by range, see ``operators.selection``. ``ranges``
+    bounds what a task holds of a store-product.
+    """
+    sold = F.col("units_sold")
+    spread = scaled_spread(F.count(sold), F.sum(sold), sum_of_squares(sold))
+    limits = star.inventory.groupBy(*STORE_PRODUCT).agg(
+        ratio(F.sum(sold), F.count(sold)).alias("avg_sales"),
+        F.round(ratio(spread, F.count(sold)), 6).alias("stddev_sales"),
+        F.count("*").alias("rows"),
+        F.count(sold).alias("known"),
+        F.min(sold).alias("least"),
+        F.max(sold).alias("greatest"),
+    )
+    limits = settle(limits, "sales-limits")
+    middle = middle_values(star.inventory, STORE_PRODUCT, sold, limits, ranges)
+    lower, upper = F.col("lower"), F.col("upper")
+    # NULLs sort first: where one of the two is NULL, it is the lower one.
+    median = F.coalesce((lower + upper).cast("double") / 2, upper.cast("double"))
+    return limits.join(middle, STORE_PRODUCT).select(
+        *STORE_PRODUCT, "avg_sales", median.alias("median_sales"), "stddev_sales"
+    )
+
+
 def stock_level(star: Star, sigma: float = 1.0) -> DataFrame:
     """Every record's net stock against the threshold of its store-product.
 
