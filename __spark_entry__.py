@@ -15,6 +15,14 @@ from pyspark.sql import types as T
 from oracles.sql import ORACLES
 from shelflight import snapshots
 from shelflight.aligned import aligned_star, save_aligned
+from shelflight.listed import (
+    inventory_above,
+    read_page,
+    read_slice,
+    save_by_excess,
+    save_sliceable,
+    write_pages,
+)
 from shelflight.operators import normalize, quality
 from shelflight.plans.load import append_records
 from shelflight.plans.reports import REPORTS, Report
@@ -221,6 +229,32 @@ def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(report.ordered(star.sliced(store_region_id="NATION_21_AMERICA")))
 
 
+def _listed_slice(given: dict[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product or one store-region of a star in Z-order, from the files that hold it."""
+    report = REPORTS["movement"]
+    folder = fresh_path(spark, "sliceable")
+    star = sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES)
+    save_sliceable(star, folder, file_rows=10_000)
+    return _comparable(report.ordered(read_slice(spark, folder, **given)))
+
+
+def _overstock_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overstock from the files whose stock can exceed twice the forecast."""
+    path = fresh_path(spark, "by-excess")
+    star = sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES)
+    save_by_excess(star, path, file_rows=10_000)
+    files = Star(inventory=lambda: inventory_above(spark, path, 2))
+    return _comparable(REPORTS["overstock"].ordered(files))
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 1,001 to 2,500 of the stock levels in their presented order."""
+    path = fresh_path(spark, "pages")
+    report = REPORTS["stock_level"]
+    write_pages(report, sample_tables.star(spark, sf_dir, report.reread, report.dims), path)
+    return _comparable(read_page(spark, path, 1_001, 2_500))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.orphans(sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES))
 
@@ -255,6 +289,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sales_profile_selected_gaps": partial(_selected, True),
         **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
         "movement_slice": _slice,
+        "slice_by_product": partial(_listed_slice, {"product_id": "Brand#23"}),
+        "slice_by_store": partial(_listed_slice, {"store_region_id": "NATION_21_AMERICA"}),
+        "overstock_pruned": _overstock_pruned,
+        "stock_level_page": _page,
         "movement_incremental": _movement_incremental,
         "competitor_pricing_aligned": partial(_aligned, REPORTS["competitor_pricing"]),
         "discount_effect_aligned": partial(_aligned, REPORTS["discount_effect"]),

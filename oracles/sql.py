@@ -682,8 +682,14 @@ FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
     ),
     "movement_slice": f"""SELECT * FROM ({STOCK_HEALTH["movement"]})
 WHERE store_region_id = 'NATION_21_AMERICA'""",
+    "slice_by_product": f"""SELECT * FROM ({STOCK_HEALTH["movement"]})
+WHERE product_id = 'Brand#23'""",
+    "overstock_pruned": STOCK_HEALTH["overstock"],
+    "stock_level_page": f"""SELECT * FROM ({_ranked("stock_level", f"{PAIR}, record_date")})
+WHERE position BETWEEN 1001 AND 2500""",
 }
 
+PLACES["slice_by_store"] = PLACES["movement_slice"]
 PLACES["sales_profile_selected_gaps"] = PLACES["sales_profile_gaps"]
 
 ORACLES: dict[str, str] = {
