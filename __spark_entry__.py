@@ -24,7 +24,7 @@ from shelflight.listed import (
     write_pages,
 )
 from shelflight.operators import normalize, quality
-from shelflight.plans.load import append_records
+from shelflight.plans.load import append_records, load_warnings
 from shelflight.plans.reports import REPORTS, Report
 from shelflight.plans.stock_health import movement_from_counts, sales_profile_selected
 from shelflight.schemas import TABLES
@@ -126,6 +126,13 @@ def _load_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _load_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load raw lines of which some are wrong: why they are, and the keys that repeat."""
+    path = fresh_path(spark, "raw-lines")
+    sample_tables.write_raw_lines(spark, sf_dir, path, wrong=True)
+    return load_warnings(*csv_records.read_explained(spark, path))
+
+
 def _contents(table: DataFrame) -> list[Column]:
     """Sums over all columns of a kind: rows, text lengths, numbers, days, set flags."""
     kinds = {"string": [], "number": [], "date": [], "boolean": []}
@@ -275,6 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_quoted": _load_quoted,
         "load_multiline": _load_multiline,
         "load_tolerant": _load_tolerant,
+        "load_warnings": _load_warnings,
         "fact_inventory": _inventory,
         "fact_pricing": _pricing,
         "star_tables": _star_tables,

@@ -154,6 +154,29 @@ FROM (SELECT {key}, count(*) AS c FROM (SELECT {kind} {', '.join(columns)} FROM
     return _with(LINES, select="\nUNION ALL\n".join(selects))
 
 
+def _load_warnings() -> str:
+    """Wrong fields of raw lines, and keys that repeat among the lines that are right."""
+    reasons = """reasons (units_sold, column_name, code) AS (
+  VALUES (3, 'record_date', 'unreadable'), (5, 'inventory_level', 'blank'),
+         (7, 'holiday_promotion', 'unreadable'), (9, 'price', 'unreadable'), (11, NULL, 'wrong_shape'))"""
+    right = """fit AS (
+  SELECT * REPLACE (CASE units_ordered WHEN 1 THEN NULL WHEN 2 THEN '' ELSE 'Fair, mild' END
+                    AS weather_condition)
+  FROM lines WHERE units_sold NOT IN (SELECT units_sold FROM reasons))"""
+    selects = [
+        f"""SELECT 'staging' AS table_name, column_name, code, {_big('count(*)')} AS rows
+FROM lines JOIN reasons USING (units_sold) GROUP BY ALL"""
+    ]
+    for table, (keys, columns, distinct) in _OFFERED.items():
+        kind = "DISTINCT" if distinct else ""
+        selects.append(
+            f"""SELECT '{table}', '{', '.join(keys)}', 'repeated_key',
+  {_big(f'count(*) - count(DISTINCT ROW({", ".join(keys)}))')} AS rows
+FROM (SELECT {kind} {', '.join(columns)} FROM fit) HAVING rows > 0"""
+        )
+    return _with(LINES, reasons, right, select="\nUNION ALL\n".join(selects))
+
+
 _SOURCES = {
     "inventory": "days",
     "pricing": "days",
@@ -323,6 +346,7 @@ QUALIFY row_number() OVER (PARTITION BY store_region_id, record_date
 FROM (SELECT *, CASE WHEN units_sold IN (3, 5, 7, 9, 11) THEN 'rejected' ELSE 'accepted' END AS outcome
       FROM lines) GROUP BY product_id, outcome""",
     ),
+    "load_warnings": _load_warnings(),
     "dq_duplicate_keys": _duplicate_keys(),
     "dq_orphans": _orphans(),
     "dq_domain": _domain(),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelflight import snapshots
 from shelflight.operators import normalize, quality
+from shelflight.schemas import PRIMARY_KEYS, TABLES
 from shelflight.sources import csv_records
 from shelflight.star import Star
 from shelflight.storage import read_star, settle, settled_tables, write_star
@@ -39,6 +41,33 @@ def load_star(
     return read_star(spark, folder)
 
 
+_REPEATED, _NO_KEY = "repeated_key", "no_key"
+
+
+def load_warnings(staging: DataFrame, explained: DataFrame) -> DataFrame:
+    """What a tolerant load of first-wins tables passes over: counts by table, column and code.
+
+    ``explained`` has the lines set aside, as ``read_explained`` returns them; they are
+    counted under the table ``staging``, a line once for each of its wrong fields. Rows that
+    are offered to a table and repeat a key, or have none, are counted under that table and
+    the columns of its key. Counts are combined map-side; only counts above zero have a row.
+    """
+    lines = (
+        explained.select(F.explode(csv_records.WARNINGS).alias("warning"))
+        .groupBy("warning.column_name", "warning.code")
+        .agg(F.count("*").alias("rows"))
+        .select(F.lit("staging").alias("table_name"), "column_name", "code", "rows")
+    )
+    keys = F.create_map(
+        *[F.lit(text) for name in TABLES for text in (name, ", ".join(PRIMARY_KEYS[name]))]
+    )
+    counts = F.expr(f"stack(2, '{_REPEATED}', surplus_rows, '{_NO_KEY}', null_key_rows) as (code, rows)")
+    conflicts = quality.duplicate_keys(staging).select(
+        "table_name", keys[F.col("table_name")].alias("column_name"), counts
+    )
+    return lines.unionByName(conflicts.where("rows > 0"))
+
+
 def append_records(
     spark: SparkSession,
     csv_path: str | list[str],

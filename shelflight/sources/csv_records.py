@@ -19,6 +19,9 @@ from shelflight.sources.multiline import records
 from shelflight.storage import settle
 
 REJECTED = "rejected_line"
+WARNINGS = "warnings"
+# Why a line is set aside: it has not 15 fields; a number, date or flag is blank; it is none.
+SHAPE, BLANK, UNREADABLE = "wrong_shape", "blank", "unreadable"
 _BROKEN = "__broken_line"
 
 # The file's format. Single-digit months and days are accepted.
@@ -55,24 +58,39 @@ def _parsed(name: str, kind: T.DataType) -> Column:
     return F.trim(given).try_cast(kind)
 
 
-def _checked(fields: DataFrame) -> DataFrame:
-    """The record's values, and the text of a line that does not fit the schema."""
+def _checked(fields: DataFrame, explained: bool = False) -> DataFrame:
+    """The record's values, and the text of a line that does not fit the schema.
+
+    ``explained``: also its (column, code), one for each wrong field. In a line of a wrong
+    shape no field is told apart from another, so the shape is all that is named.
+    """
     values, bad = {}, [F.col(_BROKEN).isNotNull()]
+    wrong = []
     for field in CSV_RECORD:
         given = F.col(field.name) != _NULL
         parsed = _parsed(field.name, field.dataType)
         values[field.name] = F.when(given, parsed)
         if not isinstance(field.dataType, T.StringType):
             bad.append(given & parsed.isNull())
+            code = F.when(F.trim(field.name) == "", BLANK).otherwise(UNREADABLE)
+            reason = F.struct(F.lit(field.name).alias("column_name"), code.alias("code"))
+            wrong.append(F.when(bad[-1], reason))
     refused = reduce(lambda a, b: a | b, bad)
     # A line that only has a wrong value is given back as its fields.
     line = F.coalesce(
         _BROKEN, F.to_csv(F.struct(*CSV_RECORD.fieldNames()), {**_FORMAT, "emptyValue": ""})
     )
-    return fields.select(
+    checked = fields.select(
         *[column.alias(name) for name, column in values.items()],
         F.when(refused, line).alias(REJECTED),
+        *([F.col(_BROKEN)] if explained else []),
+        *([F.array_compact(F.array(*wrong)).alias(WARNINGS)] if explained else []),
     )
+    if not explained:
+        return checked
+    shape = F.array(F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(SHAPE).alias("code")))
+    told = F.when(F.col(_BROKEN).isNotNull(), shape).otherwise(F.col(WARNINGS))
+    return checked.withColumn(WARNINGS, told).drop(_BROKEN)
 
 
 def _staged(records: DataFrame) -> DataFrame:
@@ -111,6 +129,20 @@ def read_tolerant(
     return accepted, parsed.where(F.col(REJECTED).isNotNull()).select(REJECTED)
 
 
+def read_explained(
+    spark: SparkSession, path: str | list[str], multiline: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """As ``read_tolerant``, and with each line set aside its warnings.
+
+    A warning is the column and a code: ``blank`` or ``unreadable``, or ``wrong_shape``
+    without a column where the line has too few or too many fields. They are found in the
+    parse that yields the rows.
+    """
+    parsed = settle(_checked(_fields(spark, path, multiline), explained=True), "parsed-records")
+    accepted = _staged(parsed.where(F.col(REJECTED).isNull()).drop(REJECTED, WARNINGS))
+    return accepted, parsed.where(F.col(REJECTED).isNotNull()).select(REJECTED, WARNINGS)
+
+
 def write_records(staging: DataFrame, path: str) -> None:
     """Write staging rows in the raw file's format."""
     records = staging.withColumn(_FLAG, F.col(_FLAG).cast("int"))

@@ -9,8 +9,14 @@ import pytest
 
 from shelflight import load_star
 from shelflight.operators.quality import KeyViolation
+from shelflight.plans.load import load_warnings
 from shelflight.schemas import STAGING, TABLES
-from shelflight.sources.csv_records import read_strict, read_tolerant, write_records
+from shelflight.sources.csv_records import (
+    read_explained,
+    read_strict,
+    read_tolerant,
+    write_records,
+)
 
 HEADER = (
     "Date,Store ID,Product ID,Category,Region,Inventory Level,Units Sold,Units Ordered,"
@@ -120,3 +126,42 @@ def test_tolerant_whole_load_keeps_the_rejects(spark, tmp_path):
     star = load_star(spark, path, str(tmp_path / "star"), tolerant=True)
     assert star.inventory.count() == 1
     assert spark.read.parquet(str(tmp_path / "star/rejected")).count() == 1
+
+
+def test_lines_set_aside_carry_their_reasons(spark, tmp_path):
+    def line(**fields):
+        names = ["date", "store", "product", "category", "region", "stock", "sold", "ordered"]
+        parts = GOOD.split(",")
+        for name, text in fields.items():
+            parts[names.index(name)] = text
+        return ",".join(parts)
+
+    path = write(
+        tmp_path, GOOD, GOOD, line(store="\\N"), line(date="soon", stock=""), line(sold=" "),
+        line(ordered="many"), line(ordered="1.5"), GOOD + ",more", "a,b",
+    )
+    accepted, explained = read_explained(spark, path)
+    plain, rejected = read_tolerant(spark, path)
+    assert sorted(map(str, accepted.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(explained.select("rejected_line").collect()) == sorted(rejected.collect())
+    told = {r.rejected_line: [(w.column_name, w.code) for w in r.warnings] for r in explained.collect()}
+    assert told["a,b"] == [(None, "wrong_shape")]
+    assert [("record_date", "unreadable"), ("inventory_level", "blank")] in told.values()
+    counts = {
+        (r.table_name, r.column_name, r.code): r["rows"] for r in load_warnings(accepted, explained).collect()
+    }
+    key = "record_date, store_region_id, product_id"
+    assert counts == {
+        ("staging", None, "wrong_shape"): 2,
+        ("staging", "record_date", "unreadable"): 1,
+        ("staging", "inventory_level", "blank"): 1,
+        ("staging", "units_sold", "blank"): 1,
+        ("staging", "units_ordered", "unreadable"): 2,
+        ("inventory", key, "repeated_key"): 1,
+        ("inventory", key, "no_key"): 1,
+        ("pricing", "store_region_id, product_id, record_date", "no_key"): 1,
+        ("stores", "store_region_id", "no_key"): 1,
+        ("store_events", "store_region_id, record_date", "no_key"): 1,
+    }
+    nothing = load_warnings(accepted.limit(0), explained.limit(0))
+    assert nothing.count() == 0
