@@ -12,10 +12,11 @@ doc_id that has it. Neighbouring repeats of a document make one passage, which
 counts from a least size on: single chunks repeat by chance. A passage of fewer
 bytes is a seed: it is extended byte by byte from its longest chunk, against the first
 and the last document that has this chunk, and counts if the longer of both matches
-has the least size. Three passes read the texts. The first combines digests map-side and
+has the least size. Four passes read the texts. The first combines digests map-side and
 keeps those of several documents; the second joins the chunks to them, where adaptive
-execution splits a digest that very many documents share; the third reads the
-bytes beside these chunks, there and in the documents they are held against.
+execution splits a digest that very many documents share; the third reads marks of the
+bytes beside the chunks of seeds, there and in the documents they are held against, which
+tell most seeds that cannot be extended; the fourth reads the bytes beside the others.
 
 Nulls: a null or empty text has no chunks. Rows that share a doc_id are one
 document, of which equal chunks at equal places count once; null doc_ids are
@@ -25,7 +26,8 @@ result. Other columns are ignored, and kept by ``drop_repeats``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -187,37 +189,65 @@ def _runs(found: DataFrame) -> DataFrame:
     )
 
 
-def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes before and after a document's own chunks, and those of chunks asked of it."""
+def _told(
+    batches: Iterable[pa.RecordBatch],
+    tell: Callable[[bytes, int, int], tuple],
+    kinds: tuple[pa.DataType, ...],
+) -> Iterator[pa.RecordBatch]:
+    """What ``tell`` finds beside a document's own chunks, and beside those asked of it."""
     digest = xxhash.xxh3_128_digest
     for batch in slices(batches, "text"):
         rows = []
         seeds, asked = batch.column("seeds").to_pylist(), batch.column("asked").to_pylist()
         for at, text in enumerate(text_bytes(batch.column("text"))):
-
-            def sides(a: int, b: int) -> tuple[bytes, bytes]:
-                return text[max(0, a - LONGEST) : a], text[b : b + LONGEST]  # noqa: B023
-
             for seed in seeds[at] or ():
                 a, b = seed["start"], seed["end"]
                 # Rows that share a doc_id may have other texts.
                 if digest(text[a:b]) == seed["digest"]:
-                    rows.append((at, a, None, *sides(a, b)))
+                    rows.append((at, a, None, *tell(text, a, b)))
             wanted = set(asked[at] or ())
             ends = chunk_ends([text])[0].tolist() if wanted else []
             for a, b in zip([0, *ends], ends, strict=False):
-                if (own := digest(text[a:b])) in wanted:
+                if wanted and (own := digest(text[a:b])) in wanted:
                     wanted.remove(own)
-                    rows.append((at, None, own, *sides(a, b)))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    rows.append((at, None, own, *tell(text, a, b)))
+        columns = list(zip(*rows, strict=True)) or [()] * (3 + len(kinds))
+        all_kinds = (pa.int64(), pa.binary(), *kinds)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(pa.array(columns[0], pa.int64())),
-                *(pa.array(values, kind) for values, kind in zip(columns[1:], kinds, strict=True)),
+                *(pa.array(values, kind) for values, kind in zip(columns[1:], all_kinds, strict=True)),
             ],
-            names=["doc_id", "start", "digest", "before", "after"],
+            names=["doc_id", "start", "digest", *(str(i) for i in range(len(kinds)))],
+        )
+
+
+# Bytes beside a chunk that its marks cover.
+NEAR, FAR = 8, 32
+
+
+def _marks(text: bytes, a: int, b: int) -> tuple[int, int | None, int, int | None]:
+    """The nearest bytes at either side as a number, and a hash of more if there are as many.
+
+    The nearest byte comes first in the number: to compare fewer, its lower bits are left out.
+    """
+    left, right = text[max(0, a - FAR) : a][::-1], text[b : b + FAR]
+    return tuple(
+        mark
+        for side in (left, right)
+        for mark in (
+            int.from_bytes(side[:NEAR].ljust(NEAR, b"\0"), "big", signed=True),
+            xxhash.xxh3_64_intdigest(side) - (1 << 63) if len(side) == FAR else None,
         )
+    )
+
+
+def _sides(text: bytes, a: int, b: int) -> tuple[bytes, bytes]:
+    return text[max(0, a - LONGEST) : a], text[b : b + LONGEST]
+
+
+_MARK_NAMES = ["near_before", "far_before", "near_after", "far_after"]
+_SIDE_NAMES = ["before", "after"]
 
 
 def _same(own: bytes, other: bytes) -> int:
@@ -247,20 +277,26 @@ def _after(own: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _passages(documents: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Runs from ``least`` bytes on, and shorter ones that come to it once extended."""
-    runs = settle(_runs(found), "chunk-runs")
-    names = ["doc_id", "start", "end", "n_chunks", "first_doc_id", "repeated_bytes"]
-    long = F.col("end") - F.col("start") >= least
-    seeds = runs.where(~long)
+def _others() -> dict[str, Column]:
+    """The documents that a seed is held against: the first and the last with its chunk."""
     chunk = F.col("longest")
-    others = {
+    return {
         name: F.when(chunk[f"{name}_doc_id"] != F.col("doc_id"), chunk[f"{name}_doc_id"])
         for name in ("first", "last")
     }
+
+
+def _paired(
+    documents: DataFrame, seeds: DataFrame, tell: Callable, names: list[str], kind: str
+) -> DataFrame:
+    """Seeds with what ``tell`` finds beside their chunk, in their document and the two others.
+
+    Columns: ``names``, and the same after ``first_`` and ``last_``, NULL without such a document.
+    """
+    chunk = F.col("longest")
     asked = [
         seeds.select(other.alias("doc_id"), chunk["digest"].alias("asked")).where("doc_id is not null")
-        for other in others.values()
+        for other in _others().values()
     ]
     # Both lists are bounded by the chunks of one document.
     wanted = (
@@ -278,29 +314,70 @@ def _passages(documents: DataFrame, found: DataFrame, least: int) -> DataFrame:
         )
     )
     read = documents.select("doc_id", "text").join(wanted, "doc_id")
-    kind = read.schema["doc_id"].dataType.simpleString()
-    beside = settle(
+    told_kinds = {"bigint": pa.int64(), "binary": pa.binary()}[kind]
+    id_kind = read.schema["doc_id"].dataType.simpleString()
+    told = settle(
         read.mapInArrow(
-            _beside,
-            f"doc_id {kind}, start bigint, digest binary, before binary, after binary",
-        ),
+            partial(_told, tell=tell, kinds=(told_kinds,) * len(names)),
+            f"doc_id {id_kind}, start bigint, digest binary, "
+            + ", ".join(f"`{i}` {kind}" for i in range(len(names))),
+        ).withColumnsRenamed({str(i): name for i, name in enumerate(names)}),
         "beside-seeds",
     )
-    own = beside.where("digest is null").select(
-        F.col("doc_id").alias("own_doc"), F.col("start").alias("own_start"), "before", "after"
+    own = told.where("digest is null").select(
+        F.col("doc_id").alias("own_doc"), F.col("start").alias("own_start"), *names
     )
     placed = seeds.join(
         own, (F.col("doc_id") == F.col("own_doc")) & (chunk["start"] == F.col("own_start"))
     )
-    for name, other in others.items():
-        there = beside.where("digest is not null").select(
+    for name, other in _others().items():
+        there = told.where("digest is not null").select(
             F.col("doc_id").alias(f"{name}_doc"),
             F.col("digest").alias(f"{name}_digest"),
-            F.col("before").alias(f"{name}_before"),
-            F.col("after").alias(f"{name}_after"),
+            *[F.col(n).alias(f"{name}_{n}") for n in names],
         )
         same = (other == F.col(f"{name}_doc")) & (chunk["digest"] == F.col(f"{name}_digest"))
         placed = placed.join(there, same, "left")
+    return placed
+
+
+def _extensible(documents: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
+    """The seeds that may come to ``least`` bytes, by marks of the bytes beside their chunk.
+
+    A run that lacks m bytes must gain half of them at one side at least, beyond its own
+    end. So all bytes from the chunk to there are equal in the other document, and
+    so are the marks of no more bytes than that. No seed that can be extended is lost; for the
+    few left the bytes themselves are fetched and compared.
+    """
+    chunk = F.col("longest")
+    half = F.ceil((F.lit(least) - (F.col("end") - F.col("start"))) / 2)
+    needed = {
+        "before": half + chunk["start"] - F.col("start"),
+        "after": half + F.col("end") - chunk["end"],
+    }
+
+    def equal(other: str, side: str) -> Column:
+        bits = (NEAR - F.least(needed[side], F.lit(NEAR))) * 8
+        unlike = F.col(f"near_{side}").bitwiseXOR(F.col(f"{other}_near_{side}"))
+        near = F.call_function("shiftrightunsigned", unlike, bits.cast("int")) == 0
+        far = F.col(f"far_{side}") == F.col(f"{other}_far_{side}")
+        return F.coalesce(near & ((needed[side] < FAR) | far), F.lit(False))
+
+    may = [equal(other, side) for other in _others() for side in needed]
+    marked = _paired(documents, seeds, _marks, _MARK_NAMES, "bigint")
+    found = marked.where(may[0] | may[1] | may[2] | may[3])
+    # Rows of one doc_id with equal texts tell the same twice.
+    return settle(found.select(*seeds.columns).distinct(), "extensible-seeds")
+
+
+def _passages(documents: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Runs from ``least`` bytes on, and shorter ones that come to it once extended."""
+    runs = settle(_runs(found), "chunk-runs")
+    names = ["doc_id", "start", "end", "n_chunks", "first_doc_id", "repeated_bytes"]
+    long = F.col("end") - F.col("start") >= least
+    chunk, others = F.col("longest"), _others()
+    seeds = _extensible(documents, runs.where(~long), least)
+    placed = _paired(documents, seeds, _sides, _SIDE_NAMES, "binary")
     # Bytes by which the matches with either document reach beyond the run.
     reach = {}
     for name in others:
