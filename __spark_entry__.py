@@ -23,7 +23,7 @@ from shelflight.listed import (
     save_sliceable,
     write_pages,
 )
-from shelflight.operators import normalize, quality
+from shelflight.operators import estimates, normalize, quality
 from shelflight.plans.load import append_records, load_warnings
 from shelflight.plans.reports import REPORTS, Report
 from shelflight.plans.stock_health import movement_from_counts, sales_profile_selected
@@ -236,6 +236,31 @@ def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(report.ordered(star.sliced(store_region_id="NATION_21_AMERICA")))
 
 
+def _loads(star: Star) -> list[DataFrame]:
+    """The sample's inventory as three loads."""
+    year = F.year("record_date")
+    parts = (year < 1994, (year >= 1994) & (year < 1997), year >= 1997)
+    return [star.inventory.where(part) for part in parts]
+
+
+def _medians_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians from sketches that three loads stored, held against the records."""
+    star = sample_tables.star(spark, sf_dir, settled=("units_sold",))
+    stored = [settle(estimates.median_sketches(load), "sketches") for load in _loads(star)]
+    united = estimates.united_medians(reduce(DataFrame.unionByName, stored))
+    found = settle(estimates.estimated_medians(united), "estimates")
+    return estimates.medians_checked(found, star.inventory)
+
+
+def _products_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products per region from sketches that three loads stored, beside the exact number."""
+    star = sample_tables.star(spark, sf_dir, settled=("units_sold",), dims=("stores",))
+    stores = settle(star.stores, "stores")
+    stored = [settle(estimates.product_sketches(load, stores), "sketches") for load in _loads(star)]
+    united = estimates.united_products(reduce(DataFrame.unionByName, stored))
+    return estimates.products_checked(estimates.estimated_products(united), star.inventory, stores)
+
+
 def _listed_slice(given: dict[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product or one store-region of a star in Z-order, from the files that hold it."""
     report = REPORTS["movement"]
@@ -297,6 +322,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sales_profile_selected_gaps": partial(_selected, True),
         **{f"{name}_ranked": partial(_numbered, REPORTS[name]) for name in _RANKED},
         "movement_slice": _slice,
+        "sales_median_estimated": _medians_estimated,
+        "regional_products_estimated": _products_estimated,
         "slice_by_product": partial(_listed_slice, {"product_id": "Brand#23"}),
         "slice_by_store": partial(_listed_slice, {"store_region_id": "NATION_21_AMERICA"}),
         "overstock_pruned": _overstock_pruned,

@@ -708,6 +708,17 @@ FROM gaps JOIN medians USING ({PAIR}) GROUP BY {PAIR}, median_sales""",
 WHERE store_region_id = 'NATION_21_AMERICA'""",
     "slice_by_product": f"""SELECT * FROM ({STOCK_HEALTH["movement"]})
 WHERE product_id = 'Brand#23'""",
+    "sales_median_estimated": _with(
+        LINES,
+        DAYS,
+        select=f"""SELECT {PAIR}, {_big('count(units_sold)')} AS known, TRUE AS within_bound
+FROM days GROUP BY ALL""",
+    ),
+    "regional_products_estimated": _with(
+        LINES,
+        select=f"""SELECT region, {_big('count(DISTINCT product_id)')} AS distinct_products,
+  TRUE AS within_bound FROM lines GROUP BY region""",
+    ),
     "overstock_pruned": STOCK_HEALTH["overstock"],
     "stock_level_page": f"""SELECT * FROM ({_ranked("stock_level", f"{PAIR}, record_date")})
 WHERE position BETWEEN 1001 AND 2500""",
