@@ -24,6 +24,7 @@ from shelflight.listed import (
     write_pages,
 )
 from shelflight.operators import estimates, normalize, quality
+from shelflight.plans.gathering import gather
 from shelflight.plans.load import append_records, load_warnings
 from shelflight.plans.reports import REPORTS, Report
 from shelflight.plans.stock_health import movement_from_counts, sales_profile_selected
@@ -53,6 +54,17 @@ _TABLE_QUERIES = {
 _WITH_GAPS = {"sales_profile": True, "seasonal_demand": False}
 # One report for each kind of order: ascending, descending, mixed.
 _RANKED = ("sales_profile", "movement", "stock_recommendations")
+# One report for each kind of sum or count that a refresh gathers for all.
+_GATHERED = (
+    "sales_profile",
+    "turnover",
+    "discount_effect",
+    "regional_summary",
+    "seasonal_demand",
+    "stock_recommendations",
+    "low_inventory",
+    "low_inventory_rollup",
+)
 
 
 def _comparable(rows: DataFrame) -> DataFrame:
@@ -199,6 +211,13 @@ def _aligned(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(report.ordered(aligned_star(spark, prefix)))
 
 
+def _gathered(report: Report, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as a refresh computes it, from what two passes over the facts gathered."""
+    dims = ("products", "seasonality", "stores")
+    star = sample_tables.star(spark, sf_dir, settled=sample_tables.MEASURES, dims=dims)
+    return _comparable(report.ordered(gather(star)))
+
+
 def _load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the star holds after both loads: the sums of a single load."""
     return _summed(_appended(spark, sf_dir)[0])
@@ -329,6 +348,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "overstock_pruned": _overstock_pruned,
         "stock_level_page": _page,
         "movement_incremental": _movement_incremental,
+        **{f"{name}_gathered": partial(_gathered, REPORTS[name]) for name in _GATHERED},
         "competitor_pricing_aligned": partial(_aligned, REPORTS["competitor_pricing"]),
         "discount_effect_aligned": partial(_aligned, REPORTS["discount_effect"]),
     }

@@ -724,6 +724,22 @@ FROM days GROUP BY ALL""",
 WHERE position BETWEEN 1001 AND 2500""",
 }
 
+_WHOLE = {**STOCK_HEALTH, **REPLENISHMENT, **DEMAND, **ROLLUPS}
+# The same rows, whatever they are computed from.
+GATHERED = {
+    f"{name}_gathered": _WHOLE[name]
+    for name in (
+        "sales_profile",
+        "turnover",
+        "discount_effect",
+        "regional_summary",
+        "seasonal_demand",
+        "stock_recommendations",
+        "low_inventory",
+        "low_inventory_rollup",
+    )
+}
+
 PLACES["slice_by_store"] = PLACES["movement_slice"]
 PLACES["sales_profile_selected_gaps"] = PLACES["sales_profile_gaps"]
 
@@ -734,4 +750,5 @@ ORACLES: dict[str, str] = {
     **DEMAND,
     **ROLLUPS,
     **PLACES,
+    **GATHERED,
 }

@@ -137,7 +137,11 @@ def understock_profile(
     inventory: DataFrame, moments: DataFrame, keys: list[str], sigma: float
 ) -> DataFrame:
     """One row per group of settled moments: threshold, flagged days, means, deviations."""
-    profile = flag_rate(inventory, with_threshold(moments, sigma), keys, sigma)
+    return described(flag_rate(inventory, with_threshold(moments, sigma), keys, sigma))
+
+
+def described(profile: DataFrame) -> DataFrame:
+    """Means and deviations of groups whose sums and flagged days are known."""
     sold_rows = F.col("sold_rows")
     sold_spread = scaled_spread(sold_rows, F.col("sold_sum"), F.col("sold_squares"))
     return profile.withColumns(
@@ -192,5 +196,17 @@ def store_product_moments(star: Star) -> DataFrame:
     return star.derived("moments", lambda: settled_moments(star.inventory, STORE_PRODUCT))
 
 
-def store_product_profile(star: Star, sigma: float) -> DataFrame:
-    return understock_profile(star.inventory, store_product_moments(star), STORE_PRODUCT, sigma)
+def understocked(sigma: float) -> str:
+    """Name under which a star knows the flagged days of its store-products."""
+    return f"understock {sigma}"
+
+
+def store_product_profile(
+    star: Star, sigma: float, moments: DataFrame | None = None
+) -> DataFrame:
+    """Profile of the store-products; days that the star has counted are not counted again."""
+    moments = store_product_moments(star) if moments is None else moments
+    short = star.known(understocked(sigma))
+    if short is None:
+        return understock_profile(star.inventory, moments, STORE_PRODUCT, sigma)
+    return described(rated(with_threshold(moments, sigma), short, STORE_PRODUCT))

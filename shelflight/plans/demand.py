@@ -11,23 +11,20 @@ from shelflight.operators.profile import (
     LIMITS,
     flag_rate,
     merge_moments,
+    rated,
     store_product_moments,
     store_product_profile,
     with_threshold,
 )
+from shelflight.operators.sums import price_sums, priced_sums, stock_sums
 from shelflight.schemas import STORE_PRODUCT
-from shelflight.star import RANGE, Star
+from shelflight.star import Star
 from shelflight.storage import settle
 
 
 def category_summary(star: Star) -> DataFrame:
     """Stock, sales and forecast per category; products are summed before they join."""
-    per_product = star.inventory.groupBy("product_id").agg(
-        F.sum("inventory_level").alias("stock_sum"),
-        F.count("inventory_level").alias("stock_rows"),
-        F.sum("units_sold").alias("sold_sum"),
-        F.sum("demand_forecast").alias("forecast_sum"),
-    )
+    per_product = stock_sums(star, ["product_id"], "stock", "sold", "forecast")
     return (
         per_product.join(star.products, "product_id")
         .groupBy("category")
@@ -41,12 +38,7 @@ def category_summary(star: Star) -> DataFrame:
 
 def forecast_accuracy(star: Star) -> DataFrame:
     """Mean forecast against mean sales per store-product."""
-    sums = star.inventory.groupBy(*STORE_PRODUCT).agg(
-        F.sum("demand_forecast").alias("forecast_sum"),
-        F.count("demand_forecast").alias("forecast_rows"),
-        F.sum("units_sold").alias("sold_sum"),
-        F.count("units_sold").alias("sold_rows"),
-    )
+    sums = stock_sums(star, STORE_PRODUCT, "forecast", "sold")
     forecast = F.col("forecast_sum"), F.col("forecast_rows")
     sold = F.col("sold_sum"), F.col("sold_rows")
     error = F.abs(mean_gap(*forecast, *sold))
@@ -60,52 +52,32 @@ def forecast_accuracy(star: Star) -> DataFrame:
     )
 
 
-def _priced_records(star: Star) -> DataFrame:
-    """Stock records with their price record, joined on the full key of both facts.
-
-    Aligned facts join range by range, without an exchange of either.
-    """
-    keys = ["record_date", *STORE_PRODUCT]
-    stock, prices = star.inventory, star.pricing
-    if RANGE in stock.columns and RANGE in prices.columns:
-        keys, prices = [RANGE, *keys], prices.hint("merge")
-    return stock.select(*keys, "units_sold").join(prices, keys)
-
-
-def _mean(column: str) -> Column:
-    return amount_ratio(F.sum(column), F.count(column))
+def _mean(name: str) -> Column:
+    return amount_ratio(F.col(f"priced_{name}_sum"), F.col(f"priced_{name}_rows"))
 
 
 def competitor_pricing(star: Star) -> DataFrame:
     """Price gap to the competitor beside sales, per product."""
-    gap = mean_gap(
-        F.sum("price"), F.count("price"), F.sum("competitor_pricing"), F.count("competitor_pricing")
-    )
-    per_product = (
-        _priced_records(star)
-        .groupBy("product_id")
-        .agg(
-            _mean("competitor_pricing").alias("avg_competitor_price"),
-            F.round(gap, 6).alias("Difference"),
-            _mean("units_sold").alias("avg_units_sold"),
-        )
-    )
-    return per_product.join(star.products, "product_id").select(
-        "product_id", "category", "avg_competitor_price", "Difference", "avg_units_sold"
+    sums = priced_sums(star, ["product_id"], "price", "competitor", "sold")
+    price = F.col("priced_price_sum"), F.col("priced_price_rows")
+    competitor = F.col("priced_competitor_sum"), F.col("priced_competitor_rows")
+    return sums.join(star.products, "product_id").select(
+        "product_id",
+        "category",
+        _mean("competitor").alias("avg_competitor_price"),
+        F.round(mean_gap(*price, *competitor), 6).alias("Difference"),
+        _mean("sold").alias("avg_units_sold"),
     )
 
 
 def discount_effect(star: Star) -> DataFrame:
     """Mean discount beside mean sales, per product."""
-    per_product = (
-        _priced_records(star)
-        .groupBy("product_id")
-        .agg(
-            _mean("discount").alias("avg_discount"), _mean("units_sold").alias("avg_units_sold")
-        )
-    )
-    return per_product.join(star.products, "product_id").select(
-        "product_id", "category", "avg_discount", "avg_units_sold"
+    sums = priced_sums(star, ["product_id"], "discount", "sold")
+    return sums.join(star.products, "product_id").select(
+        "product_id",
+        "category",
+        _mean("discount").alias("avg_discount"),
+        _mean("sold").alias("avg_units_sold"),
     )
 
 
@@ -115,13 +87,11 @@ def product_turnover(star: Star) -> DataFrame:
     The mean price is one number per product, so it multiplies the product's
     sales after they are summed and both facts are reduced before they meet.
     """
-    prices = star.pricing.groupBy("product_id").agg(
-        F.sum("price").alias("price_sum"), F.count("price").alias("price_rows")
+    prices = price_sums(star, ["product_id"], "price").select(
+        "product_id", "price_sum", "price_rows"
     )
-    stock = star.inventory.groupBy("product_id").agg(
-        F.sum("units_sold").alias("sold_sum"),
-        F.sum("inventory_level").alias("stock_sum"),
-        F.count("inventory_level").alias("stock_rows"),
+    stock = stock_sums(star, ["product_id"], "sold", "stock").select(
+        "product_id", "sold_sum", "stock_sum", "stock_rows"
     )
     cost = amount_ratio(F.col("sold_sum") * F.col("price_sum"), F.col("price_rows"))
     return (
@@ -143,6 +113,20 @@ def turnover(star: Star) -> DataFrame:
     )
 
 
+def regionally_understocked(sigma: float) -> str:
+    """Name under which a star knows the days below the thresholds of regions."""
+    return f"understock by region {sigma}"
+
+
+def region_limits(placed: DataFrame, sigma: float) -> DataFrame:
+    """Store-products, given with their sums and region, with the limits of the region."""
+    cells = merge_moments(placed, ["region", "product_id"])
+    limits = with_threshold(cells, sigma).select("region", "product_id", *LIMITS)
+    return placed.select(*STORE_PRODUCT, "region", "total_days").join(
+        limits, ["region", "product_id"]
+    )
+
+
 def regional_summary(star: Star, sigma: float = 1.0) -> DataFrame:
     """Stock, sales and stockouts per region, thresholds per region and product.
 
@@ -153,11 +137,13 @@ def regional_summary(star: Star, sigma: float = 1.0) -> DataFrame:
     """
     placed = store_product_moments(star).join(star.stores, "store_region_id")
     cells = merge_moments(placed, ["region", "product_id"])
-    limits = with_threshold(cells, sigma).select("region", "product_id", *LIMITS)
-    pairs = placed.select(*STORE_PRODUCT, "region", "total_days").join(
-        limits, ["region", "product_id"]
-    )
-    flagged = flag_rate(star.inventory, settle(pairs, "region-limits"), STORE_PRODUCT, sigma)
+    pairs = region_limits(placed, sigma)
+    short = star.known(regionally_understocked(sigma))
+    if short is None:
+        settled = settle(pairs, "region-limits")
+        flagged = flag_rate(star.inventory, settled, STORE_PRODUCT, sigma)
+    else:
+        flagged = rated(pairs, short, STORE_PRODUCT)
     stockouts = flagged.groupBy("region").agg(
         F.sum("understock_days").alias("total_stockout_days"),
         F.sum("total_days").alias("total_records"),
@@ -203,16 +189,15 @@ def seasonal_demand(star: Star) -> DataFrame:
     store-product and month before category and season join. The windows run
     over at most twelve months each. ``month_num`` is kept for ordering.
     """
-    months = star.inventory.groupBy(
-        *STORE_PRODUCT, F.month("record_date").alias("month_num")
-    ).agg(F.sum("units_sold").alias("sold"), F.sum("demand_forecast").alias("expected"))
+    month = F.month("record_date").alias("month_num")
+    months = stock_sums(star, [*STORE_PRODUCT, month], "sold", "forecast")
     cell = ["store_region_id", "seasonality", "category"]
     monthly = (
         months.join(star.products, "product_id")
         .join(star.seasonality, "product_id")
         .where(F.col("category").isNotNull() & F.col("seasonality").isNotNull())
         .groupBy(*cell, "month_num")
-        .agg(F.sum("sold").alias("total_sales"), F.sum("expected").alias("total_forecast"))
+        .agg(F.sum("sold_sum").alias("total_sales"), F.sum("forecast_sum").alias("total_forecast"))
     )
     year = Window.partitionBy(*cell)
     sales, forecast = F.col("total_sales"), F.col("total_forecast")

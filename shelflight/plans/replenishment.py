@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import rules
-from shelflight.functions.numeric import amount_ratio, mean_gap
+from shelflight.functions.numeric import amount_ratio, mean_gap, ratio, scaled_spread
 from shelflight.operators.profile import (
     settled_moments,
+    store_product_moments,
     store_product_profile,
-    understock_profile,
 )
+from shelflight.operators.sums import CELLS, joined_facts
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
 from shelflight.storage import settle
 
 
-def _with_reorder_point(profile: DataFrame, fast_percent: int) -> DataFrame:
-    """Add the unrounded reorder point; fast means more than ``fast_percent`` of days."""
+# Name under which a star knows the records at or below either reorder point.
+LOW = "low inventory"
+_CANDIDATES = {"point_if_fast": True, "point_if_slow": False}
+
+
+def _reorder_point(fast: Column) -> Column:
     mean_net = mean_gap(
         F.col("stock_sum"), F.col("stock_rows"), F.col("sold_sum"), F.col("sold_rows")
     )
-    fast = rules.share_over(F.col("understock_days"), F.col("total_days"), fast_percent)
-    return profile.withColumn(
-        "reorder_point", rules.reorder_point(fast, mean_net, F.col("spread_net"))
-    )
+    return rules.reorder_point(fast, mean_net, F.col("spread_net"))
+
+
+def _is_fast(percent: int) -> Column:
+    return rules.share_over(F.col("understock_days"), F.col("total_days"), percent)
+
+
+def _with_reorder_point(profile: DataFrame, fast_percent: int) -> DataFrame:
+    """Add the unrounded reorder point; fast means more than ``fast_percent`` of days."""
+    return profile.withColumn("reorder_point", _reorder_point(_is_fast(fast_percent)))
 
 
 def reorder_points(
@@ -73,6 +84,47 @@ def low_inventory(star: Star, sigma: float = 1.0, fast_percent: int = 5) -> Data
     )
 
 
+def _is_low(reorder_point: str) -> Column:
+    return (
+        rules.inventory_status(F.col("inventory_level"), F.col(reorder_point)) == "Low Inventory"
+    )
+
+
+def low_records(star: Star, sigma: float = 1.0, fast_percent: int = 5) -> DataFrame:
+    """Records at or below the reorder point, and all records, per store-product."""
+    counted = star.known(LOW)
+    if counted is None:
+        return (
+            low_inventory(star, sigma, fast_percent)
+            .groupBy(*STORE_PRODUCT)
+            .agg(
+                F.count_if(F.col("inventory_status") == "Low Inventory").alias("low"),
+                F.count("*").alias("records"),
+            )
+        )
+    profile = store_product_profile(star, sigma).join(star.products, "product_id")
+    low = F.when(_is_fast(fast_percent), F.col("low_if_fast")).otherwise(F.col("low_if_slow"))
+    return profile.join(counted, STORE_PRODUCT).select(
+        *STORE_PRODUCT, low.alias("low"), F.col("total_days").alias("records")
+    )
+
+
+def reorder_candidates(moments: DataFrame) -> DataFrame:
+    """Both reorder points that a store-product can have, before its days are flagged."""
+    spread = scaled_spread(F.col("net_rows"), F.col("net_sum"), F.col("net_squares"))
+    known = moments.withColumn("spread_net", ratio(spread, F.col("net_rows")))
+    return known.withColumns(
+        {name: _reorder_point(F.lit(fast)) for name, fast in _CANDIDATES.items()}
+    )
+
+
+def low_counts() -> list[Column]:
+    """Records at or below each of the two, where they carry them."""
+    return [
+        F.count_if(_is_low(name)).alias(name.replace("point", "low")) for name in _CANDIDATES
+    ]
+
+
 def _stock_targets(profile: DataFrame, fast_percent: int) -> DataFrame:
     """Add movement, safety stock and the optimal level to a profile."""
     days = F.col("understock_days"), F.col("total_days")
@@ -97,6 +149,23 @@ def safety_stock(star: Star, sigma: float = 1.3, fast_percent: int = 10) -> Data
     )
 
 
+def _priced_moments(star: Star) -> DataFrame:
+    """Moments of the store-products, and sums over their records that have a price."""
+    if star.known(CELLS) is not None:
+        return store_product_moments(star)
+    records = joined_facts(star, ["inventory_level", "units_sold"], ["price"], "left")
+    priced_stock = F.when(F.col("priced"), F.col("inventory_level"))
+    return settled_moments(
+        records,
+        STORE_PRODUCT,
+        F.count("priced").alias("priced_rows"),
+        F.sum(priced_stock).alias("priced_stock_sum"),
+        F.count(priced_stock).alias("priced_stock_rows"),
+        F.sum("price").alias("priced_price_sum"),
+        F.count("price").alias("priced_price_rows"),
+    )
+
+
 def stock_recommendations(star: Star, sigma: float = 1.3, fast_percent: int = 10) -> DataFrame:
     """Movement, holding cost, target level, action, priority and cost per store-product.
 
@@ -104,23 +173,9 @@ def stock_recommendations(star: Star, sigma: float = 1.3, fast_percent: int = 10
     that have a price. One left join of the two facts on their full key serves
     both kinds of sums.
     """
-    prices = star.pricing.select(
-        "record_date", *STORE_PRODUCT, "price", F.lit(1).alias("priced")
-    )
-    records = star.inventory.join(prices, ["record_date", *STORE_PRODUCT], "left")
-    priced_stock = F.when(F.col("priced") == 1, F.col("inventory_level"))
-    moments = settled_moments(
-        records,
-        STORE_PRODUCT,
-        F.count("priced").alias("priced_rows"),
-        F.sum(priced_stock).alias("priced_stock_sum"),
-        F.count(priced_stock).alias("priced_stock_rows"),
-        F.sum("price").alias("price_sum"),
-        F.count("price").alias("price_rows"),
-    )
-    profile = understock_profile(star.inventory, moments, STORE_PRODUCT, sigma)
+    profile = store_product_profile(star, sigma, _priced_moments(star))
     priced_stock_total = F.col("priced_stock_sum"), F.col("priced_stock_rows")
-    price_total = F.col("price_sum"), F.col("price_rows")
+    price_total = F.col("priced_price_sum"), F.col("priced_price_rows")
     targets = (
         _stock_targets(profile.where(F.col("priced_rows") > 0), fast_percent)
         .withColumns(

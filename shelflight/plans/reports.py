@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.plans import demand, replenishment, rollups, stock_health
+from shelflight.plans.gathering import gather, gathered
 from shelflight.star import Star
 from shelflight.storage import settle, settled_tables, write_report
 
@@ -25,6 +26,7 @@ class Report:
     hidden: tuple[str, ...] = ()  # sorted by, not shown
     reread: tuple[str, ...] = ()  # measures of the facts that the plan reads twice
     dims: tuple[str, ...] = ()  # dimensions that the plan joins
+    per_record: bool = False  # lists stock records, so it is as large as the fact
 
     def rows(self, star: Star, **options) -> DataFrame:
         """The report without its order."""
@@ -63,6 +65,7 @@ REPORTS: dict[str, Report] = {
         ("store_region_id", "product_id", "record_date"),
         reread=_STOCK,
         dims=("products",),
+        per_record=True,
     ),
     "movement": Report(
         stock_health.movement,
@@ -72,6 +75,7 @@ REPORTS: dict[str, Report] = {
     "overstock": Report(
         stock_health.overstock,
         ("-overstock_amount", "store_region_id", "product_id", "inventory_level"),
+        per_record=True,
     ),
     "category_summary": Report(demand.category_summary, ("category",)),
     "forecast_accuracy": Report(
@@ -105,6 +109,7 @@ REPORTS: dict[str, Report] = {
         ("record_date", "store_region_id", "product_id"),
         reread=_STOCK,
         dims=("products",),
+        per_record=True,
     ),
     "turnover": Report(
         demand.turnover,
@@ -157,13 +162,37 @@ REPORTS: dict[str, Report] = {
 }
 
 
-def refresh_reports(star: Star, folder: str, names: list[str] | None = None) -> None:
+# Below the folder of refreshed reports: what they were computed from.
+_GATHERED = "gathered"
+
+
+def refresh_reports(
+    star: Star, folder: str, names: list[str] | None = None, records: bool = True
+) -> None:
     """Write reports below ``folder`` as files that a reader can slice.
 
-    Rows are written unordered; a reader orders the few it shows. Tables settled on
-    the way are removed at the end, so the star keeps none of them.
+    All reports together read the price records once and the stock records twice,
+    see ``plans.gathering``, and once more for each of the three that list records.
+    Without ``records`` these are not written: ``record_report`` computes them, or a
+    slice of them, from what was gathered. ``names`` writes some reports only, each
+    from the facts. Rows are written unordered; a reader orders the few it shows.
+    Tables settled on the way are removed at the end, so the star keeps none of them.
     """
     with settled_tables(star.inventory.sparkSession):
-        fresh = star.sliced()  # what it derives goes with the settled tables
+        # What it derives goes with the settled tables.
+        fresh = star.sliced() if names else gather(star, f"{folder}/{_GATHERED}")
         for name in names or REPORTS:
-            write_report(REPORTS[name].rows(fresh), f"{folder}/{name}", mode="overwrite")
+            if records or not REPORTS[name].per_record:
+                write_report(REPORTS[name].rows(fresh), f"{folder}/{name}", mode="overwrite")
+
+
+def record_report(star: Star, folder: str, name: str, **slices: str) -> DataFrame:
+    """A report that lists records, or one slice, by the thresholds of the last refresh.
+
+    The star must be the one the reports below ``folder`` were refreshed from, whole.
+    A slice of it reads the stock records of the slice only.
+    """
+    if not REPORTS[name].per_record:
+        raise ValueError(f"{name} lists no records, read its files")
+    spark = star.inventory.sparkSession
+    return REPORTS[name].rows(gathered(spark, star.sliced(**slices), f"{folder}/{_GATHERED}"))

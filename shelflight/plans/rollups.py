@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.functions.numeric import amount_ratio, ratio
+from shelflight.operators.sums import stock_sums
 from shelflight.plans.demand import product_turnover
-from shelflight.plans.replenishment import low_inventory, reorder_points
+from shelflight.plans.replenishment import low_records, reorder_points
 from shelflight.schemas import STORE_PRODUCT
 from shelflight.star import Star
 
@@ -28,12 +29,7 @@ def _dimension() -> list:
 
 def low_inventory_rollup(star: Star) -> DataFrame:
     """Records at or below the reorder point, by product and by store-region."""
-    low = F.count_if(F.col("inventory_status") == "Low Inventory")
-    per_pair = (
-        low_inventory(star)
-        .groupBy(*STORE_PRODUCT)
-        .agg(low.alias("low"), F.count("*").alias("records"))
-    )
+    per_pair = low_records(star)
     rolled = _by_product_and_store(per_pair).agg(
         F.sum("low").alias("low_inventory_records"), F.sum("records").alias("total_records")
     )
@@ -66,9 +62,10 @@ def reorder_vs_sales_rollup(star: Star) -> DataFrame:
 def monthly_trend(star: Star) -> DataFrame:
     """Sales and forecast per month of each year."""
     month = F.trunc("record_date", "month").alias("month_start")
-    return star.inventory.groupBy(month).agg(
-        F.sum("units_sold").alias("total_units_sold"),
-        F.sum("demand_forecast").alias("total_forecast"),
+    return stock_sums(star, [month], "sold", "forecast").select(
+        "month_start",
+        F.col("sold_sum").alias("total_units_sold"),
+        F.col("forecast_sum").alias("total_forecast"),
     )
 
 

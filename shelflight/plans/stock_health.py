@@ -27,8 +27,11 @@ from shelflight.storage import settle
 # midpoint with it can be told from one without.
 _BELOW_ALL = -float(1 << 40)
 
+# Name under which a star knows the medians of its store-products.
+MEDIANS = "median sales"
 
-def _middle(value: Column) -> Column:
+
+def median(value: Column) -> Column:
     """Median of all records of a group: NULLs sort first and take part in the ranks.
 
     The mean of the two middle records is that of those that are not NULL. One
@@ -47,11 +50,20 @@ def sales_profile(star: Star) -> DataFrame:
 
     Every store-product has a row, also one whose sales are all NULL.
     """
+    if (medians := star.known(MEDIANS)) is not None:
+        rows, total = F.col("sold_rows"), F.col("sold_sum")
+        spread = scaled_spread(rows, total, F.col("sold_squares"))
+        return store_product_moments(star).join(medians, STORE_PRODUCT).select(
+            *STORE_PRODUCT,
+            ratio(total, rows).alias("avg_sales"),
+            "median_sales",
+            F.round(ratio(spread, rows), 6).alias("stddev_sales"),
+        )
     sold = F.col("units_sold")
     spread = scaled_spread(F.count(sold), F.sum(sold), sum_of_squares(sold))
     return star.inventory.groupBy(*STORE_PRODUCT).agg(
         ratio(F.sum(sold), F.count(sold)).alias("avg_sales"),
-        _middle(sold).alias("median_sales"),
+        median(sold).alias("median_sales"),
         F.round(ratio(spread, F.count(sold)), 6).alias("stddev_sales"),
     )
 
@@ -77,9 +89,9 @@ def sales_profile_selected(star: Star, ranges: int = RANGES) -> DataFrame:
     middle = middle_values(star.inventory, STORE_PRODUCT, sold, limits, ranges)
     lower, upper = F.col("lower"), F.col("upper")
     # NULLs sort first: where one of the two is NULL, it is the lower one.
-    median = F.coalesce((lower + upper).cast("double") / 2, upper.cast("double"))
+    found = F.coalesce((lower + upper).cast("double") / 2, upper.cast("double"))
     return limits.join(middle, STORE_PRODUCT).select(
-        *STORE_PRODUCT, "avg_sales", median.alias("median_sales"), "stddev_sales"
+        *STORE_PRODUCT, "avg_sales", found.alias("median_sales"), "stddev_sales"
     )
 
 

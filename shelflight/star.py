@@ -43,6 +43,10 @@ class Star:
             self._derived[name] = build()
         return self._derived[name]
 
+    def known(self, name: str) -> DataFrame | None:
+        """A derived table if this star has it already."""
+        return self._derived.get(name)
+
     def sliced(self, product_id: str | None = None, store_region_id: str | None = None) -> Star:
         """This star with the rows of one product and/or one store-region only.
 
