@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import random
+import uuid
 
 import pytest
 
@@ -99,3 +100,46 @@ def test_an_open_quote_fails(spark, tmp_path, monkeypatch):
 def test_empty_files(spark, tmp_path):
     for name, text in (("a.csv", ""), ("b.csv", HEADER), ("c.csv", HEADER + "\n")):
         assert read_strict(spark, write(tmp_path, text, name), multiline=True).collect() == []
+
+
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_lines_are_read_twice_and_not_shuffled(spark, tmp_path, ranges, size):
+    """Once to sum up the ranges, once for the records; only pieces at the edges of ranges move."""
+    rows, text = made(5, 80)
+    path = write(tmp_path, text)
+    ranges(size)
+    counts = tmp_path / "counts"
+    counts.mkdir()
+    first = multiline._lines
+
+    def counted(*given):
+        def note(batches):
+            for batch in batches:
+                with open(counts / uuid.uuid4().hex, "w") as file:
+                    file.write(str(batch.num_rows))
+                yield batch
+
+        found = first(*given)
+        return found.mapInArrow(note, found.schema)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(multiline, "_lines", counted)
+        found = records(spark, path)
+        assert len(found.collect()) == len(rows)
+    lines = text.count("\n")
+    assert sum(int(file.read_text()) for file in counts.iterdir()) == 2 * lines
+
+
+def test_long_records_at_and_over_the_limit(spark, tmp_path, ranges, monkeypatch):
+    """Counted across ranges as within them; the header does not count."""
+    monkeypatch.setattr(multiline, "MAX_LINES", 12)
+    for size in (1 << 20, 40, 9):
+        ranges(size)
+        for lines, fits in ((12, True), (13, False)):
+            body = '"' + "x\n" * (lines - 1) + '",b'
+            path = write(tmp_path, '"h' + "\n" * 30 + f'",c\na,b\n{body}\nc,d\n', f"r{size}-{lines}.csv")
+            if fits:
+                assert sorted(r.record for r in records(spark, path).collect()) == sorted(["a,b", body, "c,d"])
+            else:
+                with pytest.raises(ValueError, match="13 lines"):
+                    records(spark, path)
