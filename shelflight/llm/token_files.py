@@ -86,9 +86,10 @@ class Codes:
         first = np.cumsum(widths) - widths
         top = int(ids.max()) + 1 if len(ids) else 1
         self.length = np.zeros(top, np.int64)
+        # Each code in the highest bits of a word.
         self.code = np.zeros(top, np.uint64)
         self.length[ids] = lengths
-        self.code[ids] = (first >> (self.bits - lengths)).astype(np.uint64)
+        self.code[ids] = first.astype(np.uint64) << np.uint64(64 - self.bits)
         # Each entry of the table: the id and, in the lowest byte, the bits it takes.
         self.table = np.ones(1 << self.bits, np.uint64)
         entries = (ids.astype(np.uint64) << np.uint64(8)) | lengths.astype(np.uint64)
@@ -97,22 +98,18 @@ class Codes:
 
 def encode(ids: np.ndarray, codes: Codes, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     """The bits of the ids, highest first, and the bit at which each block starts."""
+    ids = ids.astype(np.intp)
     lengths, values = codes.length[ids], codes.code[ids]
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    word = starts >> 6
-    over = (starts & 63) + lengths - 64  # bits that run into the next word
-    high = np.where(
-        over > 0,
-        values >> np.maximum(over, 0).astype(np.uint64),
-        values << np.maximum(-over, 0).astype(np.uint64),
-    )
+    word, bit = starts >> 6, starts & 63
+    high = values >> bit.view(np.uint64)
     # A code is shorter than a word, so some code starts in every word but perhaps the last.
     change = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words = np.zeros(int(word[-1]) + 2, np.uint64)
     words[word[change]] = np.add.reduceat(high, change)
-    split = np.flatnonzero(over > 0)
-    words[word[split] + 1] |= values[split] << (64 - over[split]).astype(np.uint64)
+    split = np.flatnonzero(bit + lengths > 64)  # the rest of these runs into the next word
+    words[word[split] + 1] |= values[split] << (64 - bit[split]).view(np.uint64)
     return words.astype(">u8").tobytes()[: -(-int(ends[-1]) // 8)], starts[::block]
 
 

@@ -4,7 +4,7 @@ Byte-level pre-tokenisation never joins a character that is not white space with
 white space after it. A text therefore falls into blocks, each the white space
 before a run of other characters and that run, whose ids do not depend on each
 other. Blocks repeat a lot: each worker has the library encode a block once and
-keeps its ids in a bounded table. Texts with white space outside ASCII, with
+keeps its ids in a bounded table, which drops the blocks looked up least when full. Texts with white space outside ASCII, with
 control separators or with the special token's string go to the library whole.
 """
 
@@ -22,7 +22,7 @@ from shelflight.llm.common import ragged, run_sums
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
-# Entries of a worker's block table; beyond, it starts anew.
+# Entries of a worker's block table; beyond, it makes room or starts anew.
 TABLE_ENTRIES = 500_000
 # Blocks longer than this are encoded each time.
 LONGEST_ENTRY = 48
@@ -37,6 +37,11 @@ _RARE_LEADS = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81",
 # Letters of the Latin blocks, and one full stop or comma.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 
+# Line feed or start of text, if no space comes before it; letters; any ASCII marks after them.
+_FORM = re.compile(
+    "([\\x00\\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)"
+).fullmatch
+
 
 def plain_block(name: bytes) -> tuple[str, str] | None:
     """The word and the stop of a block that is a space, Latin letters and perhaps a stop."""
@@ -120,7 +125,7 @@ class Encoder:
         self.special = special_strings(path)
         self.model = library(path).model
         self.characters = byte_characters()
-        self.stops = {stop: self.model.token_to_id(stop) for stop in ".,"}
+        self.line_feed = self.model.token_to_id(self.characters[10])
         self._start_anew()
 
     def _start_anew(self) -> None:
@@ -129,16 +134,30 @@ class Encoder:
         self.used = 0
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.filled = 0
+        self.marks: dict[str, list[int]] = {}
+
+    def _make_room(self) -> None:
+        """Keep the half of the entries that were looked up most often; older uses count less."""
+        half = TABLE_ENTRIES // 2
+        kept = np.sort(np.argpartition(-self.uses[: self.filled], half)[:half])
+        names, lengths, uses = list(self.blocks), self.lengths[kept], self.uses[kept] // 2
+        ids = self.ids[ragged(self.starts[kept], lengths)]
+        self._start_anew()
+        self.blocks.update((names[old], new) for new, old in enumerate(kept.tolist()))
+        self._append(ids, lengths)
+        self.uses[: self.filled] = uses
 
-    def _append(self, ids: list[int], counts: list[int]) -> None:
-        """Enter the ids of the waiting blocks and how many each has."""
+    def _append(self, ids: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> None:
+        """Enter the ids of the next blocks and how many each has."""
         flat, lengths = np.array(ids, np.uint32), np.array(counts, np.int64)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.filled + len(lengths) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         at = slice(self.filled, self.filled + len(lengths))
         self.starts[at] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at] = lengths
@@ -149,25 +168,30 @@ class Encoder:
     def _fill_in(self, names: list[bytes]) -> None:
         """Encode the waiting blocks.
 
-        A space and Latin letters are one piece before merging, and a full stop or
-        comma after them is another: such a block needs no more than the library's
-        merges. All others go through the library's whole chain.
+        A space and Latin letters are one piece before merging, as are letters alone
+        after a line feed, which is a piece of its own, or where a text starts; the ASCII
+        marks after them are another. Such a block needs no more than the library's merges.
+        All others go through the library's whole chain.
         """
         tokenize, space, characters = self.model.tokenize, self.characters[32], self.characters
-        plain = [plain_block(name) for name in names]
-        others = [name for name, found in zip(names, plain, strict=True) if not found]
+        forms = [_FORM(name.decode()) for name in names]
+        others = [name for name, found in zip(names, forms, strict=True) if not found]
         whole = iter(self._library([block_bytes(name) for name in others]))
         ids: list[int] = []
         counts: list[int] = []
-        for found in plain:
+        for found in forms:
             if found:
-                word, stop = found
-                piece = space + word
+                lead, word, marks = found.groups()
                 if not word.isascii():
-                    piece = (b" " + word.encode()).decode("latin-1").translate(characters)
-                own = [token.id for token in tokenize(piece)]
-                if stop:
-                    own.append(self.stops[stop])
+                    word = word.encode().decode("latin-1").translate(characters)
+                own = [token.id for token in tokenize(word if lead else space + word)]
+                if lead == "\n":
+                    own.insert(0, self.line_feed)
+                if marks:
+                    known = self.marks.get(marks)
+                    if known is None:
+                        known = self.marks[marks] = [token.id for token in tokenize(marks)]
+                    own += known
             else:
                 own = next(whole)
             ids += own
@@ -183,7 +207,7 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
         if len(self.blocks) > TABLE_ENTRIES:
-            self._start_anew()
+            self._make_room()
         number = self.blocks.__getitem__
         parts, counts, whole = [], [], {}
         for at, text in enumerate(texts):
@@ -211,6 +235,7 @@ class Encoder:
             self._fill_in(self.blocks.waiting)
             self.blocks.waiting = []
         chosen = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        np.add.at(self.uses, chosen, 1)
         lengths = self.lengths[chosen]
         ids = self.ids[ragged(self.starts[chosen], lengths)]
         return ids, run_sums(lengths, np.array(counts, np.int64))

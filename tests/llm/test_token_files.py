@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 
 from shelflight.llm import token_files as tf
+from shelflight.llm import tokens
 from shelflight.llm.tokens import Encoder, library, tokenizer_path
 from tests.llm.conftest import ODD_TEXTS, prose
 
@@ -120,3 +121,44 @@ def test_blocks_give_the_librarys_ids():
         ids, counts = own.encode([text.encode() for text in texts])
         expected = [lib.encode(text, add_special_tokens=False).ids for text in texts]
         assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
+
+
+def test_a_full_table_keeps_the_blocks_in_use(monkeypatch):
+    """Blocks looked up often stay, their ids are the library's before and after; once-only ones go."""
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 60)
+    draw = random.Random(6)
+    path = tokenizer_path()
+    own, lib = Encoder(path), library(path)
+    given = []
+    fill = own._fill_in
+
+    def noted(names):
+        given.extend(names)
+        fill(names)
+
+    monkeypatch.setattr(own, "_fill_in", noted)
+    hot = ["the", "Été,", "of...", "x"]
+    for _ in range(60):
+        rare = ["".join(draw.choice("abcdeñ") for _ in range(7)) + draw.choice(["", ",", ")*;"]) for _ in range(20)]
+        words = hot * 8 + rare
+        draw.shuffle(words)
+        texts = [" ".join(words[:25]) + "\nNext", "\n".join(words[25:])]
+        ids, counts = own.encode([text.encode() for text in texts])
+        expected = [lib.encode(text, add_special_tokens=False).ids for text in texts]
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
+        assert len(own.blocks) == own.filled <= 60 + 4 * 24
+    for word in hot:
+        assert given.count(word.encode()) == 1
+
+
+def test_words_with_marks_and_line_starts_need_no_whole_chain(monkeypatch):
+    path = tokenizer_path()
+    own, lib = Encoder(path), library(path)
+    texts = ["Word (a) b%%% c'' d's\nLine, é!?\nÑu'\n'x", "a", "a_b\\c^^", "\nx", "x.\n"]
+    asked = []
+    plain = own._library
+    monkeypatch.setattr(own, "_library", lambda given: asked.extend(given) or plain(given))
+    ids, counts = own.encode([text.encode() for text in texts])
+    expected = [lib.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
+    assert not {b"Word", b" b%%%", b" c''", b"\nLine,"} & set(asked)
