@@ -34,6 +34,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -46,7 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import lowered, ragged, settle, slices, text_bytes
-from shelflight.llm.tokens import binary_rows, tokenizer_path
+from shelflight.llm.tokens import (
+    LONGEST_ENTRY,
+    TABLE_ENTRIES,
+    Encoder,
+    binary_rows,
+    tokenizer_path,
+)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CLASSES = 128
@@ -72,6 +80,10 @@ AT_ONCE = 512
 SCORED_IDS = 400_000
 _U2 = np.dtype("<u2")
 _U4 = np.dtype("<u4")
+# White space outside ASCII, at which the library joins words to what stands beside them.
+_RARE_SPACE = re.compile(
+    rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+)
 
 
 @functools.cache
@@ -95,15 +107,27 @@ def _encoding(path: str):
 
 
 @functools.cache
-def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all ids, one after the other, with each one's start and length."""
+def _values(path: str) -> list[bytes]:
     values = [b""] * (max(_ranks(path).values()) + 1)
     for token, rank in _ranks(path).items():
         values[rank] = token
+    return values
+
+
+@functools.cache
+def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids, one after the other, with each one's start and length."""
+    values = _values(path)
     lengths = np.array(list(map(len, values)), np.int64)
     return np.frombuffer(b"".join(values), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+@functools.cache
+def starts_word(path: str) -> np.ndarray:
+    """Of each id, whether it begins with the space before a word."""
+    return np.array([value[:1] == b" " for value in _values(path)])
+
+
 def decode(ids: np.ndarray, path: str) -> bytes:
     data, starts, lengths = id_bytes(path)
     return data[ragged(starts[ids], lengths[ids])].tobytes()
@@ -121,12 +145,61 @@ def subwords(words: list[bytes], path: str) -> np.ndarray:
     return _encoding(path).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
+class WordEncoder(Encoder):
+    """Ids of words by tiktoken; one per worker and vocabulary.
+
+    The library joins a word with another only at white space outside ASCII. Words of
+    other texts are encoded once each and kept in the bounded table of ``Encoder``.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self._start_anew()
+
+    def _fill_in(self, names: list[bytes]) -> None:
+        ids = subwords(names, self.path)
+        begins = np.flatnonzero(starts_word(self.path)[ids])
+        self._append(ids, np.diff(begins, append=len(ids)))
+
+    def _library(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        return [subwords(words, self.path) for words in texts]
+
+    def _stays_whole(self, words: list[bytes]) -> bool:
+        if not words:
+            return False
+        text = b" ".join(words)
+        return len(max(words, key=len)) > LONGEST_ENTRY or (
+            not text.isascii() and _RARE_SPACE.search(text) is not None
+        )
+
+    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of all texts one after the other, and the number of ids of each text."""
+        if len(self.blocks) > TABLE_ENTRIES:
+            self._make_room()
+        number = self.blocks.__getitem__
+        parts, counts, whole = [], [], {}
+        for at, words in enumerate(texts):
+            if self._stays_whole(words):
+                whole[at] = words
+                counts.append(0)
+                continue
+            counts.append(len(words))
+            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        ids, totals = self._looked_up(parts, counts)
+        own = self._library(list(whole.values()))
+        return self._merged(ids, totals, dict(zip(whole, own, strict=True)))
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def _encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     row, kind = TaskContext.get().partitionId() << 33, _kind(path)
     for batch in slices(batches, "text"):
         words = [lowered(text).split() for text in text_bytes(batch.column("text"))]
-        found = [subwords(own, path) for own in words]
-        counts = np.array([len(ids) for ids in found], np.int64)
+        found, counts = word_encoder(path).encode(words)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(row, row + len(words))),
@@ -134,7 +207,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 batch.column("held_out"),
                 pa.array([len(own) for own in words], pa.int64()),
                 pa.array(counts),
-                binary_rows(np.concatenate(found).astype(kind), counts),
+                binary_rows(found.astype(kind), counts),
             ],
             names=["row", "doc_id", "held_out", "n_words", "n_ids", "ids"],
         )
@@ -234,61 +307,105 @@ def _start(log_class: np.ndarray) -> dict[str, np.ndarray]:
 _MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -np.inf).astype(np.float32)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+class Kept:
+    """Arrays by name that each step writes anew, so that their memory is fetched only once."""
+
+    def __init__(self):
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        size, own = math.prod(shape), self.arrays.get(name)
+        if own is None or len(own) < size or own.dtype != dtype:
+            own = self.arrays[name] = np.empty(size, dtype)
+        return own[:size].reshape(shape)
+
+    def product(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.matmul(a, b, out=self(name, a.dtype, *a.shape[:-1], b.shape[-1]))
+
+    def chosen(self, name: str, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = self(name, rows.dtype, *places.shape, rows.shape[1])
+        # With out, only a mode other than "raise" takes no copy; all places are inside.
+        return rows.take(places, axis=0, out=out, mode="clip")
+
+
+def _rows(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _softmax(x: np.ndarray, out: np.ndarray) -> np.ndarray:
     """The maximum is taken off only where an exponential over- or underflows without."""
     ones = np.ones(x.shape[-1], x.dtype)
     with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(x)
-        total = e.reshape(-1, x.shape[-1]) @ ones
+        e = np.exp(x, out=out)
+        total = _rows(e) @ ones
     if not (np.isfinite(total).all() and total.min(initial=1) > 0):
-        e = np.exp(x - x.max(axis=-1, keepdims=True))
-        total = e.reshape(-1, x.shape[-1]) @ ones
+        e = np.exp(x - x.max(axis=-1, keepdims=True), out=out)
+        total = _rows(e) @ ones
     e /= total.reshape(*x.shape[:-1], 1)
     return e
 
 
-def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
+def _forward(w: dict[str, np.ndarray], inputs: np.ndarray, kept: Kept | None = None) -> tuple:
     """Hidden states of windows of input classes, with what the gradient needs."""
-    x = w["E"][inputs] + w["P"]
-    q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
-    attention = _softmax(q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(WIDTH)) + _MASK)
-    mixed = attention @ v
-    h = x + mixed @ w["O"]
-    r = np.maximum(h @ w["A"] + w["a"], 0)
-    return x, q, k, v, attention, mixed, h, r, h + r @ w["B"]
-
-
-def _gradients(w, inputs, targets, real) -> dict[str, np.ndarray]:
-    x, q, k, v, attention, mixed, h, r, y = _forward(w, inputs)
-    n, places = max(1, int(real.sum())), np.flatnonzero(real)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    h, r, y = (flat(m)[places] for m in (h, r, y))
-    d = _softmax(y @ w["U"] + w["b"])
+    kept = kept or Kept()
+    x = kept.chosen("x", w["E"], inputs)
+    x += w["P"]
+    q, k, v = (kept.product(f"x{name}", _rows(x), w[name]).reshape(x.shape) for name in "QKV")
+    s = kept.product("s", q, k.transpose(0, 2, 1))
+    s *= s.dtype.type(1 / np.sqrt(WIDTH))
+    s += _MASK
+    attention = _softmax(s, kept("attention", s.dtype, *s.shape))
+    mixed = kept.product("mixed", attention, v)
+    h = kept.product("h", _rows(mixed), w["O"]).reshape(x.shape)
+    h += x
+    r = kept.product("r", _rows(h), w["A"]).reshape(*x.shape[:2], HIDDEN)
+    r += w["a"]
+    np.maximum(r, 0, out=r)
+    y = kept.product("y", _rows(r), w["B"]).reshape(x.shape)
+    y += h
+    return x, q, k, v, attention, mixed, h, r, y
+
+
+def _gradients(w, inputs, targets, real, kept: Kept | None = None) -> dict[str, np.ndarray]:
+    kept = kept or Kept()
+    x, q, k, v, attention, mixed, h, r, y = _forward(w, inputs, kept)
+    kind, places = x.dtype, np.flatnonzero(real)
+    n = max(1, len(places))
+    h, r, y = (
+        kept.chosen(f"real {name}", _rows(m), places) for name, m in (("h", h), ("r", r), ("y", y))
+    )
+    z = kept.product("z", y, w["U"])
+    z += w["b"]
+    d = _softmax(z, kept("d", kind, *z.shape))
     d[np.arange(len(d)), targets.ravel()[places]] -= 1
     g = {"U": y.T @ d / n, "b": d.sum(0) / n}
-    dy = d @ w["U"].T
+    dy = kept.product("dy", d, w["U"].T)
     dy /= n
     g["B"] = r.T @ dy
-    dr = (dy @ w["B"].T) * (r > 0)
+    dr = kept.product("dr", dy, w["B"].T)
+    dr *= r > 0
     g["A"], g["a"] = h.T @ dr, dr.sum(0)
-    dh = np.zeros_like(flat(x))
-    dh[places] = dy + dr @ w["A"].T
-    dh = dh.reshape(x.shape)
-    g["O"] = flat(mixed).T @ flat(dh)
-    dm = dh @ w["O"].T
-    da = dm @ v.transpose(0, 2, 1)
-    dv = attention.transpose(0, 2, 1) @ dm
-    da -= (dm * mixed).sum(-1, keepdims=True)
+    dy += kept.product("dr A", dr, w["A"].T)
+    dh = kept("dh", kind, *x.shape)
+    dh.fill(0)
+    _rows(dh)[places] = dy
+    g["O"] = _rows(mixed).T @ _rows(dh)
+    dm = kept.product("dm", _rows(dh), w["O"].T).reshape(dh.shape)
+    da = kept.product("da", dm, v.transpose(0, 2, 1))
+    dv = kept.product("dv", attention.transpose(0, 2, 1), dm)
+    da -= np.multiply(dm, mixed, out=kept("dm mixed", kind, *dm.shape)).sum(-1, keepdims=True)
     da *= attention
-    da /= w["Q"].dtype.type(np.sqrt(WIDTH))
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    da *= kind.type(1 / np.sqrt(WIDTH))
+    dq, dk = kept.product("dq", da, k), kept.product("dk", da.transpose(0, 2, 1), q)
+    dx = _rows(dh)
     for name, part in (("Q", dq), ("K", dk), ("V", dv)):
-        g[name] = flat(x).T @ flat(part)
-    dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    g["P"] = dx.sum(0)
-    one_hot = np.zeros((len(w["E"]), inputs.size), dx.dtype)
+        g[name] = _rows(x).T @ _rows(part)
+        dx += kept.product("dx", _rows(part), w[name].T)
+    g["P"] = dh.sum(0)
+    one_hot = kept("one_hot", kind, len(w["E"]), inputs.size)
+    one_hot.fill(0)
     one_hot[inputs.ravel(), np.arange(inputs.size)] = 1
-    g["E"] = one_hot @ flat(dx)
+    g["E"] = one_hot @ dx
     return g
 
 
@@ -297,16 +414,18 @@ def _flat(parts: Iterable[dict[str, np.ndarray]], step: float) -> np.ndarray:
     return np.concatenate([*values, [step]]).astype(np.float32)
 
 
-def _unflat(state: np.ndarray) -> tuple[list[dict[str, np.ndarray]], float]:
-    """Weights, first and second moments, and the steps behind them."""
-    like, parts, at = _start(np.zeros(CLASSES)), [], 0
-    for _ in range(3):
-        part = {}
-        for name, value in like.items():
-            part[name] = state[at : at + value.size].reshape(value.shape).copy()
-            at += value.size
-        parts.append(part)
-    return parts, float(state[at])
+def _named(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of the weights that stand in a row."""
+    found, at = {}, 0
+    for name, value in _start(np.zeros(CLASSES)).items():
+        found[name] = values[at : at + value.size].reshape(value.shape)
+        at += value.size
+    return found
+
+
+def _unflat(state: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Weights, first and second moments, each in a row, and the steps behind them."""
+    return [part.copy() for part in np.split(state[:-1], 3)], float(state[-1])
 
 
 def training_windows(classes: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> np.ndarray:
@@ -332,7 +451,8 @@ def _round(
     expected: float,
 ) -> Iterator[pa.RecordBatch]:
     """The state after a task's windows of the round, and how many those are."""
-    (w, first, second), step = _unflat(state)
+    (weights, first, second), step = _unflat(state)
+    w, kept = _named(weights), Kept()
     draw = np.random.Generator(np.random.PCG64([SEED + 1, nth, TaskContext.get().partitionId()]))
     done = 0
 
@@ -343,11 +463,12 @@ def _round(
         inputs, targets = np.maximum(rows[:, :-1], 0), np.maximum(rows[:, 1:], 0)
         past = (nth + min(1.0, done / expected)) / ROUNDS
         rate = RATE * min(1.0, step / 50, 1.2 * (1 - past) + 0.02)
-        for name, g in _gradients(w, inputs, targets, real).items():
-            first[name] += 0.1 * (g - first[name])
-            second[name] += 0.01 * (g * g - second[name])
-            m, s = first[name] / (1 - 0.9**step), second[name] / (1 - 0.99**step)
-            w[name] = (w[name] - rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        found = _gradients(w, inputs, targets, real, kept)
+        g = np.concatenate([found[name].ravel() for name in w])
+        first[:] += 0.1 * (g - first)
+        second[:] += 0.01 * (g * g - second)
+        m, s = first / (1 - 0.9**step), second / (1 - 0.99**step)
+        weights[:] -= rate * m / (np.sqrt(s) + 1e-8)
 
     def shuffled(waiting: list[np.ndarray], whole: bool) -> list[np.ndarray]:
         """Take steps over what waits; unless it is the whole rest, the last few windows wait on."""
@@ -365,7 +486,7 @@ def _round(
             waiting = shuffled(waiting, whole=False)
     shuffled(waiting, whole=True)
     if done:
-        yield _ended(TaskContext.get().partitionId(), done, _flat((w, first, second), step))
+        yield _ended(TaskContext.get().partitionId(), done, np.append(np.concatenate([weights, first, second]), step))
 
 
 _ENDED = "task int, n bigint, state binary"
@@ -428,7 +549,7 @@ def train(
         n, mean = _averaged(own.mapInArrow(make, _ENDED))
         if n:
             state, seen = mean, seen + n
-    return _unflat(state)[0][0], seen
+    return _named(_unflat(state)[0][0]), seen
 
 
 # ---- scores ----------------------------------------------------------------------
@@ -446,26 +567,42 @@ _BEFORE = np.tri(WINDOW, dtype=np.float32)
 _ONES = np.ones(max(CLASSES, WINDOW), np.float32)
 
 
-def _log_p(w: dict[str, np.ndarray], inputs: np.ndarray, own: np.ndarray, targets: np.ndarray):
+def _log_p(
+    w: dict[str, np.ndarray],
+    inputs: np.ndarray,
+    own: np.ndarray,
+    targets: np.ndarray,
+    kept: Kept,
+    seen: int = 0,
+):
     """Log-probabilities of the targets at the places ``own`` of windows of inputs.
 
-    Exponentials are taken without subtracting their maximum first, which the weights
-    keep far from overflow; should one overflow all the same, the careful way is taken.
+    The first ``seen`` places of the windows are only looked back at. Exponentials are
+    taken without subtracting their maximum first, which the weights keep far from
+    overflow; should one overflow all the same, the careful way is taken.
     """
     n = len(inputs)
-    x = (w["E"][inputs] + w["P"]).reshape(-1, WIDTH)
-    q, k, v = ((x @ w[name]).reshape(n, WINDOW, WIDTH) for name in ("Q", "K", "V"))
+    x = kept.chosen("x", w["E"], inputs)
+    x += w["P"]
+    last = x if not seen else np.ascontiguousarray(x[:, seen:])
+    q = kept.product("q", _rows(last), w["Q"]).reshape(n, -1, WIDTH)
+    k, v = (kept.product(f"x{name}", _rows(x), w[name]).reshape(x.shape) for name in "KV")
     with np.errstate(over="ignore", invalid="ignore"):
-        weight = q @ k.transpose(0, 2, 1)
+        weight = kept.product("weight", q, k.transpose(0, 2, 1))
         weight *= np.float32(1 / np.sqrt(WIDTH))
         np.exp(weight, out=weight)
-        weight *= _BEFORE
-        total = weight.reshape(-1, WINDOW) @ _ONES[:WINDOW]
-        mixed = (weight @ v).reshape(-1, WIDTH) / total[:, None]
-        rows = own.ravel()
-        h = x[rows] + mixed[rows] @ w["O"]
-        y = h + np.maximum(h @ w["A"] + w["a"], 0) @ w["B"]
-        logits = y @ w["U"]
+        weight *= _BEFORE[seen:]
+        total = _rows(weight) @ _ONES[:WINDOW]
+        mixed = _rows(kept.product("mixed", weight, v))
+        mixed /= total[:, None]
+        rows = np.flatnonzero(own[:, seen:])
+        h = kept.product("h", kept.chosen("own", mixed, rows), w["O"])
+        h += kept.chosen("own", _rows(last), rows)
+        r = kept.product("r", h, w["A"])
+        r += w["a"]
+        y = kept.product("y", np.maximum(r, 0, out=r), w["B"])
+        y += h
+        logits = kept.product("logits", y, w["U"])
         logits += w["b"]
         found = logits[np.arange(len(targets)), targets]
         np.exp(logits, out=logits)
@@ -484,16 +621,18 @@ def score_classes(w: dict[str, np.ndarray], classes: np.ndarray, sizes: np.ndarr
     before = np.concatenate([[CLASSES], classes[:-1]])
     before[begins] = CLASSES
     owner, first = spans(sizes)
-    total = np.zeros(len(sizes))
-    for at in range(0, len(owner), AT_ONCE):
-        text, start = owner[at : at + AT_ONCE], first[at : at + AT_ONCE]
-        place = (begins[text] + start)[:, None] + np.arange(WINDOW)
-        # Scored here: what the text still has and no earlier window had.
-        own = place < ends[text][:, None]
-        own[:, :OVERLAP] &= (start == 0)[:, None]
-        place = np.minimum(place, ends[text][:, None] - 1)
-        log_p = _log_p(w, before[place], own, classes[place[own]])
-        total += np.bincount(np.repeat(text, own.sum(axis=1)), log_p, len(sizes))
+    total, kept = np.zeros(len(sizes)), Kept()
+    # Scored in a window: what the text still has and no earlier window had.
+    for chosen, seen in ((first == 0, 0), (first > 0, OVERLAP)):
+        owners, starts = owner[chosen], first[chosen]
+        for at in range(0, len(owners), AT_ONCE):
+            text, start = owners[at : at + AT_ONCE], starts[at : at + AT_ONCE]
+            place = (begins[text] + start)[:, None] + np.arange(WINDOW)
+            own = place < ends[text][:, None]
+            own[:, :seen] = False
+            place = np.minimum(place, ends[text][:, None] - 1)
+            log_p = _log_p(w, before[place], own, classes[place[own]], kept, seen)
+            total += np.bincount(np.repeat(text, own.sum(axis=1)), log_p, len(sizes))
     return total
 
 
@@ -515,15 +654,19 @@ def _scored(
         inside = np.concatenate([[0.0], np.cumsum(vocabulary.log_share[ids])])
         score = score_classes(weights, classes, sizes + 1) + inside[ends] - inside[ends - sizes]
         words = decode(ids, path).split()
-        base, known, tails = [], [], []
-        at = 0
-        for n in part.column("n_words").to_pylist():
-            counts = Counter(words[at : at + n])
+        # Words that do not travel with the task have no score, NaN.
+        given = np.array(list(map(head.scores.get, words)), float)
+        frequent = ~np.isnan(given)
+        n_words = part.column("n_words").to_numpy()
+        text = np.repeat(np.arange(len(n_words)), n_words)
+        here = text[frequent]
+        base = np.bincount(here, given[frequent], len(n_words)) + head.end_score
+        known = np.bincount(here, minlength=len(n_words)) + head.end_known
+        rest = np.flatnonzero(~frequent)
+        tails, at = [], 0
+        for n in np.bincount(text[rest], minlength=len(n_words)).tolist():
+            tails.append(Counter([words[place] for place in rest[at : at + n].tolist()]).items())
             at += n
-            frequent = [(head.scores[word], n) for word, n in counts.items() if word in head.scores]
-            base.append(sum(s * n for s, n in frequent) + head.end_score)
-            known.append(sum(n for _, n in frequent) + head.end_known)
-            tails.append([item for item in counts.items() if item[0] not in head.scores])
         lengths = np.array([len(tail) for tail in tails], np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
         tail = pa.StructArray.from_arrays(
@@ -536,9 +679,9 @@ def _scored(
         yield pa.RecordBatch.from_arrays(
             [
                 *(part.column(name) for name in ("row", "doc_id", "held_out")),
-                pa.array(part.column("n_words").to_numpy() + 1),
-                pa.array(base, pa.float64()),
-                pa.array(known, pa.int64()),
+                pa.array(n_words + 1),
+                pa.array(base),
+                pa.array(known),
                 pa.array(score / np.log(10)),
                 pa.ListArray.from_arrays(offsets, tail),
             ],
@@ -584,9 +727,7 @@ def lm_scores(documents: DataFrame, path: str | None = None, steps: int = STEPS)
         float(np.log10((sizes.texts + 0.1) / below)),
         sizes.texts > 0,
     )
-    data, starts, lengths = id_bytes(path)
-    starts_word = (lengths > 0) & (data[np.minimum(starts, len(data) - 1)] == 0x20)
-    vocabulary = Vocabulary.build(counts, starts_word, sizes.texts)
+    vocabulary = Vocabulary.build(counts, starts_word(path), sizes.texts)
     weights, _ = train(
         training, sizes.windows or 0, sizes.tasks, vocabulary, _kind(path), steps
     )

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from shelflight.llm import attention_lm as lm
+from shelflight.llm import tokens
 from shelflight.llm.tokens import tokenizer_path
 from tests.llm.conftest import ODD_TEXTS, prose
 
@@ -111,6 +112,36 @@ def test_words_come_back_from_ids():
         assert lm.decode(lm.subwords(words, path), path).split() == words
 
 
+def test_words_encoded_once_have_the_ids_of_whole_texts(monkeypatch):
+    path = tokenizer_path(lm.VOCABULARY)
+    spaced = [f"x{c} {c}y {c} z{c}w" for c in "\x1c\x85\u00a0\u1680\u2000\u200a\u200b\u2028\u202f\u205f\u3000\ufeff"]
+    marks = ["can't 's ' s 'S", "a" * 60 + " b", "\u2019s \u2014 \u201cq\u201d 1,000 x\u0301"]
+    texts = [*ODD_TEXTS, *spaced, *marks, *[prose(s, 60) for s in range(20)], None]
+    words = [words_of(text) for text in texts]
+    expected = [lm.subwords(own, path).tolist() for own in words]
+    encoder = lm.WordEncoder(path)
+    for entries in (10**6, 10):
+        # With ten entries the table is emptied by half again and again.
+        monkeypatch.setattr(lm, "TABLE_ENTRIES", entries)
+        monkeypatch.setattr(tokens, "TABLE_ENTRIES", entries)
+        for _ in range(3):
+            ids, counts = encoder.encode(words)
+            found = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+            assert found == expected
+
+
+def test_steps_do_not_depend_on_those_before():
+    vocabulary, w = small_model()
+    draw = np.random.default_rng(8)
+    kept = lm.Kept()
+    for n in (5, 2, 9, 1):
+        rows = draw.integers(0, lm.CLASSES, (n, lm.WINDOW + 1))
+        real = draw.random((n, lm.WINDOW)) < 0.7
+        first = lm._gradients(w, rows[:, :-1], rows[:, 1:], real, kept)
+        alone = lm._gradients(w, rows[:, :-1], rows[:, 1:], real)
+        assert all(np.array_equal(first[name], alone[name]) for name in w)
+
+
 def test_gradients():
     _, w = small_model()
     w = {name: value.astype(np.float64) for name, value in w.items()}
