@@ -85,6 +85,15 @@ def word_counts(documents: DataFrame, eroded: int = ERODED) -> DataFrame:
     return sums.where((F.col("n") >= LEAST_COUNT) & (F.char_length("word") >= LEAST_LETTERS))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged, never sent whole to the driver.
+
+    All sides here grow with the words. Spark would take a written table for as small
+    as its compressed files, and its signatures for as few rows as it has words.
+    """
+    return side.hint("merge")
+
+
 # ---- signatures -----------------------------------------------------------------
 
 
@@ -130,7 +139,7 @@ def _joined(left: DataFrame, right: DataFrame, *also: Column) -> DataFrame:
     """Verified pairs of equal signatures."""
     near = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
     same = F.col("a.key") == F.col("b.key")
-    pairs = left.alias("a").join(right.alias("b"), [same, *also, near])
+    pairs = left.alias("a").join(_shuffled(right.alias("b")), [same, *also, near])
     return pairs.select(
         F.col("a.word").alias("word"),
         F.col("a.n").alias("n"),
@@ -184,7 +193,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while True:
         now = settle(now, "roots")
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = now.join(onward, "root", "left")
+        stepped = now.join(_shuffled(onward), "root", "left")
         if stepped.where("next is not null").isEmpty():
             return now
         now = stepped.select("word", F.coalesce("next", "root").alias("root"))
@@ -196,7 +205,8 @@ def spelling_variants(
     """Per word: form, root, n, n_near, form_n."""
     words = settle(word_counts(documents, eroded), "words")
     forms = settle(_forms(near_pairs(words, parts)), "forms")
-    every = words.join(forms, "word", "left").join(_roots(forms), "word", "left")
+    every = words.join(_shuffled(forms), "word", "left")
+    every = every.join(_shuffled(_roots(forms)), "word", "left")
     return every.select(
         "word",
         "form",

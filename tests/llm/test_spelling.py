@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from shelflight.llm import spelling
+from shelflight.llm import common, spelling
 from tests.llm.conftest import DDL
 
 
@@ -91,6 +91,23 @@ def test_parts_change_nothing(spark, parts):
     assert sorted(map(str, spelling.spelling_variants(docs, parts=parts).collect())) == sorted(map(str, usual))
 
 
+def test_no_words_are_broadcast(spark, monkeypatch):
+    # Spark's own limit, under which every table of this test would be broadcast.
+    monkeypatch.setattr(spelling, "settle", lambda table, label: settled.append(table) or settle(table, label))
+    settled, settle = [], common.settle
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = spelling.spelling_variants(table(spark, list(enumerate(texts(4, "abcd")))))
+        assert found.collect()
+        # The words, the forms, and the words with a form, of one round at least.
+        assert len(settled) >= 3
+        for plan in (t._jdf.queryExecution().executedPlan().toString() for t in [*settled, found]):
+            assert "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_long_words_and_empty_tables(spark):
     long = "ab" * 40_000
     rows = [(i, f"{long} {long}x") for i in range(3)]
